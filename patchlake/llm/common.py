@@ -4,8 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,3 +41,47 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def fresh(name: str, taken: list[str]) -> str:
+    """`name`, with underscores before it while a column has it."""
+    low = {t.lower() for t in taken}
+    while name.lower() in low:
+        name = "_" + name
+    return name
+
+
+def dealt_by_bytes(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about `limit` bytes of column 0."""
+    for b in batches:
+        start, held = 0, 0
+        for i, n in enumerate(pc.fill_null(pc.binary_length(b.column(0)), 0).to_pylist()):
+            if held and held + n > limit:
+                yield b.slice(start, i - start)
+                start, held = i, 0
+            held += n
+        if start < b.num_rows:
+            yield b.slice(start)
+
+
+def map_texts(df: DataFrame, make: Callable[[], Callable[[list], list]], result: T.StructType, text: str = "text", keep: list[str] | None = None, into: str = "found", batch_bytes: int = 1 << 20) -> DataFrame:
+    """`keep` columns (all by default) and a struct column of results.
+
+    `make` is called once in each task and gives a function from a list of texts
+    (None where null) to a list of columns, one for each field of `result`. The
+    kept columns stay in Arrow. If a kept column is named like `into`, the
+    struct's name gets underscores before it.
+    """
+    keep = list(df.columns if keep is None else keep)
+    put = df.select(F.col(f"`{text}`").alias("text"), F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept"))
+    schema = T.StructType([put.schema["kept"], T.StructField("result", result)])
+    kinds = to_arrow_schema(result)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = make()
+        for b in dealt_by_bytes(batches, batch_bytes):
+            columns = [c if isinstance(c, pa.Array) else pa.array(c, k.type) for c, k in zip(work(b.column(0).to_pylist()), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.StructArray.from_arrays(columns, fields=list(kinds))], ["kept", "result"])
+
+    out = put.mapInArrow(run, schema)
+    return out.select(*[F.col("kept").getField(c).alias(c) for c in keep], F.col("result").alias(fresh(into, keep)))

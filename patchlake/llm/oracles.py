@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from patchlake.llm import decontaminate as d
 from patchlake.llm import quality_rules as q
 from patchlake.llm import url_filters as u
 
@@ -47,14 +48,32 @@ select doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars, n_s
 from failed"""
 
 
+def op5_sql() -> str:
+    words = lambda x: f"regexp_extract_all(translate(coalesce({x}, ''), '{u.LOWER[0]}', '{u.LOWER[1]}'), '{d.WORD}')"
+    return f"""
+with docs as (select doc_id, {words('text')} as words from documents),
+items as (select item_id, {words('text')} as words from benchmark),
+wins as (
+  select distinct item_id, list_slice(words, i, i + {d.WINDOW - 1}) as w
+  from (select item_id, words, unnest(range(1, greatest(len(words) - {d.WINDOW - 1}, 1) + 1)) as i from items where len(words) > 0)),
+sizes as (select distinct len(w) as n from wins),
+places as (select doc_id, i, n, list_slice(words, i, i + n - 1) as w from (select doc_id, words, n, unnest(range(1, len(words) - n + 2)) as i from docs, sizes)),
+found as (select doc_id, i, n, item_id from places join wins using (w)),
+hits as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + n)) as p from found) group by 1),
+named as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct doc_id, item_id::varchar as item from found) group by 1)
+select doc_id, len(words)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+  sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(words) as contaminated
+from docs left join hits using (doc_id) left join named using (doc_id)"""
+
+
 def op9_sql() -> str:
     host = lambda x: f"translate(regexp_extract(coalesce({x}, ''), '(?s)^.*?://([^/?#]*)', 1), '{u.LOWER[0]}', '{u.LOWER[1]}')"
     cases = lambda what: "case " + " ".join(f"when (host = '{h}' or host like '%.{h}') and starts_with(path, '{p}') then '{what(v, h, p)}'" for v, h, p in sorted(u.RULES, key=lambda r: (-len(r[1] + r[2]), r[1] + r[2]))) + " end"
-    d = u.DAMPING
+    damp = u.DAMPING
 
     def series(name: str, seeds: str, edges: str) -> str:
-        steps = [f"{name}0 as (select host, mass * {1 - d} as mass from {seeds})"]
-        steps += [f"{name}{k + 1} as (select e.dst as host, sum(p.mass * e.weight) * {d} as mass from {name}{k} p join {edges} e on p.host = e.src group by 1)" for k in range(u.ROUNDS)]
+        steps = [f"{name}0 as (select host, mass * {1 - damp} as mass from {seeds})"]
+        steps += [f"{name}{k + 1} as (select e.dst as host, sum(p.mass * e.weight) * {damp} as mass from {name}{k} p join {edges} e on p.host = e.src group by 1)" for k in range(u.ROUNDS)]
         union = " union all ".join(f"select * from {name}{k}" for k in range(u.ROUNDS + 1))
         return ",\n".join([*steps, f"{name} as (select host, sum(mass) as score from ({union}) group by 1)"])
 
@@ -78,4 +97,4 @@ blocked as (
 select page_id, host, path, rule, coalesce(by_rule, case when host in (select host from blocked) then 'block' end, 'allow') as verdict from ruled"""
 
 
-ORACLES = {"op1_quality_rules": op1_sql(), "op9_url_filters": op9_sql()}
+ORACLES = {"op1_quality_rules": op1_sql(), "op5_decontaminate": op5_sql(), "op9_url_filters": op9_sql()}

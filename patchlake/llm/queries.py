@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from patchlake.llm.common import materialise, table
+from patchlake.llm.decontaminate import decontaminate
 from patchlake.llm.quality_rules import quality_rules
 from patchlake.llm.token_counts import count_tokens
 from patchlake.llm.url_filters import filter_urls, host_edges, host_scores
@@ -22,10 +23,16 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    items = F.sha2(F.concat_ws(",", "found.items"), 256)
+    return out.select("doc_id", "found.n_words", "found.n_hit", F.size("found.items").cast("bigint").alias("n_items"), items.alias("items_sha256"), "found.contaminated")
+
+
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     edges = materialise(host_edges(pages), "edges")
     return filter_urls(pages, host_scores(pages, edges))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op4_token_counts, op9_url_filters)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op4_token_counts, op5_decontaminate, op9_url_filters)}
