@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from patchlake.llm.bpe import encode, ids_digest
 from patchlake.llm.common import materialise, table
 from patchlake.llm.decontaminate import decontaminate
 from patchlake.llm.quality_rules import quality_rules
@@ -35,4 +36,10 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(pages, host_scores(pages, edges))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op4_token_counts, op5_decontaminate, op9_url_filters)}
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), keep=["doc_id"])
+    ids = F.col("found.ids")
+    return out.select("doc_id", F.size(ids).cast("bigint").alias("n_tokens"), ids_digest(ids).alias("ids_sha256"), F.sha2("found.decoded", 256).alias("decoded_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op4_token_counts, op5_decontaminate, op9_url_filters, op10_bpe)}
