@@ -48,6 +48,14 @@ select doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars, n_s
 from failed"""
 
 
+def op3_sql() -> str:
+    return """
+with p as (select page_id, octet_length(encode(coalesce(html, ''))) as n, sha256(coalesce(html, '')) as digest from pages),
+f as (select *, min(page_id) over (partition by digest) as first from p)
+select page_id, n::bigint as payload_bytes, digest as payload_digest, case when n >= 100 and page_id > first then 'revisit' else 'response' end as record_type,
+  case when n >= 100 and page_id > first then first end as refers_to from f"""
+
+
 def op5_sql() -> str:
     words = lambda x: f"regexp_extract_all(translate(coalesce({x}, ''), '{u.LOWER[0]}', '{u.LOWER[1]}'), '{d.WORD}')"
     return f"""
@@ -97,4 +105,4 @@ blocked as (
 select page_id, host, path, rule, coalesce(by_rule, case when host in (select host from blocked) then 'block' end, 'allow') as verdict from ruled"""
 
 
-ORACLES = {"op1_quality_rules": op1_sql(), "op5_decontaminate": op5_sql(), "op9_url_filters": op9_sql()}
+ORACLES = {"op1_quality_rules": op1_sql(), "op3_warc": op3_sql(), "op5_decontaminate": op5_sql(), "op9_url_filters": op9_sql()}

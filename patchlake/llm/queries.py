@@ -12,6 +12,7 @@ from patchlake.llm.decontaminate import decontaminate
 from patchlake.llm.quality_rules import quality_rules
 from patchlake.llm.token_counts import count_tokens
 from patchlake.llm.url_filters import filter_urls, host_edges, host_scores
+from patchlake.llm.warc import new_root, read_warc, write_warc
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +20,12 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "kept_chars")
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = new_root(spark)
+    out = read_warc(write_warc(table(spark, sf_dir, "pages"), root), root)
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), keep=("doc_id",))
     return out.withColumn("over_limit", F.col("n_tokens") > 2048)
@@ -42,4 +49,4 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size(ids).cast("bigint").alias("n_tokens"), ids_digest(ids).alias("ids_sha256"), F.sha2("found.decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op4_token_counts, op5_decontaminate, op9_url_filters, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_warc, op4_token_counts, op5_decontaminate, op9_url_filters, op10_bpe)}
