@@ -48,6 +48,20 @@ select doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars, n_s
 from failed"""
 
 
+def op2_sql() -> str:
+    """All pairs that share a shingle, then the smallest id reachable by recursion."""
+    words = f"regexp_extract_all(translate(coalesce(text, ''), '{u.LOWER[0]}', '{u.LOWER[1]}'), '{WORD}')"
+    return f"""
+with recursive docs as (select doc_id, {words} as words from documents),
+sets as (select distinct doc_id, list_slice(words, i, i + 3) as s from (select doc_id, words, unnest(range(1, greatest(len(words) - 3, 1) + 1)) as i from docs where len(words) > 0)),
+sizes as (select doc_id, count(*) as n from sets group by 1),
+shared as (select a.doc_id as a, b.doc_id as b, count(*) as both_have from sets a join sets b on a.s = b.s and a.doc_id <> b.doc_id group by all),
+links as (select a, b from shared join sizes x on a = x.doc_id join sizes y on b = y.doc_id where 100 * both_have >= 80 * (x.n + y.n - both_have)),
+reach as (select doc_id as a, doc_id as b from docs union select r.a, l.b from reach r join links l on r.b = l.a)
+select d.doc_id, coalesce(n, 0)::bigint as n_shingles, c as component_id, d.doc_id = c as kept
+from docs d left join sizes using (doc_id) join (select a, min(b) as c from reach group by 1) on a = d.doc_id"""
+
+
 def op3_sql() -> str:
     return """
 with p as (select page_id, octet_length(encode(coalesce(html, ''))) as n, sha256(coalesce(html, '')) as digest from pages),
@@ -105,4 +119,4 @@ blocked as (
 select page_id, host, path, rule, coalesce(by_rule, case when host in (select host from blocked) then 'block' end, 'allow') as verdict from ruled"""
 
 
-ORACLES = {"op1_quality_rules": op1_sql(), "op3_warc": op3_sql(), "op5_decontaminate": op5_sql(), "op9_url_filters": op9_sql()}
+ORACLES = {"op1_quality_rules": op1_sql(), "op2_near_dedup": op2_sql(), "op3_warc": op3_sql(), "op5_decontaminate": op5_sql(), "op9_url_filters": op9_sql()}

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from patchlake.llm.bpe import encode, ids_digest
 from patchlake.llm.common import materialise, table
 from patchlake.llm.decontaminate import decontaminate
+from patchlake.llm.near_dedup import near_duplicates
 from patchlake.llm.quality_rules import quality_rules
 from patchlake.llm.token_counts import count_tokens
 from patchlake.llm.url_filters import filter_urls, host_edges, host_scores
@@ -20,6 +21,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "kept_chars")
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = new_root(spark)
     out = read_warc(write_warc(table(spark, sf_dir, "pages"), root), root)
@@ -49,4 +54,4 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size(ids).cast("bigint").alias("n_tokens"), ids_digest(ids).alias("ids_sha256"), F.sha2("found.decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_warc, op4_token_counts, op5_decontaminate, op9_url_filters, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_near_dedup, op3_warc, op4_token_counts, op5_decontaminate, op9_url_filters, op10_bpe)}
