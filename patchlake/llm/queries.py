@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from patchlake.llm.bpe import encode, ids_digest
 from patchlake.llm.common import materialise, table
 from patchlake.llm.decontaminate import decontaminate
+from patchlake.llm.html_extraction import extract
 from patchlake.llm.near_dedup import near_duplicates
 from patchlake.llm.pii import pseudonymise
 from patchlake.llm.quality_classifier import classify
@@ -44,6 +45,10 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "found.n_words", "found.n_hit", F.size("found.items").cast("bigint").alias("n_items"), items.alias("items_sha256"), "found.contaminated")
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"), keep=["page_id", "url"]).select("page_id", "url", "found.text", "found.n_chars")
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), keep=["doc_id", "lang"])
     return out.select("doc_id", "lang", "found.*")
@@ -67,4 +72,4 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size(ids).cast("bigint").alias("n_tokens"), ids_digest(ids).alias("ids_sha256"), F.sha2("found.decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_near_dedup, op3_warc, op4_token_counts, op5_decontaminate, op7_quality_classifier, op8_pii, op9_url_filters, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_near_dedup, op3_warc, op4_token_counts, op5_decontaminate, op6_html_extraction, op7_quality_classifier, op8_pii, op9_url_filters, op10_bpe)}
