@@ -31,13 +31,13 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from patchlake.llm.common import scratch_path
 
-SHARD_BYTES = 64 << 20
-ROLL_BYTES = 16 << 20
+SHARD_BYTES = 32 << 20
+ROLL_BYTES = 8 << 20
 LEAST_BYTES = 100
 BINS = 4096
 LEVEL = 4
@@ -47,23 +47,18 @@ MANIFEST = "shard int, file string, records bigint, bytes bigint, sha256 string"
 RECORD = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, url string, file string, offset bigint"
 
 
-def with_types(pages: DataFrame, key: str, payload: str, url: str, least_bytes: int) -> DataFrame:
-    """key, url, body, digest, kind and first (the response's id, for revisits)."""
-    body = F.coalesce(F.encode(F.col(payload), "UTF-8"), F.lit(b""))
-    rows = pages.select(F.col(key).alias("key"), F.coalesce(F.col(url), F.lit("")).alias("url"), body.alias("body"))
-    rows = rows.withColumn("digest", F.sha2("body", 256)).withColumn("n", F.octet_length("body"))
-    firsts = rows.where(F.col("n") >= least_bytes).groupBy("digest").agg(F.min("key").alias("first"), F.count("*").alias("copies"))
-    firsts = firsts.where("copies > 1 and first is not null").select("digest", "first")
-    again = F.col("first").isNotNull() & (F.col("key").isNull() | (F.col("key") > F.col("first")))
-    typed = rows.join(firsts, "digest", "left")
-    return typed.select("key", "url", "body", "digest", F.when(again, "revisit").otherwise("response").alias("kind"), F.when(again, F.col("first")).alias("first"))
+def revisits(rows: DataFrame, least_bytes: int) -> DataFrame:
+    """key, digest, first: the records that repeat the payload of one with a smaller id. No payload is shuffled for this."""
+    large = rows.where(F.octet_length("body") >= least_bytes).select("key", "digest")
+    firsts = large.groupBy("digest").agg(F.min("key").alias("first"), F.count("*").alias("copies")).where("copies > 1 and first is not null")
+    return large.join(firsts.select("digest", "first"), "digest").where("key is null or key > first").select("key", "digest", "first").distinct()
 
 
-def shard_column(pages: DataFrame, key: str, payload: str, shard_bytes: int):
-    """The shard of a row: equal-width bins of ids, put together on the driver (at most BINS numbers) to about equal bytes."""
+def shard_bounds(pages: DataFrame, key: str, payload: str, shard_bytes: int) -> list[int]:
+    """The least ids of all shards but the first: equal-width bins of ids, put together on the driver (at most BINS numbers) to about equal bytes."""
     low, high = pages.agg(F.min(key), F.max(key)).first()
     if low is None:
-        return F.lit(0)
+        return []
     width = (high - low) // BINS + 1
     bin_of = F.floor((F.col(key) - F.lit(low)) / F.lit(width)).cast("int")
     sizes = dict(pages.groupBy(bin_of.alias("bin")).agg(F.sum(F.coalesce(F.octet_length(payload), F.lit(0)) + 512).alias("n")).where("bin is not null").collect())
@@ -73,7 +68,14 @@ def shard_column(pages: DataFrame, key: str, payload: str, shard_bytes: int):
             bounds.append(low + b * width)
             held = 0
         held += sizes.get(b, 0)
-    return F.coalesce(F.size(F.filter(F.array(*[F.lit(b).cast("bigint") for b in bounds]), lambda b: b <= F.col("key"))), F.lit(0)) if bounds else F.lit(0)
+    return bounds
+
+
+def shard_of(bounds: list[int]) -> Column:
+    """How many bounds the key has reached; a null key has reached none."""
+    if not bounds:
+        return F.lit(0)
+    return F.when(F.col("key").isNull(), 0).otherwise(F.size(F.filter(F.array(*[F.lit(b).cast("bigint") for b in bounds]), lambda b: b <= F.col("key"))))
 
 
 def record_id(digest: str, key, url: str) -> str:
@@ -139,10 +141,14 @@ class Roller:
 
 
 def write_shards(root: str, roll_bytes: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    roller, done = None, []
+    roller, done, note = None, [], None
     kinds = pa.schema([("shard", pa.int32()), ("file", pa.string()), ("records", pa.int64()), ("bytes", pa.int64()), ("sha256", pa.string())])
     for b in batches:
-        for shard, key, url, body, digest, kind, first in zip(*(c.to_pylist() for c in b.columns), strict=True):
+        for shard, key, digest, url, body, first in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if body is None:  # a note that comes before its records
+                note = key, digest, first
+                continue
+            kind, first = ("revisit", note[2]) if note and note[:2] == (key, digest) else ("response", None)
             if roller is None or roller.shard != shard:
                 done.append(roller.close() if roller else None)
                 roller = Roller(root, shard, roll_bytes)
@@ -158,9 +164,13 @@ def write_warc(pages: DataFrame, root: str, key: str = "page_id", payload: str =
     spark = pages.sparkSession
     where, path = fs.FileSystem.from_uri(root)
     where.create_dir(path, recursive=True)
-    pages = pages.select(key, payload, url)
-    typed = with_types(pages, key, payload, url, least_bytes).withColumn("shard", shard_column(pages, key, payload, shard_bytes))
-    dealt = typed.select("shard", "key", "url", "body", "digest", "kind", "first").repartition("shard").sortWithinPartitions("shard", "key", "url", "digest")
+    body = F.coalesce(F.encode(F.col(payload), "UTF-8"), F.lit(b""))
+    rows = pages.select(F.col(key).cast("bigint").alias("key"), F.sha2(body, 256).alias("digest"), F.coalesce(F.col(url), F.lit("")).alias("url"), body.alias("body"))
+    bounds = shard_bounds(pages.select(F.col(key).cast("bigint").alias("key"), F.col(payload).alias("body")), "key", "body", shard_bytes)
+    notes = revisits(rows, least_bytes).select("key", "digest", F.lit("").alias("url"), F.lit(None).cast("binary").alias("body"), "first")
+    whole = notes.unionByName(rows.withColumn("first", F.lit(None).cast("bigint"))).select(shard_of(bounds).alias("shard"), "key", "digest", "url", "body", "first")
+    # a note sorts before the records it is about: its body is null
+    dealt = whole.repartition(2 * len(bounds) + 2, "shard").sortWithinPartitions("shard", "key", "digest", F.col("body").isNotNull(), "url")
     manifest = dealt.mapInArrow(partial(write_shards, root, roll_bytes), MANIFEST)
     manifest.write.mode("overwrite").parquet(f"{root}/manifest")
     return spark.read.schema(MANIFEST).parquet(f"{root}/manifest")
@@ -222,7 +232,7 @@ def typed_frame(rows: list[dict]) -> pd.DataFrame:
 
 def read_warc(manifest: DataFrame, root: str, with_body: bool = False) -> DataFrame:
     """Every record of the files that the manifest names; with_body adds body (empty for revisits)."""
-    files = manifest.select("file").repartition("file")
+    files = manifest.select("file").repartition(max(1, manifest.count()))
     return files.mapInPandas(partial(read_files, root, with_body), RECORD + (", body binary" if with_body else ""))
 
 
