@@ -7,7 +7,7 @@ at a similarity of 0.8 a pair is missed with a chance of 5e-6. Every link is
 confirmed on the full shingle sets.
 
 Equal word sequences are first put together, so copies cost one row. Buckets of
-up to `SMALL` texts give all their pairs. In larger ones no such pairs are made:
+up to `SMALL` texts (`SMALL_LATER` after the first round) give all their pairs. In larger ones no such pairs are made:
 a hub h is compared with each member x, and with A(x) the shingles of x that h
 lacks, the following holds for members x, y that are linked:
   * if A(x) and A(y) share nothing, then h is linked to both, or one of the two
@@ -41,7 +41,8 @@ from patchlake.llm.common import map_texts, materialise
 from patchlake.llm.components import components
 
 BANDS, ROWS = 40, 6
-SMALL = 6
+#: Buckets of up to so many texts give all pairs: those of bands, and those of later rounds, which share more.
+SMALL, SMALL_LATER = 6, 256
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 SKETCH = T.StructType([T.StructField("f1", T.LongType()), T.StructField("f2", T.LongType()), T.StructField("n", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 #: Two odd constants of a public 32-bit finaliser, and odd 64-bit multipliers.
@@ -150,21 +151,26 @@ def compare(size: int, percent: int, batches: Iterator[pd.DataFrame]) -> Iterato
 COMPARED = "a bigint, b bigint, hub boolean, linked boolean, prefix array<bigint>, excess double, short bigint"
 
 
-def candidate_pairs(buckets: DataFrame, percent: int) -> DataFrame:
-    """a, b, hub: all pairs of small buckets, hub and member of others. buckets: key, id, n, size, hub (an id)."""
+def candidate_pairs(buckets: DataFrame, percent: int, small: int) -> DataFrame:
+    """a, b, hub: pairs of small buckets, hub and member of others. buckets: key, id, n, part, size, hub (an id).
+
+    Pairs within one part (a component found so far) need no comparison, nor do
+    those of too different sizes; stars are compared whole, as the next round
+    needs what members have beyond the hub.
+    """
     fit = lambda p, q: (100 * F.least(p, q) >= percent * F.greatest(p, q))
-    few, many = buckets.where(F.col("size") <= SMALL).select("key", "id", "n"), buckets.where(F.col("size") > SMALL)
-    other = few.select("key", F.col("id").alias("b"), F.col("n").alias("m"))
-    pairs = few.join(other, "key").where("id < b").where(fit(F.col("n"), F.col("m"))).select(F.col("id").alias("a"), "b", F.lit(False).alias("hub"))
+    few, many = buckets.where(F.col("size") <= small).select("key", "id", "n", "part"), buckets.where(F.col("size") > small)
+    other = few.select("key", F.col("id").alias("b"), F.col("n").alias("m"), F.col("part").alias("q"))
+    pairs = few.join(other, "key").where("id < b and part <> q").where(fit(F.col("n"), F.col("m"))).select(F.col("id").alias("a"), "b", F.lit(False).alias("hub"))
     stars = many.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b"), F.lit(True).alias("hub"))
     return pairs.unionByName(stars).groupBy("a", "b").agg(F.max("hub").alias("hub"))
 
 
 def with_hubs(members: DataFrame) -> DataFrame:
-    """key, id, n and each bucket's size and hub: the member of most weight. members: key, id, n, weight."""
+    """key, id, n, part and each bucket's size and hub: the member of most weight. members: key, id, n, weight, part."""
     best = F.max(F.struct("weight", (-F.col("id")).alias("i")))
     known = members.groupBy("key").agg(F.count("*").alias("size"), best.alias("best")).where("size > 1")
-    return members.join(known.select("key", "size", (-F.col("best.i")).alias("hub")), "key").select("key", "id", "n", "size", "hub")
+    return members.join(known.select("key", "size", (-F.col("best.i")).alias("hub")), "key").select("key", "id", "n", "part", "size", "hub")
 
 
 def next_members(compared: DataFrame, sizes: DataFrame, found: DataFrame, percent: int) -> DataFrame:
@@ -177,10 +183,9 @@ def next_members(compared: DataFrame, sizes: DataFrame, found: DataFrame, percen
     gray = star.join(reach, "a").where((F.col("excess").between(1e-9, slack * F.col("most") + 1e-9)) | ((F.col("short") > 0) & (slack * F.col("short") + 1e-9 >= F.col("least"))))
     gray = gray.select(F.xxhash64("a", F.lit("gray")).alias("key"), F.col("b").alias("id"))
     rows = shared.unionByName(gray)
-    group = F.coalesce("component", "id")
-    rows = rows.join(found.select("id", "component"), "id", "left").withColumn("group", group)
-    open_ = rows.groupBy("key").agg(F.min("group").alias("p"), F.max("group").alias("q")).where("p <> q").select("key")
-    return rows.join(open_, "key").select("key", "id").distinct().join(sizes, "id").select("key", "id", "n", "weight")
+    rows = rows.distinct().join(found, "id", "left").withColumn("part", F.coalesce("component", "id"))
+    open_ = rows.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("key")
+    return rows.join(open_, "key").join(sizes, "id").select("key", "id", "n", "weight", "part")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -195,11 +200,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     shared = members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     members = materialise(members.join(shared, "key"), "members")
     sizes = materialise(members.groupBy("id").agg(F.any_value("n").alias("n"), F.sum("size").alias("weight")), "sizes")
-    buckets = materialise(with_hubs(members.select("key", "id", "n").join(sizes.select("id", "weight"), "id")), "buckets")
+    members = members.select("key", "id", "n", F.col("id").alias("part")).join(sizes.select("id", "weight"), "id")
+    buckets = materialise(with_hubs(members), "buckets")
     texts = materialise(source.join(sizes, "id", "left_semi").dropDuplicates(["id"]), "texts")
-    links, found = None, None
+    links, found, small = None, None, SMALL
     while True:
-        pairs = candidate_pairs(buckets, percent)
+        pairs = candidate_pairs(buckets, percent, small)
         left = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
         both = left.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
         compared = materialise(both.select("a", "b", "hub", "ta", "tb").mapInPandas(partial(compare, shingle, percent), COMPARED), "compared")
@@ -212,7 +218,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
         buckets = materialise(with_hubs(members), "buckets")
         if buckets.isEmpty():
             break
-        links = found.select(F.col("id").alias("a"), F.col("component").alias("b"))
+        links, small = found.select(F.col("id").alias("a"), F.col("component").alias("b")), SMALL_LATER
     grouped = distinct.select("f1", "f2", "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left").select("f1", "f2", F.coalesce("component", "rep").alias("component"))
     out = sketch.where(usable).join(grouped, ["f1", "f2"]).select("id", "n", "component")
     out = out.unionByName(sketch.where(~usable).select("id", "n", F.col("id").alias("component")))
