@@ -45,6 +45,10 @@ ORDER, BITS, FIRST_FOLDED = 5, 12, 0x600
 START, REPEAT, APART, OTHER = 2, 1, 3, 4
 SHARD_ROWS = 4_000_000
 UPPER, LOWER_Q, SLACK, LEAST = 0.995, 0.0005, 1.1, 20
+#: Discounts where the counts of counts give none between 0 and the count.
+FALLBACK = 0.5, 1.0, 1.5
+#: Up to so many trusted ids (about 50 MB) are sent to every executor; more are joined by a shuffle.
+SENT_IDS = 2_000_000
 #: Nats by which one character strays: a text of n has bounds wider by exp(STRAY / sqrt(n)).
 STRAY = 2.0
 COUNTS = T.StructType([T.StructField("g", T.ArrayType(T.LongType())), T.StructField("c", T.ArrayType(T.LongType()))])
@@ -122,7 +126,8 @@ def discounts(orders: list[DataFrame]) -> list[tuple[float, float, float]]:
     for r in sorted(whole.collect()):
         n = [max(1, x) for x in r[1:]]
         y = n[0] / (n[0] + 2 * n[1])
-        out.append(tuple(min(max(d, 0.0), float(i)) for i, d in enumerate((1 - 2 * y * n[1] / n[0], 2 - 3 * y * n[2] / n[1], 3 - 4 * y * n[3] / n[2]), 1)))
+        found = 1 - 2 * y * n[1] / n[0], 2 - 3 * y * n[2] / n[1], 3 - 4 * y * n[3] / n[2]
+        out.append(found if all(0 < d <= i for i, d in enumerate(found, 1)) else FALLBACK)
     return out
 
 
@@ -247,6 +252,9 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     keep = list(docs.columns if keep is None else keep)
     name = fresh(into, keep)
     ids = trusted_ids(labels.select(F.col("doc_id"), "quality")).withColumnRenamed("doc_id", key)
+    ids = materialise(ids, "trusted")
+    if ids.count() <= SENT_IDS:
+        ids = F.broadcast(ids)
     trusted = docs.select(key, text).join(ids, key, "left_semi")
     path, shards = train(trusted, text, shard_rows)
     carried = list(dict.fromkeys([*keep, key, lang]))
