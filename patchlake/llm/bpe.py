@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from patchlake.llm.common import fresh, map_texts
+from patchlake.llm.common import fresh, map_texts, small_batches
 
 LEAF = 2048
 REACH = 256
@@ -233,6 +233,7 @@ def special_strings(path: str) -> list[str]:
 def encode(df: DataFrame, tokenizer: str, text: str = "text", keep: list[str] | None = None, into: str = "found", decode: bool = True) -> DataFrame:
     """`keep` columns and a struct: ids, and decoded (the text that these ids give; null without `decode`)."""
     keep = list(df.columns if keep is None else keep)
+    small_batches(df.sparkSession)
     name = fresh(into, keep)
     body = F.col(f"`{text}`")
     special = F.lit(False)

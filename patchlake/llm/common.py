@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -13,34 +11,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from patchlake.sources.shared import materialise, scratch_path, shared_dir, table
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+__all__ = ["dealt_by_bytes", "fresh", "map_texts", "materialise", "scratch_path", "shared_dir", "small_batches", "table"]
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; set to a new local one only where it is unset, as in tests."""
-    conf = spark.sparkContext.getConf()
-    found = conf.get("spark.checkpoint.dir", None)
-    if not found:
-        set_already = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = set_already.get() if set_already.isDefined() else "file://" + tempfile.mkdtemp(prefix="patchlake-")
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
+#: Arrow batches hold about so many bytes at most: what a task has in Python and off the heap follows from it.
+ARROW_BYTES = 8 << 20
+#: Spark's own bound.
+DEFAULT_ARROW_BYTES = "67108864b"
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write a result to the shared folder and read it back: lineage ends there and lost executors lose nothing."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def small_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches of this session by ARROW_BYTES, unless a bound was set."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) == DEFAULT_ARROW_BYTES:
+        spark.conf.set(name, str(ARROW_BYTES))
 
 
 def fresh(name: str, taken: list[str]) -> str:
@@ -72,6 +58,7 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[list], list]], result:
     kept columns stay in Arrow. If a kept column is named like `into`, the
     struct's name gets underscores before it.
     """
+    small_batches(df.sparkSession)
     keep = list(df.columns if keep is None else keep)
     put = df.select(F.col(f"`{text}`").alias("text"), F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept"))
     schema = T.StructType([put.schema["kept"], T.StructField("result", result)])

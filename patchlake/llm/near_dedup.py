@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from patchlake.llm.common import map_texts, materialise
+from patchlake.llm.common import map_texts, materialise, small_batches
 from patchlake.llm.components import components
 
 BANDS, ROWS = 40, 6
@@ -104,7 +104,7 @@ def sketcher(size: int):
 
     def work(texts: list) -> list:
         f1, f2, n, bands = [], [], [], []
-        if len(known) > 500_000:
+        if len(known) > 200_000:
             known.clear()
         for t in texts:
             words = words_of(t)
@@ -190,6 +190,7 @@ def next_members(compared: DataFrame, sizes: DataFrame, found: DataFrame, percen
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """key, n_shingles, component_id (smallest key reachable over links), kept (true for that one)."""
+    small_batches(docs.sparkSession)
     source = docs.select(F.col(f"`{key}`").cast("bigint").alias("id"), F.col(f"`{text}`").alias("text"))
     sketch = map_texts(source, partial(sketcher, shingle), SKETCH, "text", ["id"], "s").select("id", "s.*")
     sketch = materialise(sketch, "sketch")

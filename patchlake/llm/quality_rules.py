@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from patchlake.llm.common import small_batches
+
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 WINDOW = 8
@@ -121,6 +123,7 @@ def judge(text: str | None) -> tuple:
 
 def quality_rules(df: DataFrame, text: str = "text", keep: tuple[str, ...] = (), with_text: bool = True) -> DataFrame:
     """`keep` columns, the measures, base_failed, kept, and (with_text) cleaned_text."""
+    small_batches(df.sparkSession)
     schema = T.StructType([df.schema[c] for c in keep] + STATS.fields[: None if with_text else -1])
     names = [f.name for f in STATS.fields]
 

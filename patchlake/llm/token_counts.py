@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from patchlake.llm.common import small_batches
+
 BATCH_BYTES = 1 << 20
 CACHED_PIECES = 400_000
 LONGEST_CACHED = 64
@@ -92,6 +94,7 @@ def dealt_by_bytes(batches: Iterator[pa.RecordBatch], limit: int = BATCH_BYTES)
 
 def count_tokens(df: DataFrame, tokenizer: str, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """`keep` columns, n_bytes and n_tokens. `tokenizer`: path of the vocabulary file, the same on every executor."""
+    small_batches(df.sparkSession)
     schema = T.StructType([df.schema[c] for c in keep] + [T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from patchlake.llm.common import scratch_path
+from patchlake.llm.common import scratch_path, small_batches
 
 SHARD_BYTES = 32 << 20
 ROLL_BYTES = 8 << 20
@@ -162,6 +162,7 @@ def write_shards(root: str, roll_bytes: int, batches: Iterator[pa.RecordBatch])
 def write_warc(pages: DataFrame, root: str, key: str = "page_id", payload: str = "html", url: str = "url", shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES, least_bytes: int = LEAST_BYTES) -> DataFrame:
     """Write the archives below `root` (a URI that the executors share) and return the manifest, read from `root`/manifest."""
     spark = pages.sparkSession
+    small_batches(spark)
     where, path = fs.FileSystem.from_uri(root)
     where.create_dir(path, recursive=True)
     body = F.coalesce(F.encode(F.col(payload), "UTF-8"), F.lit(b""))
