@@ -50,7 +50,7 @@ def auroc(rows: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
 
 
 def youden(rows: DataFrame) -> DataFrame:
-    """threshold and j: the midpoint of neighbours in the sorted values with the largest tpr - fpr; the first of equals.
+    """threshold and j: the midpoint of neighbours in the sorted values with the largest tpr - fpr; the first of equals (to 12 digits).
 
     Equal neighbours make a midpoint of their own value, so both the values that
     repeat and the midpoints between different values are candidates.
@@ -62,7 +62,7 @@ def youden(rows: DataFrame) -> DataFrame:
     j = (F.col("all_p") - upto_p) / F.col("all_p") - (F.col("all_n") - upto_n) / F.col("all_n")
     same = put.where(F.col("p") + F.col("n") > 1).select(F.col("v").alias("m"), j.alias("j"), F.lit(0).alias("order"), "v")
     between = put.where("following is not null").select(((F.col("v") + F.col("following")) / 2).alias("m"), j.alias("j"), F.lit(1).alias("order"), "v")
-    best = same.unionByName(between).agg(F.max_by(F.struct("m", "j"), F.struct("j", (-F.col("v")).alias("a"), (-F.col("order")).alias("b"))).alias("x"))
+    best = same.unionByName(between).agg(F.max_by(F.struct("m", "j"), F.struct(F.round("j", 12), (-F.col("v")).alias("a"), (-F.col("order")).alias("b"))).alias("x"))
     least = counted.agg(F.min("v").alias("least"))
     return best.crossJoin(F.broadcast(least)).select(F.coalesce("x.m", "least").alias("threshold"), F.col("x.j").alias("j"))  # one row each
 

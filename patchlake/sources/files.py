@@ -92,7 +92,7 @@ def bank_directory(spark: SparkSession, path: str) -> DataFrame:
 
 def pointer(spark: SparkSession, root: str):
     jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{root}/_CURRENT")
+    path = jvm.org.apache.hadoop.fs.Path(f"{root}/CURRENT")
     return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm
 
 
@@ -101,7 +101,7 @@ def save_bank(bank: DataFrame, root: str) -> str:
     spark, version = bank.sparkSession, f"v-{uuid.uuid4().hex}"
     bank.write.partitionBy("tier", "label").parquet(f"{root}/{version}")
     path, system, jvm = pointer(spark, root)
-    temporary = jvm.org.apache.hadoop.fs.Path(f"{root}/_CURRENT.{version}")
+    temporary = jvm.org.apache.hadoop.fs.Path(f"{root}/CURRENT.{version}")
     out = system.create(temporary, True)
     out.write(json.dumps({"version": version, "schema": bank.schema.json()}).encode())
     out.close()
@@ -113,7 +113,7 @@ def save_bank(bank: DataFrame, root: str) -> str:
 def load_bank(spark: SparkSession, root: str) -> DataFrame:
     from pyspark.sql.types import StructType
 
-    text = spark.read.text(f"{root}/_CURRENT", wholetext=True).first()[0]
+    text = spark.read.text(f"{root}/CURRENT", wholetext=True).first()[0]
     now = json.loads(text)
     schema = StructType.fromJson(json.loads(now["schema"]))
     label = F.when(F.col("label") == "__HIVE_DEFAULT_PARTITION__", "").otherwise(F.coalesce("label", F.lit("")))
