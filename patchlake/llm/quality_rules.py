@@ -7,8 +7,8 @@ that fail are removed; a document that loses more than `max_lost` of its word
 characters is rejected.
 
 Defined cases: a null or blank text has no words and is rejected by the base
-rule; repeated rows are judged one by one; other columns pass through unread,
-and results are added under the given names only.
+rule; repeated rows are judged one by one; kept columns pass through unread, and
+a measure named like one of them gets underscores before its name.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from patchlake.llm.common import small_batches
+from patchlake.llm.common import fresh, small_batches
 
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
@@ -122,18 +122,20 @@ def judge(text: str | None) -> tuple:
 
 
 def quality_rules(df: DataFrame, text: str = "text", keep: tuple[str, ...] = (), with_text: bool = True) -> DataFrame:
-    """`keep` columns, the measures, base_failed, kept, and (with_text) cleaned_text."""
+    """`keep` columns, the measures, base_failed, kept, and (with_text) cleaned_text; a name that `keep` has gets underscores before it."""
     small_batches(df.sparkSession)
-    schema = T.StructType([df.schema[c] for c in keep] + STATS.fields[: None if with_text else -1])
-    names = [f.name for f in STATS.fields]
+    found = STATS.fields if with_text else STATS.fields[:-1]
+    name = {n: fresh(n, list(keep)) for n in [*(f.name for f in STATS.fields), "base_failed", "kept"]}
+    schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(name[f.name], f.dataType) for f in found])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = pd.DataFrame([judge(t) for t in b["__text"]], columns=names)
+            measures = pd.DataFrame([judge(t) for t in b["__text"]], columns=[name[f.name] for f in STATS.fields])
             own = b[list(keep)].reset_index(drop=True)
-            yield pd.concat([own, found if with_text else found[names[:-1]]], axis=1)
+            yield pd.concat([own, measures], axis=1)[schema.names]
 
-    out = df.select(*keep, F.col(text).alias("__text")).mapInPandas(run, schema)
-    base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    lost = 100 * (F.col("word_chars") - F.col("kept_chars")) > MAX_LOST_PERCENT * F.col("word_chars")
-    return out.withColumn("base_failed", base).withColumn("kept", ~base & ~lost)
+    out = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text")).mapInPandas(run, schema)
+    n_words, repeated, chars, left = (F.col(name[n]) for n in ("n_words", "n_repeat_words", "word_chars", "kept_chars"))
+    base = (n_words < MIN_WORDS) | (100 * repeated > MAX_REPEAT_PERCENT * n_words)
+    lost = 100 * (chars - left) > MAX_LOST_PERCENT * chars
+    return out.withColumn(name["base_failed"], base).withColumn(name["kept"], ~base & ~lost)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from patchlake.llm.common import small_batches
+from patchlake.llm.common import fresh, small_batches
 
 BATCH_BYTES = 1 << 20
 CACHED_PIECES = 400_000
@@ -93,15 +93,16 @@ def dealt_by_bytes(batches: Iterator[pa.RecordBatch], limit: int = BATCH_BYTES)
 
 
 def count_tokens(df: DataFrame, tokenizer: str, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """`keep` columns, n_bytes and n_tokens. `tokenizer`: path of the vocabulary file, the same on every executor."""
+    """`keep` columns, n_bytes and n_tokens (underscores before a name that `keep` has). `tokenizer`: path of the vocabulary file, the same on every executor."""
     small_batches(df.sparkSession)
-    schema = T.StructType([df.schema[c] for c in keep] + [T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
+    names = [fresh(n, list(keep)) for n in ("n_bytes", "n_tokens")]
+    schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(n, T.LongType()) for n in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = COUNTERS.get(tokenizer) or COUNTERS.setdefault(tokenizer, PieceCounter(tokenizer))
         for b in dealt_by_bytes(batches):
             texts = [t or "" for t in b.column(0).to_pylist()]
             sizes = pa.compute.fill_null(pa.compute.binary_length(b.column(0)), 0).cast(pa.int64())
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], sizes, pa.array(counter.count(texts), pa.int64())], [*keep, "n_bytes", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], sizes, pa.array(counter.count(texts), pa.int64())], [*keep, *names])
 
     return df.select(F.col(text).alias("__text"), *keep).mapInArrow(run, schema)

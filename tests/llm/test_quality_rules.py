@@ -54,4 +54,5 @@ def test_documents_that_lose_too_much(spark):
 def test_empty_table_and_extra_columns(spark, name):
     df = spark.createDataFrame([(1, "x", 7)], f"doc_id bigint, text string, {name} int")
     assert quality_rules(df.where("false"), keep=("doc_id",)).count() == 0
-    assert quality_rules(df, keep=("doc_id",)).columns[0] == "doc_id"
+    both = quality_rules(df, keep=("doc_id", name)).first()
+    assert both[name] == 7 and both["_" + name] == {"n_words": 1, "kept": False}[name] and both["base_failed"]

@@ -31,6 +31,6 @@ def test_equal_to_the_library(spark):
 
 
 def test_empty_table_and_clashing_names(spark):
-    df = spark.createDataFrame([(1, "a b", 9), (1, "a b", 9)], "doc_id bigint, text string, n_chars int")
+    df = spark.createDataFrame([(1, "a b", 9), (1, "a b", 9)], "doc_id bigint, text string, n_tokens int")
     assert count_tokens(df.where("false"), PATH, keep=("doc_id",)).count() == 0
-    assert [tuple(r) for r in count_tokens(df, PATH, keep=("doc_id", "n_chars")).collect()] == [(1, 9, 3, 2)] * 2
+    assert [tuple(r) for r in count_tokens(df, PATH, keep=("doc_id", "n_tokens")).collect()] == [(1, 9, 3, 2)] * 2
