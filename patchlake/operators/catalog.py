@@ -146,3 +146,58 @@ def ranged(rows: DataFrame, order: list[Column], first: Column, last: Column, by
     numbered = rows.withColumn("__n", F.row_number().over(Window.partitionBy(by).orderBy(*order)))
     ends = numbered.where(first | last).groupBy(by).agg(F.min("__n").alias("__a"), F.max("__n").alias("__b"))
     return numbered.join(ends, by).where("__n between __a and __b").drop("__n", "__a", "__b")
+
+
+def resolved_images(wanted: DataFrame, files: DataFrame) -> DataFrame:
+    """wanted (id, entry, name, tier) with path: by entry, else by name in its tier, else by a name that only one file has. files: path, entry, name, tier."""
+    unique = files.groupBy("name").agg(F.count("*").alias("n"), F.min("path").alias("path")).where("n = 1").select("name", F.col("path").alias("p3"))
+    by_entry = files.groupBy("entry").agg(F.min("path").alias("p1"))
+    by_name = files.groupBy("name", "tier").agg(F.min("path").alias("p2"))
+    out = wanted.join(by_entry, "entry", "left").join(by_name, ["name", "tier"], "left").join(unique, "name", "left")
+    return out.select(wanted.columns + [F.coalesce("p1", "p2", "p3").alias("path")])
+
+
+def bank_listing(bank: DataFrame) -> DataFrame:
+    """tier, label, entry and rows of every image in the bank."""
+    return bank.groupBy("tier", "label", "entry").agg(F.count("*").alias("rows"))
+
+
+def set_groups(images: DataFrame, given: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Images with groups set by hand (entry, grp), trimmed; and the entries that aren't known."""
+    named = given.select("entry", F.trim("grp").alias("__grp"))
+    out = images.join(named, "entry", "left").withColumn("grp", F.coalesce("__grp", "grp")).drop("__grp")
+    return out, given.join(images, "entry", "left_anti").select("entry")
+
+
+def coverage(bank: DataFrame, index: DataFrame) -> DataFrame:
+    """tier, label, rows, covered, uncovered: how far an index of (tier, label, entry, count) accounts for a bank's rows."""
+    rows = bank.groupBy("tier", "label").agg(F.count("*").alias("rows"))
+    covered = index.groupBy("tier", "label").agg(F.sum("count").alias("covered"))
+    out = rows.join(covered, ["tier", "label"], "left").na.fill(0, ["covered"])
+    return out.withColumn("uncovered", F.col("rows") - F.col("covered"))
+
+
+def integrity(index: DataFrame, files: DataFrame, masks: DataFrame) -> DataFrame:
+    """kind and number: index entries without a file, masks without an image, and entries whose mask flag is wrong. index: name, has_mask."""
+    ghosts = index.join(files, "name", "left_anti").agg(F.count("*").alias("n")).select(F.lit("ghost").alias("kind"), "n")
+    orphans = masks.join(files, "name", "left_anti").agg(F.count("*").alias("n")).select(F.lit("orphan_mask").alias("kind"), "n")
+    flagged = index.join(masks.select("name", F.lit(True).alias("m")).distinct(), "name", "left")
+    wrong = flagged.agg(F.count_if(F.col("has_mask") != F.coalesce("m", F.lit(False))).alias("n")).select(F.lit("wrong_flag").alias("kind"), "n")
+    return ghosts.unionByName(orphans).unionByName(wrong)
+
+
+def n_classes(classes: DataFrame) -> DataFrame:
+    """One row: one more than the largest id, 2 without classes; a missing id counts as 0."""
+    return classes.agg(F.coalesce(F.max(F.coalesce("id", F.lit(0))) + 1, F.lit(2)).alias("n"))
+
+
+def project_order(kind: str) -> list[Column]:
+    return {"custom": [F.coalesce("sort_order", F.lit(0)).asc(), F.asc("name")], "newest": [F.desc("created"), F.asc("name")], "oldest": [F.asc("created"), F.asc("name")], "name": [F.lower("name").asc()], "-name": [F.lower("name").desc()]}[kind]
+
+
+def reordered(projects: DataFrame, ids: list[int]) -> DataFrame:
+    """Projects with sort_order from the list's places; others keep theirs."""
+    if not ids:
+        return projects
+    place = F.array_position(F.array(*[F.lit(i).cast("bigint") for i in ids]), F.col("id").cast("bigint"))
+    return projects.withColumn("sort_order", F.when(place > 0, place - 1).otherwise(F.col("sort_order")))

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import partial
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -157,3 +162,36 @@ def attribution(winners: DataFrame, alpha: float, beta: float) -> DataFrame:
     """The winners with attribution: alpha (critical) or beta (negative) over 1 + distance; coefficients of 0 count as 1."""
     strength = F.when(F.col("tier") == "critical", F.lit(alpha or 1.0)).otherwise(F.lit(beta or 1.0))
     return winners.withColumn("attribution", strength / (1 + F.col("distance")))
+
+
+def pixels_of(cell: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows of pixels of each image: bilinear between cell centres, the edge repeated beyond them, cropped to the image."""
+
+    def axis(size: int, cells: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at = np.clip((np.arange(size) + 0.5) / cell - 0.5, 0, cells - 1)
+        low = np.minimum(at.astype(int), max(cells - 2, 0))
+        return low, np.minimum(low + 1, cells - 1), at - low
+
+    images, ys, scores, held = [], [], [], 0
+    for b in batches:
+        for image, h, w, gy, gx, score in b[["image", "height", "width", "gy", "gx", "score"]].itertuples(index=False):
+            grid = np.zeros((max(gy) + 1, max(gx) + 1))
+            grid[gy, gx] = score
+            (y0, y1, fy), (x0, x1, fx) = axis(h, grid.shape[0]), axis(w, grid.shape[1])
+            wide = grid[:, x0] * (1 - fx) + grid[:, x1] * fx
+            full = wide[y0] * (1 - fy)[:, None] + wide[y1] * fy[:, None]
+            images += [image] * h
+            ys += range(h)
+            scores += list(full)
+            held += full.size
+            if held >= 1 << 20:
+                yield pd.DataFrame({"image": images, "y": ys, "scores": scores})
+                images, ys, scores, held = [], [], [], 0
+    yield pd.DataFrame({"image": images, "y": ys, "scores": scores})
+
+
+def grid_to_pixels(grid: DataFrame, cell: int = 14) -> DataFrame:
+    """image, y, scores: a heat map's pixel rows. grid: image, gy, gx, score, height, width; an image's cells are one row, and bounded."""
+    cells = F.array_sort(F.collect_list(F.struct("gy", "gx", "score")))
+    put = grid.groupBy("image").agg(F.max("height").cast("int").alias("height"), F.max("width").cast("int").alias("width"), cells.alias("c"))
+    return put.select("image", "height", "width", "c.gy", "c.gx", "c.score").mapInPandas(partial(pixels_of, cell), "image bigint, y int, scores array<double>")

@@ -116,3 +116,60 @@ def o15_catalogue_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     regions, nations, customers = (table(spark, sf_dir, t) for t in ("region", "nation", "customer"))
     both = regions.join(F.broadcast(nations), F.col("r_regionkey") == F.col("n_regionkey")).join(customers, F.col("n_nationkey") == F.col("c_nationkey"), "left")  # 25 rows
     return both.rollup("r_name", "n_name").agg(F.count("c_custkey").alias("banks"), F.round(F.sum("c_acctbal"), 2).alias("total"))
+
+
+@query("""with w as (select o_orderkey as id, o_custkey as entry, o_orderpriority as name, o_orderstatus as tier from orders), f as (select c_name as path, case when c_custkey % 2 = 0 then c_custkey end as entry, case when c_custkey = 11 then '5-LOW' else c_mktsegment end as name, case c_nationkey % 3 when 0 then 'F' when 1 then 'O' else 'P' end as tier from customer)
+select id, coalesce((select min(path) from f where f.entry = w.entry), (select min(path) from f where f.name = w.name and f.tier = w.tier), (select min(path) from f where f.name = w.name having count(*) = 1)) as path from w""")
+def o59_resolved_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wanted = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("entry"), F.col("o_orderpriority").alias("name"), F.col("o_orderstatus").alias("tier"))
+    kind = F.col("c_nationkey") % 3
+    files = table(spark, sf_dir, "customer").select(F.col("c_name").alias("path"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_custkey")).alias("entry"), F.when(F.col("c_custkey") == 11, "5-LOW").otherwise(F.col("c_mktsegment")).alias("name"), F.when(kind == 0, "F").when(kind == 1, "O").otherwise("P").alias("tier"))
+    return c.resolved_images(wanted, files).select("id", "path")
+
+
+@query("select o_orderstatus as tier, o_orderpriority as label, o_custkey as entry, count(*) as rows from orders group by all")
+def o126_bank_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return c.bank_listing(table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("tier"), F.col("o_orderpriority").alias("label"), F.col("o_custkey").alias("entry")))
+
+
+@query("select c_custkey as entry, case when s_suppkey is not null then trim(s_name) else c_mktsegment end as grp from customer left join supplier on c_custkey = s_suppkey")
+def o130_set_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    images = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("entry"), F.col("c_mktsegment").alias("grp"))
+    return c.set_groups(images, table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("entry"), F.concat(F.lit(" "), "s_name").alias("grp")))[0]
+
+
+@query("""with r as (select l_returnflag as tier, l_linestatus as label, count(*) as rows from lineitem group by all), i as (select l_returnflag as tier, l_linestatus as label, count(*) as covered from lineitem where l_suppkey % 3 > 0 group by all)
+select tier, label, rows, coalesce(covered, 0) as covered, rows - coalesce(covered, 0) as uncovered from r left join i using (tier, label)""")
+def o133_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bank = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("tier"), F.col("l_linestatus").alias("label"), F.col("l_suppkey").alias("entry"))
+    return c.coverage(bank, bank.where("entry % 3 > 0").groupBy("tier", "label", "entry").agg(F.count("*").alias("count")))
+
+
+@query("""select 'ghost' as kind, count(*) as n from orders where o_custkey not in (select c_custkey from customer where c_custkey % 4 > 0) union all
+select 'orphan_mask', count(*) from supplier where s_suppkey not in (select c_custkey from customer where c_custkey % 4 > 0) union all
+select 'wrong_flag', count(*) from orders where (o_orderstatus = 'F') <> (o_custkey in (select s_suppkey from supplier))""")
+def o140_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("name"), (F.col("o_orderstatus") == "F").alias("has_mask"))
+    files = table(spark, sf_dir, "customer").where("c_custkey % 4 > 0").select(F.col("c_custkey").alias("name"))
+    return c.integrity(index, files, table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("name")))
+
+
+@query("select coalesce(max(coalesce(p_size, 0)) + 1, 2) as n from part")
+def o147_n_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return c.n_classes(table(spark, sf_dir, "part").select(F.col("p_size").alias("id")))
+
+
+@query("select o_custkey, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey) as newest, o_orderkey from orders")
+def o159_project_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places in each owner's list of projects, newest first."""
+    from pyspark.sql import Window
+
+    t = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.col("o_orderdate").alias("created"), F.col("o_orderkey").alias("name"))
+    return t.select("o_custkey", F.row_number().over(Window.partitionBy("o_custkey").orderBy(*c.project_order("newest"))).alias("newest"), "o_orderkey")
+
+
+@query("select c_custkey, greatest(60, least(100, coalesce(case when c_acctbal > 0 then floor(c_acctbal)::bigint % 140 end, 90)))::bigint as quality from customer")
+def o146_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    quality = F.when(F.col("c_acctbal") > 0, F.floor("c_acctbal") % 140)
+    t = table(spark, sf_dir, "customer").select("c_custkey", quality.alias("quality"))
+    return c.with_defaults(t, {"quality": 90}, {"quality": (60, 100)}).select("c_custkey", F.col("quality").cast("bigint").alias("quality"))

@@ -167,3 +167,16 @@ def o63_grid_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("image"), F.col("l_linenumber").alias("gy"), (F.col("l_suppkey") % 9).alias("gx"), F.col("l_extendedprice").alias("score"))
     merged = e.grid_merge(cells, F.col("gy") + 1, F.col("gx") + 1)
     return merged.select("image", F.col("gy").cast("int").alias("gy"), F.col("gx").cast("bigint").alias("gx"), F.round("score", 6).alias("score"))
+
+
+@query(f"""with {CELLS_SQL}, m as (select image, gy, gx, max(score) as score from cells group by all), s as (select image, max(gy) + 1 as h, max(gx) + 1 as w from m group by 1),
+f as (select image, h, w, gy, gx from s, range(12) a(gy), range(12) b(gx) where gy < h and gx < w), g as (select f.image, h, w, f.gy, f.gx, coalesce(score, 0) as score from f left join m on f.image = m.image and f.gy = m.gy and f.gx = m.gx),
+p as (select image, h, w, y, x, greatest(0, least(h - 1, (y + 0.5) / 4 - 0.5)) as v, greatest(0, least(w - 1, (x + 0.5) / 4 - 0.5)) as u from s, range(48) a(y), range(48) b(x) where y < h * 4 - 3 and x < w * 4 + 5)
+select p.image, p.y::int as y, round(sum(score * greatest(0, 1 - abs(v - gy)) * greatest(0, 1 - abs(u - gx))), 8) as total from p join g on p.image = g.image and abs(v - gy) < 1 and abs(u - gx) < 1 group by 1, 2""")
+def o64_grid_to_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heat maps of four pixels to a cell; each row's total."""
+    t = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("image"), F.col("l_linenumber").alias("gy"), (F.col("l_suppkey") % 9).alias("gx"), F.col("l_extendedprice").alias("score"))
+    cells = t.groupBy("image", "gy", "gx").agg(F.max("score").alias("score"))
+    sizes = cells.groupBy("image").agg(((F.max("gy") + 1) * 4 - 3).alias("height"), ((F.max("gx") + 1) * 4 + 5).alias("width"))
+    pixels = e.grid_to_pixels(cells.join(sizes, "image"), 4)
+    return pixels.select("image", "y", F.round(F.aggregate("scores", F.lit(0.0), lambda a, x: a + x), 8).alias("total"))
