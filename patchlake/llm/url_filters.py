@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from patchlake.llm.common import materialise
+
 #: (verdict, host, path)
 RULES = (
     ("allow", "com", "/"),
@@ -27,6 +29,8 @@ RULES = (
 DAMPING = 0.85
 ROUNDS = 6
 FLOOR = 1.0
+#: Up to so many blocked hosts (about 50 MB) are sent to every executor; more are joined by a shuffle.
+SENT_HOSTS = 500_000
 LINK = r"""(?i)href\s*=\s*["']?(?:[a-z][a-z0-9+.\-]*:)?//([^/?#"'\s>]+)"""
 LOWER = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -86,6 +90,8 @@ def host_scores(pages: DataFrame, edges: DataFrame, rules=RULES, floor: float =
 def filter_urls(pages: DataFrame, scores: DataFrame, rules=RULES, keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
     """`keep` columns, host, path, rule, verdict of every page."""
     named = pages.select(*keep, host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    blocked = scores.where("blocked").select("host", F.lit("block").alias("by_links"))
+    blocked = materialise(scores.where("blocked").select("host", F.lit("block").alias("by_links")), "blocked")
+    if blocked.count() <= SENT_HOSTS:
+        blocked = F.broadcast(blocked)  # so pages of one host needn't meet
     found = rule_of(F.col("host"), F.col("path"), rules)
     return named.join(blocked, "host", "left").select(*keep, "host", "path", found["rule"].alias("rule"), F.coalesce(found["verdict"], "by_links", F.lit("allow")).alias("verdict"))
