@@ -7,13 +7,16 @@ import json
 import uuid
 import zipfile
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from patchlake.functions.geometry import PATCH, WINDOW
 from patchlake.functions.identity import base_name, has_image_extension, stem
+from patchlake.functions.udtf import WindowOffsets
 
 IMAGE = "name string, bytes bigint, content binary"
 VECTORS = "path string, row int, vec array<double>"
@@ -134,3 +137,40 @@ def export_package(bank: DataFrame, centroids: DataFrame | None, path: str) -> D
     manifest = bank.agg(F.count("*").alias("rows"), F.max(F.size("vec")).alias("dim"), F.lit(centroids is not None).alias("routed"))
     manifest.write.json(f"{path}/manifest")
     return bank.sparkSession.read.schema(manifest.schema).json(f"{path}/manifest")
+
+
+FEATURES = "entry bigint, row int, vec array<float>"
+
+
+def window_rows(decode, encode, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One image at a time: mirrored up to a window, cut, encoded, rows in window order."""
+    side = WINDOW // PATCH
+    for b in batches:
+        for entry, content in zip(b["entry"], b["content"], strict=True):
+            image = decode(content)
+            if image is None:
+                continue
+            pad = [(0, max(0, WINDOW - n)) for n in image.shape[:2]]
+            image = np.pad(image, [*pad, *[(0, 0)] * (image.ndim - 2)], mode="reflect")
+            for win, y, x in WindowOffsets().eval(*image.shape[:2]):
+                vectors = np.asarray(encode(image[y : y + WINDOW, x : x + WINDOW]), np.float16).astype(np.float32)
+                if len(vectors) != side * side:
+                    raise ValueError(f"the encoder gave {len(vectors)} rows for a window, not {side * side}")
+                yield pd.DataFrame({"entry": entry, "row": np.arange(len(vectors), dtype=np.int32) + win * side * side, "vec": list(vectors)})
+
+
+def extracted(images: DataFrame, decode, encode) -> DataFrame:
+    """entry, row, vec of images (entry, content): decode(bytes) gives an array or None, encode(window) a row for each of its patches."""
+    return images.select("entry", "content").mapInPandas(partial(window_rows, decode, encode), FEATURES)
+
+
+def import_bank(spark: SparkSession, source: str, root: str, needed: tuple[str, ...] = ("tier", "label", "row", "vec")) -> str:
+    """Check a bank that was saved elsewhere and save it as this root's version: columns, known tiers, vectors of one length."""
+    bank = load_bank(spark, source)
+    missing = [c for c in needed if c not in bank.columns]
+    if missing:
+        raise ValueError(f"columns are missing: {missing}")
+    odd = bank.agg(F.count_if(~F.col("tier").isin("normal", "critical", "negative")).alias("tiers"), (F.max(F.size("vec")) != F.min(F.size("vec"))).alias("lengths")).first()
+    if odd["tiers"] or odd["lengths"]:
+        raise ValueError("unknown tiers, or vectors of several lengths")
+    return save_bank(bank, root)

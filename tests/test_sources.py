@@ -81,3 +81,39 @@ def test_index_grows(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.read.parquet(f"{tmp_path}/index").where("cluster = 1").count() == 10 and asked == [20]
+
+
+def test_features_of_images(spark):
+    rng = np.random.default_rng(0)
+    shapes = [(300, 400), (600, 1000)]
+    images = [rng.integers(0, 255, (h, w, 3), dtype=np.uint8) for h, w in shapes]
+
+    def saved(x):
+        out = io.BytesIO()
+        np.save(out, x)
+        return out.getvalue()
+
+    def encode(window):
+        return window[: 37 * 14, : 37 * 14].reshape(37, 14, 37, 14, 3).mean(axis=(1, 3)).reshape(-1, 3)
+
+    t = spark.createDataFrame([(i, saved(x)) for i, x in enumerate(images)] + [(9, b"bad")], "entry bigint, content binary")
+    found = {}
+    for r in files.extracted(t, lambda b: None if b == b"bad" else np.load(io.BytesIO(b)), encode).collect():
+        found.setdefault(r.entry, {})[r.row] = r.vec
+    assert {k: len(v) for k, v in found.items()} == {0: 1369, 1: 6 * 1369}
+    assert np.allclose(found[1][0], images[1][:14, :14].mean(axis=(0, 1)), rtol=1e-3)
+    assert np.allclose(found[1][1369 * 5 + 1368], images[1][-14:, -14:].mean(axis=(0, 1)), rtol=1e-3)
+    assert np.allclose(found[0][22 * 37], np.pad(images[0], ((0, 218), (0, 118), (0, 0)), mode="reflect")[308:322, :14].mean(axis=(0, 1)), rtol=1e-3)
+
+
+def test_import_is_checked(spark, tmp_path):
+    import pytest
+
+    bank = spark.createDataFrame([("normal", "", 0, [1.0, 2.0]), ("critical", "a", 0, [1.0, 2.0])], "tier string, label string, row int, vec array<double>")
+    files.save_bank(bank, f"{tmp_path}/one")
+    files.import_bank(spark, f"{tmp_path}/one", f"{tmp_path}/two")
+    assert files.load_bank(spark, f"{tmp_path}/two").count() == 2
+    for k, wrong in enumerate((bank.withColumn("tier", F.lit("x")), bank.drop("row"), bank.withColumn("vec", F.when(F.col("tier") == "normal", F.col("vec")).otherwise(F.array(F.lit(1.0)))))):
+        files.save_bank(wrong, f"{tmp_path}/w{k}")
+        with pytest.raises(ValueError, match="unknown|missing"):
+            files.import_bank(spark, f"{tmp_path}/w{k}", f"{tmp_path}/three")
