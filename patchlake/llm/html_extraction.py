@@ -11,7 +11,11 @@ largest sum of log-odds, so no ancestor and descendant contradict each other.
 
 The trees are trained here, on pages that `training_page` draws from a seed, with
 articles, menus, notices, adverts, forms, sidebars and comments in many shapes;
-`PAGES` bounds their number. No page of the corpus is needed for it.
+`PAGES` and, with text directly in the body, `BARE_PAGES` bound their number. No page of the corpus is needed for it.
+
+Text directly in the body is judged like an element: each run of it, with the
+inline elements between, is put into an element of its own (`BARE`). A page that is
+one such run is kept.
 
 Defined cases: null or blank html gives an empty text; text outside of any tag
 belongs to the body; unclosed and stray tags are tolerated, scripts, styles and
@@ -32,7 +36,7 @@ from pyspark.sql import types as T
 
 from patchlake.llm.common import map_texts
 
-PAGES, SEED = 500, 7
+PAGES, BARE_PAGES, SEED = 500, 200, 7
 TREES, DEPTH, RATE, BINS, LEAST_LEAF = 40, 4, 0.25, 32, 20
 DEEPEST = 256
 FOUND = T.StructType([T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
@@ -42,12 +46,14 @@ NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([
 WORD = re.compile("[a-z]+")
 RAW = frozenset("script style noscript template textarea title svg iframe object select xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
+#: The tag of a run of text directly in the body; no tag of a page has this name.
+BARE = "#text"
+BLOCKS = frozenset(f"{BARE} address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 INLINE = frozenset("abbr b bdi bdo cite code em font i mark q s small span strong sub sup u".split())
-TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
+TEXTUAL = frozenset(f"{BARE} p h1 h2 h3 h4 h5 h6 blockquote pre".split())
 #: Tags that end by the start of another: an open tag, and those that end it.
 ENDED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
-TAGS = "article main section div p h1 h2 h3 ul ol li a nav header footer aside form table td blockquote pre figure span".split()
+TAGS = f"{BARE} article main section div p h1 h2 h3 ul ol li a nav header footer aside form table td blockquote pre figure span".split()
 #: Kinds of words in class, id and role.
 KINDS = {
     "content": "article content post entry story main body text prose page blog".split(),
@@ -116,7 +122,45 @@ def parse(page: str) -> tuple[Node, list[Node]]:
         nodes.append(node)
         if tag not in VOID and not m["attributes"].endswith("/") and depth < DEEPEST:
             here, depth = node, depth + 1
-    return root, nodes
+    return root, with_runs(root, nodes)
+
+
+def with_runs(root: Node, nodes: list[Node]) -> list[Node]:
+    """All elements in page order, after each run of bare text and inline elements below the root got an element around it. A page without elements stays as it is."""
+    if len(nodes) == 1 or all(isinstance(c, Node) or c.isspace() for c in root.children):
+        return nodes
+    below: dict[Node, list[Node]] = {}
+    for x in nodes[1:]:
+        if x.parent is root:
+            own = below[x] = []
+        own.append(x)
+    children, out, run = [], [root], []
+
+    def close() -> None:
+        if any(isinstance(c, str) and not c.isspace() for c in run):
+            bare = Node(BARE, root)
+            bare.children = run.copy()
+            children.append(bare)
+            out.append(bare)
+            for c in run:
+                if isinstance(c, Node):
+                    c.parent = bare
+        else:
+            children.extend(run)
+        for c in run:
+            out.extend(below[c] if isinstance(c, Node) else ())
+        run.clear()
+
+    for c in root.children:
+        if isinstance(c, Node) and c.tag in BLOCKS:
+            close()
+            children.append(c)
+            out.extend(below[c])
+        else:
+            run.append(c)
+    close()
+    root.children = children
+    return out
 
 
 OWN = 8
@@ -238,6 +282,8 @@ def decode(nodes: list[Node], odds: np.ndarray) -> np.ndarray:
     for i, x in enumerate(nodes):  # words within a paragraph go with it
         if i and x.tag not in BLOCKS and nodes[up[i]].tag in TEXTUAL | INLINE:
             odds[i] = odds[up[i]]
+        elif x.tag == BARE and len(nodes[0].children) == 1:  # all of the page
+            odds[i] = abs(odds[i]) + 1
     weight = odds * np.array([any(isinstance(c, str) and not c.isspace() for c in x.children) for x in nodes])
     weight += 0.01 * np.tanh(odds)
     best = weight.copy()
@@ -292,8 +338,8 @@ def prose(rng: random.Random, least: int, most: int) -> str:
     return " ".join(w + mark for w in words)
 
 
-def training_page(seed: int) -> tuple[str, set[int]]:
-    """A page and the places, in page order, of its elements that are content."""
+def training_page(seed: int, bare: bool = False) -> tuple[str, set[int]]:
+    """A page and the places, in page order, of its elements that are content. With `bare`, the article and parts of the rest are text directly in the body."""
     rng = random.Random(seed)
     parts: list[str] = []
     good: set[int] = set()
@@ -370,12 +416,69 @@ def training_page(seed: int) -> tuple[str, set[int]]:
         holder = rng.choice(("article", "article", "main", "div", "section"))
         put(holder, name("content", 0.3 if holder in ("article", "main") else 1), article, True)
 
+    def run(inner, content: bool) -> None:
+        count[0] += 1
+        if content:
+            good.add(count[0])
+        inner()
+
+    def bare_words(content: bool, least: int, most: int) -> None:
+        def inner() -> None:
+            for i in range(rng.choice((1, 1, 2, 3))):
+                if i:
+                    put_inline(rng.choice(("b", "i", "a", "span")), prose(rng, 1, 4), content)
+                parts.append(prose(rng, least, most))
+                if rng.random() < 0.4:
+                    void("br", content)
+                    parts.append(prose(rng, least, most))
+
+        run(inner, content)
+
+    def put_inline(tag: str, inner: str, content: bool) -> None:
+        parts.append(" ")
+        put(tag, "", inner, content)
+        parts.append(" ")
+
+    def void(tag: str, content: bool) -> None:
+        count[0] += 1
+        if content:
+            good.add(count[0])
+        parts.append(f"<{tag}>")
+
+    def bare_article() -> None:
+        if rng.random() < 0.7:
+            put(rng.choice(("h1", "h2")), "", prose(rng, 1, 12), True)
+        else:
+            void("hr", False)
+        for _ in range(rng.choice((1, 1, 2, 3, 5, 8))):
+            bare_words(True, 5, 100)
+            if rng.random() < 0.6:
+                put("h2", "", prose(rng, 1, 6), True)
+            elif rng.random() < 0.5:
+                put("p", "", prose(rng, 1, 120), True)
+            elif rng.random() < 0.5:
+                put("ul", "", lambda: [put("li", "", prose(rng, 2, 25), True) for _ in range(rng.randint(2, 6))], True)
+            else:
+                void("hr", False)
+
+    def bare_edge() -> None:
+        void("hr", False)
+        if rng.random() < 0.5:
+            run(lambda: [(put("a", "", prose(rng, 1, 3), False), parts.append(rng.choice((" | ", " - ", " &middot; ")))) for _ in range(rng.randint(2, 10))], False)
+        else:
+            run(lambda: parts.append("&copy; host.example " + prose(rng, 1, 6)), False)
+        void("hr", False)
+
     before = [menu, lambda: edge("header"), lambda: boxed("advert", ("div", "aside", "section"), 15), lambda: boxed("notice", ("div", "section"), 30), lambda: boxed("form", ("form", "div"), 8)]
     after = [lambda: edge("footer"), lambda: boxed("side", ("aside", "div"), 30), reader, lambda: boxed("form", ("form", "div"), 10), lambda: boxed("advert", ("div",), 15)]
+    if bare:
+        before, after = [*before, bare_edge], [*after, bare_edge]
     for part in before:
         if rng.random() < 0.6:
             part()
-    if rng.random() < 0.3:
+    if bare:
+        bare_article()
+    elif rng.random() < 0.3:
         put("div", name("content", 0.5), body, True)
     else:
         body()
@@ -389,8 +492,8 @@ def training_page(seed: int) -> tuple[str, set[int]]:
 def model() -> Boosted:
     """Fitted on elements that hold text, or hold such elements: parent choices need odds too."""
     rows, truth = [], []
-    for seed in range(SEED, SEED + PAGES):
-        page, good = training_page(seed)
+    for seed in range(SEED, SEED + PAGES + BARE_PAGES):
+        page, good = training_page(seed, seed >= SEED + PAGES)
         _, nodes = parse(page)
         own = features(nodes)
         rows.append(own[1:])
@@ -407,7 +510,6 @@ def main_texts(pages: list, trees: Boosted) -> list[str]:
     for root, nodes in parsed:
         kept = decode(nodes, odds[at : at + len(nodes)])
         at += len(nodes)
-        root.children = [c for c in root.children if not isinstance(c, str)] if len(nodes) > 1 else root.children
         out.append("\n\n".join(blocks_of(root, kept)))
     left = iter(out)
     return [next(left) if p else "" for p in pages]

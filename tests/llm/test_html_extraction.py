@@ -72,3 +72,33 @@ def test_defined_cases(spark):
     assert [x.text for x in by[4]] == [want, want] and by[5][0].text == want
     assert by[9][0].text.count("many words") == 20_000
     assert extract(df.where("false")).count() == 0
+
+
+def test_text_directly_in_the_body(trees):
+    """Bare text next to tags is judged, not dropped; what is all of a page is kept."""
+    first = "This is the first part of a long article, and it goes on for many words. " * 4
+    second = "The second part says more, in sentences, with commas and stops. " * 4
+    menu = '<nav class="menu"><ul><li><a href="/a">Home</a></li><li><a href="/b">News</a></li><li><a href="/c">About</a></li></ul></nav>'
+    pages = [f"<html><body>{first}<br>{second}<b>bold end</b></body></html>", f"<body>{menu}{first}<h2>Heading</h2>{second}with <b>bold</b> &amp; more.</body>", "<body>short<br>text</body>", "only text"]
+    got = main_texts(pages, trees)
+    assert got[0] == " ".join((first + second + "bold end").split())
+    assert got[1] == "\n\n".join([" ".join(first.split()), "Heading", " ".join((second + "with bold & more.").split())])
+    assert got[2:] == ["short text", "only text"]
+
+
+def test_held_out_pages_with_bare_text(trees):
+    share = total = 0
+    for seed in range(200_000, 200_100):
+        page, good = training_page(seed, True)
+        want, got = gold(page, good).split("\n\n"), main_texts([page], trees)[0].split("\n\n")
+        share += len(set(want) & set(got))
+        total += len(set(want) | set(got))
+    assert share / total > 0.9
+
+
+def test_runs_keep_page_order():
+    root, nodes = parse("a<b>c<i>d</i></b> e<p>f</p> <span>g</span> <div>h</div>i")
+    features(nodes)
+    assert [x.tag for x in nodes] == ["body", "#text", "b", "i", "p", "span", "div", "#text"]
+    assert [x.parent.index for x in nodes[1:]] == [0, 1, 2, 0, 0, 0, 0]
+    assert blocks_of(root, np.ones(len(nodes), bool)) == ["acd e", "f", "g", "h", "i"]
