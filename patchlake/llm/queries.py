@@ -63,7 +63,7 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     edges = materialise(host_edges(pages), "edges")
-    return filter_urls(pages, host_scores(pages, edges))
+    return filter_urls(pages, host_scores(pages, edges, rounds=None))
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,9 @@
 
 Trust starts at hosts with pages that a rule allows and follows links; distrust
 starts at hosts with pages that a rule blocks and follows links backwards. Both
-are personalised PageRank, summed as a series of `rounds` pushes over host edges
-(joins and sums only). A host without a fitting rule is blocked if its distrust
+are personalised PageRank, summed as a series of pushes over host edges (joins and
+sums only): until what is left to push is at most `TOLERANCE`, or, with `rounds`, its
+first terms only, as in the SQL. A host without a fitting rule is blocked if its distrust
 is above its trust and above `floor` shares of an even spread.
 
 Defined cases: a null url, or one without "://", has empty host and path and is
@@ -13,6 +14,8 @@ with no links, or no seeds, only the rules block.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +30,12 @@ RULES = (
     ("block", "net", "/fr/"),
 )
 DAMPING = 0.85
+#: Pushes of the shortened series that the SQL sums; the query goes on until TOLERANCE.
 ROUNDS = 6
+#: Of a total mass of 1; as small as the last digit of scores that is compared.
+TOLERANCE = 1e-12
+#: So many pushes are done between two written tables.
+PUSHES = 6
 FLOOR = 1.0
 #: Up to so many blocked hosts (about 50 MB) are sent to every executor; more are joined by a shuffle.
 SENT_HOSTS = 500_000
@@ -62,18 +70,34 @@ def host_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     return counted.join(counted.groupBy("src").agg(F.sum("n").alias("total")), "src").select("src", "dst", (F.col("n") / F.col("total")).alias("weight"))
 
 
-def spread(seeds: DataFrame, edges: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
-    """host, score: the personalised PageRank of `seeds` (host, mass) after so many pushes."""
-    push = seeds.select("host", (F.col("mass") * (1 - damping)).alias("mass"))
-    total = push
-    for _ in range(rounds):
+def pushed(push: DataFrame, edges: DataFrame, times: int, damping: float) -> list[DataFrame]:
+    """host, mass after each of so many pushes."""
+    out = []
+    for _ in range(times):
         push = push.join(edges, push["host"] == edges["src"]).groupBy("dst").agg((F.sum(F.col("mass") * F.col("weight")) * damping).alias("mass")).withColumnRenamed("dst", "host")
-        total = total.unionByName(push)
-    return total.groupBy("host").agg(F.sum("mass").alias("score"))
+        out.append(push)
+    return out
 
 
-def host_scores(pages: DataFrame, edges: DataFrame, rules=RULES, floor: float = FLOOR) -> DataFrame:
-    """host, trust, distrust, hosts (how many there are), blocked. `edges` should be a written table: each round reads it."""
+def spread(seeds: DataFrame, edges: DataFrame, rounds: int | None = None, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
+    """host, score: the personalised PageRank of `seeds` (host, mass), up to `tolerance` in all hosts together; with `rounds`, what so many pushes give."""
+    push = seeds.select("host", (F.col("mass") * (1 - damping)).alias("mass"))
+    if rounds is not None:
+        parts = [push, *pushed(push, edges, rounds, damping)]
+    else:
+        parts = [materialise(push.withColumn("last", F.col("mass")), "push")]
+        # what all further pushes can add; it shrinks by `damping` each time at least
+        while (parts[-1].agg(F.sum("last")).first()[0] or 0.0) * damping / (1 - damping) > tolerance:
+            steps = pushed(parts[-1].where("last > 0").select("host", F.col("last").alias("mass")), edges, PUSHES, damping)
+            marked = [x.select("host", "mass", (F.col("mass") if x is steps[-1] else F.lit(0.0)).alias("last")) for x in steps]
+            both = reduce(DataFrame.unionByName, marked).groupBy("host").agg(F.sum("mass").alias("mass"), F.sum("last").alias("last"))
+            parts.append(materialise(both, "push"))
+        parts = [x.select("host", "mass") for x in parts]
+    return reduce(DataFrame.unionByName, parts).groupBy("host").agg(F.sum("mass").alias("score"))
+
+
+def host_scores(pages: DataFrame, edges: DataFrame, rules=RULES, floor: float = FLOOR, rounds: int | None = ROUNDS) -> DataFrame:
+    """host, trust, distrust, hosts (how many there are), blocked. `edges` should be a written table: each round reads it. `rounds` is that of the SQL; None sums the whole series."""
     rule = rule_of(F.col("host"), F.col("path"), rules)["verdict"]
     seen = pages.select(host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).where("host <> ''")
     known = seen.groupBy("host").agg(F.count_if(rule == "allow").alias("allowed"), F.count_if(rule == "block").alias("barred"))
@@ -81,8 +105,10 @@ def host_scores(pages: DataFrame, edges: DataFrame, rules=RULES, floor: float =
     known = known.crossJoin(F.broadcast(sums))  # one row
     seeds = lambda n: known.where(f"{n} > 0").select("host", (F.col(n) / F.col(f"all_{n}")).alias("mass"))
     back = edges.groupBy("dst").agg(F.sum("weight").alias("total")).join(edges, "dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), (F.col("weight") / F.col("total")).alias("weight"))
-    trust = spread(seeds("allowed"), edges).withColumnRenamed("score", "trust")
-    distrust = spread(seeds("barred"), back).withColumnRenamed("score", "distrust")
+    if rounds is None:
+        back = materialise(back, "back")
+    trust = spread(seeds("allowed"), edges, rounds).withColumnRenamed("score", "trust")
+    distrust = spread(seeds("barred"), back, rounds).withColumnRenamed("score", "distrust")
     scored = known.select("host", "hosts").join(trust, "host", "left").join(distrust, "host", "left").na.fill(0.0)
     return scored.withColumn("blocked", (F.round("distrust", 12) > F.round("trust", 12)) & (F.round(F.col("distrust") * F.col("hosts"), 9) > floor))
 

@@ -69,3 +69,31 @@ def test_empty_table_and_clashing_names(spark):
 
     extra = df.withColumns({"host": F.lit("h"), "rule": F.lit("r"), "blocked": F.lit(1)})
     assert filter_urls(extra, host_scores(extra, host_edges(extra))).count() == df.count()
+
+
+def test_the_whole_series_on_a_long_chain(spark, tmp_path):
+    """Fourteen hosts in a row, the last two linking back, against a dense solve; the query blocks what is far from its seed."""
+    from patchlake.llm.queries import op9_url_filters
+
+    chain = [f"h{i:02d}.info" for i in range(13)] + ["spam.net"]
+    to = {a: [b] for a, b in zip(chain, chain[1:], strict=False)}
+    to["spam.net"] = [chain[11], chain[5]]
+    rows = [(i, f"http://{h}/es/", "".join(f'<a href="http://{x}/">x</a>' for x in to[h])) for i, h in enumerate(chain)]
+    rows += [(100 + i, f"http://lone{i}.org/", "") for i in range(40)]
+    spark.createDataFrame(rows, "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    pages = spark.read.parquet(f"{tmp_path}/pages.parquet")
+    edges = host_edges(pages)
+    got = {r.host: r for r in host_scores(pages, edges, rounds=None).collect()}
+    at = {h: i for i, h in enumerate(chain)}
+    m = np.zeros((len(chain), len(chain)))
+    for r in edges.collect():
+        m[at[r.src], at[r.dst]] = r.weight
+    back = m.T / np.maximum(1e-300, m.sum(axis=0)[:, None])
+    want = np.linalg.solve((np.eye(len(chain)) - DAMPING * back).T, (1 - DAMPING) * np.eye(len(chain))[-1])
+    for h in chain:
+        assert abs(got[h].distrust - want[at[h]]) < 1e-10 and got[h].trust == 0
+    assert got[chain[0]].distrust > 0
+    verdicts = {r.host: r.verdict for r in op9_url_filters(spark, str(tmp_path)).collect()}
+    far = [h for h in chain[:7] if want[at[h]] * len(rows) > 1.01]
+    assert far and all(verdicts[h] == "block" for h in far) and verdicts["lone1.org"] == "allow"
+    assert verdicts == {h: "block" if h in at and want[at[h]] * len(rows) > 1 else "allow" for h in verdicts} | {"spam.net": "block"}
