@@ -12,8 +12,8 @@ anew), ssn, date (any day of 1900 to 2099), secret (values after password,
 token, secret or key words, and access key ids).
 
 Defined cases: null stays null with no spans; overlapping finds count for the
-first kind in the list; a value that fails its check is left alone; repeated
-rows and values get equal pseudonyms; very long texts are read whole.
+first kind in the list; a value that fails its check is left alone, but what ends
+earlier or starts later in it is still looked for; repeated and values get equal pseudonyms; very long texts are read whole.
 """
 
 from __future__ import annotations
@@ -42,12 +42,19 @@ PATTERNS = {
     "email": r"(?P<email>[A-Za-z0-9][A-Za-z0-9._%+\-]*)@(?:[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}",
     "iban": r"\b(?P<iban>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?)\b",
     "ip": r"(?<![\d.])(?P<ip>\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})(?!\.?\d)",
-    "card": r"(?<![\d\-+])(?P<card>[3-6]\d{3}(?:[ \-]?\d{4}){3}|3[47]\d{2}[ \-]?\d{6}[ \-]?\d{5})(?![\-]?\d)",
+    "card": r"(?<![\d\-+])(?P<card>(?:[3-6]\d{3}|2(?:22[1-9]|2[3-9]\d|[3-6]\d{2}|7[01]\d|720))(?:[ \-]?\d{4}){3}|3[47]\d{2}[ \-]?\d{6}[ \-]?\d{5})(?![\-]?\d)",
     "phone": r"(?<![\w+])(?P<phone>\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{2,4}(?:[ .\-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .\-]\d{4}|\d{3}-\d{3}-\d{4})(?!\d)",
     "ssn": r"(?<![\d\-])(?P<ssn>\d{3}-\d{2}-\d{4})(?![\d\-])",
     "date": r"(?<![\d./\-])(?P<date>\d{4}(?P<d1>[-/.])\d{2}(?P=d1)\d{2}|\d{1,2}(?P<d2>[-/.])\d{1,2}(?P=d2)\d{4})(?![\d/\-]|\.\d)",
 }
 FIND = re.compile("|".join(PATTERNS.values()))
+#: Kinds whose patterns can run on into what follows, with what separates their groups.
+RUN_ON = {"iban": (re.compile(PATTERNS["iban"]), " "), "phone": (re.compile(PATTERNS["phone"]), " .-")}
+#: Lengths of IBANs by country; others may have any.
+IBAN_LENGTHS = {c: int(w[:2]) for w in (
+    "15NO 16BE 18DKFOFIGLNLSDFK 19MKSI 20ATBAEEKZLTLUXKMN 21CHHRLILV 22BGBHCRDEGBGEIEMERSVA 23AEGIILIQTLSOOM 24ADCZESMDPKROSASESKTNVG 25LYPTST 26ISTR "
+    "27BIDJFRGRITMCMRSM 28ALAZBYCYDOGTHUHNLBNIPLSV 29BREGPSQAUA 30JOKWMUYE 31MTSC 32LC 33RU"
+).split() for c in re.findall("[A-Z]{2}", w)}
 #: A text with none of these has no value of any kind.
 HINT = re.compile(r"\d{2}|@|A[KS]IA|[=:]\s*[\"']?[A-Za-z0-9_+/\-]{8}")
 
@@ -139,7 +146,11 @@ def pseudonym(f: Feistel, kind: str, value: str, back: bool = False) -> str | No
         d = only(value, digit)
         if luhn(d[:-1]) != int(d[-1]):
             return None
-        body = d[0] + f.digits(f"card{d[0]}", d[1:-1], "0123456789", back)
+        if d[0] == "2":  # its first four digits stay within 2221 to 2720
+            x = f.permute("card2", int(d[:-1]) - 2221 * 10**11, 500 * 10**11, back)
+            body = str(2221 * 10**11 + x)
+        else:
+            body = d[0] + f.digits(f"card{d[0]}", d[1:-1], "0123456789", back)
         return put_back(value, body + str(luhn(body)), digit)
     if kind == "phone":
         head = re.match(r"\+1(?=\D|\d{10}$)|\+\d{1,3}(?=\D)|", value)[0]
@@ -213,19 +224,37 @@ def pseudonym(f: Feistel, kind: str, value: str, back: bool = False) -> str | No
     return put_back(put_back(value, a, letter), f"{x:0{len(d)}d}" if d else "", digit)
 
 
+def sizes(kind: str, value: str) -> list[int]:
+    """How many characters of a find to try: all, or where its groups end; an IBAN's country's length first, else the longest."""
+    if kind not in RUN_ON:
+        return [len(value)]
+    pattern, marks = RUN_ON[kind]
+    out = [n for n in range(len(value), 0, -1) if n == len(value) or value[n] in marks and pattern.fullmatch(value[:n])]
+    if kind == "iban":
+        out.sort(key=lambda n: len(value[:n].replace(" ", "")) != IBAN_LENGTHS.get(value[:2]))
+    return out
+
+
 def replaced(f: Feistel, text: str, back: bool = False) -> tuple[str, list[dict]]:
     """The text with pseudonyms, and their spans in the text given."""
     if not HINT.search(text):
         return text, []
     out, spans, end = [], [], 0
-    for m in FIND.finditer(text):
+    at = 0
+    while m := FIND.search(text, at):
+        at = m.start() + 1  # if it fails its check
         kind = next(k for k in ("secret", "access", "email", "iban", "ip", "card", "phone", "ssn", "date") if m[k] is not None)
         if kind == "secret" and m["secret"].isalpha():  # a word
             continue
-        new = pseudonym(f, kind, m[kind], back)
-        if new is None or not re.search("[0-9A-Za-z]", m[kind]):
+        if not re.search("[0-9A-Za-z]", m[kind]):
+            continue
+        tried = ((n, pseudonym(f, kind, m[kind][:n], back)) for n in sizes(kind, m[kind]))
+        n, new = next((t for t in tried if t[1] is not None), (0, None))
+        if new is None:
             continue
-        a, b = m.span(kind)
+        a = m.start(kind)
+        b = a + n
+        at = b if n < len(m[kind]) else m.end()
         out += [text[end:a], new]
         spans.append({"kind": "secret" if kind == "access" else kind, "start": a, "end": b, "pseudonym": new})
         end = b

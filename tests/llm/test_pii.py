@@ -81,3 +81,35 @@ def test_texts(spark):
         assert s.pseudonym in by[1].text
     assert replaced(Feistel(b"k"), by[1].text, back=True)[0] == text
     assert pseudonymise(df.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("iban", ["ES9121000418450200051332", "AT611904300234573201", "SE4550000000058398257466", "BE68539007547034", "PL61109010140000071219812874", "ES91 2100 0418 4502 0005 1332", "NO9386011117947"])
+@pytest.mark.parametrize("after", ["", " BIC", " EUR 500", " 2024", " X", "."])
+def test_ibans_before_other_words(iban, after):
+    text = f"AB12 Pay {iban}{after}"
+    new, spans = replaced(F, text)
+    assert [(s["kind"], text[s["start"] : s["end"]]) for s in spans] == [("iban", iban)]
+    assert iban not in new and new.endswith(after) and replaced(F, new, back=True)[0] == text
+
+
+def test_values_within_rejected_finds():
+    for text, value in (
+        ("password: johnsmith@example.com", "johnsmith"),
+        ("3456 4111 1111 1111 1111", "4111 1111 1111 1111"),
+        ("AB12 ES9121000418450200051332", "ES9121000418450200051332"),
+        ("call +44 20 7946 0958 1234 5678", "+44 20 7946 0958"),
+    ):
+        new, spans = replaced(F, text)
+        assert len(spans) == 1 and text[spans[0]["start"] : spans[0]["end"]].startswith(value) and value not in new
+        assert replaced(F, new, back=True)[0] == text
+
+
+def test_cards_of_the_2_series():
+    for body in ("222100000000000", "272099999999999", "255512345678901"):
+        card = with_check(body)
+        new, spans = replaced(F, f"card {card}, thanks")
+        got = spans[0]["pseudonym"]
+        assert spans[0]["kind"] == "card" and 2221 <= int(got[:4]) <= 2720 and luhn(got[:-1]) == int(got[-1]) and got != card
+        assert replaced(F, new, back=True)[0] == f"card {card}, thanks"
+    for body in ("222099999999999", "272100000000000"):
+        assert replaced(F, with_check(body))[1] == []
