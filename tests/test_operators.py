@@ -101,6 +101,19 @@ def test_youden(spark):
         assert e.youden(t).first()["threshold"] == youden(ok, ng)
 
 
+def test_youden_of_all_events(spark, tmp_path):
+    """Events with ids from 3,000 on count too; the query against brute force."""
+    from patchlake.plans.registry import QUERIES
+
+    rng = random.Random(3)
+    events = [(i, float(rng.randint(0, 40)), "error" if i % 4 == 0 else "view") for i in range(40)]
+    events += [(3000 + i, float(rng.randint(10, 60) + 20 * (i % 3 == 0)), "error" if i % 3 == 0 else "view") for i in range(60)]
+    spark.createDataFrame(events, "event_id bigint, value double, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    ok, ng = ([v for i, v, t in events if (t == "error") == bad] for bad in (False, True))
+    assert QUERIES["o71_youden_all"](spark, str(tmp_path)).first()["threshold"] == round(youden(ok, ng), 6)
+    assert QUERIES["o71_youden"](spark, str(tmp_path)).first()["threshold"] != round(youden(ok, ng), 6)
+
+
 def test_best_alpha_ties_go_to_the_margin(spark):
     swept = spark.createDataFrame([(0, 0.9, -0.5), (5, 1.0, 0.1), (10, 1.0, 0.3), (15, 1.0, 0.3), (20, 0.95, 0.9)], "alpha int, auroc double, margin double")
     assert e.best_alpha(swept)[0] == 10
