@@ -236,3 +236,34 @@ def test_morphology(spark):
             want[own] = cls
         got = {(r.y, r.x): r["class"] for r in m.morphology(t, kind, 2).collect()}
         assert all(got[y, xx] == want[y, xx] for y in range(14) for xx in range(17)), kind
+
+
+def test_every_order_is_an_image(spark, tmp_path):
+    """Orders that the folded queries put into one image stay apart; regions against brute force, morphology by its images only."""
+    from patchlake.plans.registry import QUERIES
+
+    rng = random.Random(5)
+    lines = [(o * 300, rng.randint(1, 30), rng.randint(1, 30), rng.choice("ANR"), 0.05) for o in range(1, 41) for _ in range(7)]
+    spark.createDataFrame(lines, "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_returnflag string, l_discount double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    images = {}
+    for o, part, supp, flag, _ in lines:
+        at, cls = (supp % 12, part % 15), "RAN".index(flag) + 4 * (supp % 29 == 0)
+        images.setdefault(o, {})[at] = min(cls, images.get(o, {}).get(at, 9))
+    want = []
+    for o, own in images.items():
+        left = {k for k, c in own.items() if c > 0}
+        while left:
+            todo = [min(left)]
+            left.discard(todo[0])
+            part = []
+            while todo:
+                y, x = todo.pop()
+                part.append((y, x))
+                near = {(b, a) for b, a in left if max(abs(b - y), abs(a - x)) <= 1 and own[b, a] == own[y, x]}
+                left -= near
+                todo += near
+            want.append((o, own[part[0]], len(part), min(part)[0], min(a for _, a in part)))
+    got = QUERIES["o82_regions_by_order"](spark, str(tmp_path)).collect()
+    assert sorted((r.image, r["class"], r.area, r.y0, r.x0) for r in got) == sorted(want)
+    assert QUERIES["o84_morphology_by_order"](spark, str(tmp_path)).select("image").distinct().count() == len(images) == 40
+    assert QUERIES["o84_morphology"](spark, str(tmp_path)).select("image").distinct().count() == 1
