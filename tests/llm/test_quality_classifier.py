@@ -67,16 +67,21 @@ def corpus(rng, n):
     return [" ".join(rng.choice(words) for _ in range(rng.randint(5, 40))) for _ in range(n)]
 
 
-@pytest.mark.parametrize("shard_rows", [1_000_000, 300])
-def test_scores_equal_the_plain_model(spark, shard_rows):
+@pytest.mark.parametrize(("shard_rows", "moved"), [(1_000_000, False), (300, False), (300, True)])
+def test_scores_equal_the_plain_model(spark, tmp_path, shard_rows, moved):
     rng = random.Random(2)
     trusted = corpus(rng, 40)
     plain = Plain(trusted)
-    path, shards = q.train(spark.createDataFrame([(t,) for t in trusted], "text string"), "text", shard_rows)
-    assert (shards > 1) == (shard_rows == 300)
     texts = [*trusted[:5], *corpus(rng, 5), "zzz qqq xxx", "word word word word", "Ω new ß", "x", "", None]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
-    got = {r.doc_id: r.s for r in q.score(df, path, shards, "text", ["doc_id"], "s").collect()}
+    rows = [(i, t, False) for i, t in enumerate(texts)] + [(100 + i, t, True) for i, t in enumerate(trusted)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, taught boolean").repartition(3)
+    df.write.parquet(f"{tmp_path}/docs")
+    df = spark.read.parquet(f"{tmp_path}/docs")
+    model = q.fitted(df, shard_rows)
+    assert (model[2] > 1) == (shard_rows == 300)
+    if moved:  # to other partitions than those the 5-grams were counted in
+        df = df.orderBy("text").repartition(5, "text")
+    got = {r.doc_id: r.s for r in q.score(df, model, ["doc_id"]).where("doc_id < 100").collect()}
     for i, t in enumerate(texts):
         assert got[i].n_chars == len(grams(t))
         assert got[i].log_p == pytest.approx(plain.log_p(t), rel=1e-9, abs=1e-9), t
