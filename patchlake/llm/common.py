@@ -11,13 +11,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from patchlake.sources.shared import materialise, scratch_path, shared_dir, table
+from patchlake.sources.shared import materialise, scratch_path, shared_dir
+from patchlake.sources.shared import table as plain_table
 
 __all__ = ["dealt_by_bytes", "fresh", "map_texts", "materialise", "scratch_path", "shared_dir", "small_batches", "table"]
 
 
 #: Arrow batches hold about so many bytes at most: what a task has in Python and off the heap follows from it.
 ARROW_BYTES = 8 << 20
+#: A table of fewer bytes isn't dealt out.
+SPREAD_BYTES = 1 << 20
 #: Spark's own bound.
 DEFAULT_ARROW_BYTES = "67108864b"
 
@@ -29,6 +32,14 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(ARROW_BYTES))
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose few small files (one split each) would leave cores idle is dealt out to all of them; the rows are the same."""
+    found = plain_table(spark, sf_dir, name)
+    cores, files = spark.sparkContext.defaultParallelism, len(found.inputFiles())
+    size = int(str(found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return found.repartition(cores) if files < cores and SPREAD_BYTES < size <= files << 27 else found
+
+
 def fresh(name: str, taken: list[str]) -> str:
     """`name`, with underscores before it while a column has it."""
     low = {t.lower() for t in taken}
@@ -69,6 +80,7 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[list], list]], result:
         for b in dealt_by_bytes(batches, batch_bytes):
             columns = [c if isinstance(c, pa.Array) else pa.array(c, k.type) for c, k in zip(work(b.column(0).to_pylist()), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(1), pa.StructArray.from_arrays(columns, fields=list(kinds))], ["kept", "result"])
+        pa.default_memory_pool().release_unused()
 
     out = put.mapInArrow(run, schema)
     return out.select(*[F.col("kept").getField(c).alias(c) for c in keep], F.col("result").alias(fresh(into, keep)))
