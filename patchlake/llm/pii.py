@@ -13,7 +13,9 @@ token, secret or key words, and access key ids).
 
 Defined cases: null stays null with no spans; overlapping finds count for the
 first kind in the list; a value that fails its check is left alone, but what ends
-earlier or starts later in it is still looked for; repeated and values get equal pseudonyms; very long texts are read whole.
+earlier or starts later in it is still looked for; digits of other scripts than
+ASCII are no digits here; repeated values get equal pseudonyms; very long texts are
+read whole.
 """
 
 from __future__ import annotations
@@ -29,23 +31,23 @@ from pyspark.sql import types as T
 from patchlake.llm.common import map_texts
 
 ROUNDS = 8
-#: For tests and checks; give a secret one of your own in production.
-KEY = b"patchlake example key"
+#: For examples, tests and checks only.
+EXAMPLE_KEY = b"patchlake example key"
 SPAN = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("pseudonym", T.StringType())])
 FOUND = T.StructType([T.StructField("text", T.StringType()), T.StructField("n_spans", T.LongType()), T.StructField("spans", T.ArrayType(SPAN))])
 DAYS = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
-LETTERS, HEX, UPPER36 = "abcdefghijklmnopqrstuvwxyz", "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+DIGITS, LETTERS, HEX, UPPER36 = "0123456789", "abcdefghijklmnopqrstuvwxyz", "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
 
 #: Patterns of the kinds, in order of precedence.
 PATTERNS = {
     "secret": r"""(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\b["']?\s*[=:]\s*["']?)(?P<secret>[A-Za-z0-9_+/\-]{8,})|\b(?P<access>(?:AKIA|ASIA)[A-Z0-9]{16})\b""",
     "email": r"(?P<email>[A-Za-z0-9][A-Za-z0-9._%+\-]*)@(?:[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}",
-    "iban": r"\b(?P<iban>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?)\b",
-    "ip": r"(?<![\d.])(?P<ip>\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})(?!\.?\d)",
-    "card": r"(?<![\d\-+])(?P<card>(?:[3-6]\d{3}|2(?:22[1-9]|2[3-9]\d|[3-6]\d{2}|7[01]\d|720))(?:[ \-]?\d{4}){3}|3[47]\d{2}[ \-]?\d{6}[ \-]?\d{5})(?![\-]?\d)",
-    "phone": r"(?<![\w+])(?P<phone>\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{2,4}(?:[ .\-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .\-]\d{4}|\d{3}-\d{3}-\d{4})(?!\d)",
-    "ssn": r"(?<![\d\-])(?P<ssn>\d{3}-\d{2}-\d{4})(?![\d\-])",
-    "date": r"(?<![\d./\-])(?P<date>\d{4}(?P<d1>[-/.])\d{2}(?P=d1)\d{2}|\d{1,2}(?P<d2>[-/.])\d{1,2}(?P=d2)\d{4})(?![\d/\-]|\.\d)",
+    "iban": r"\b(?P<iban>[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?)\b",
+    "ip": r"(?<![0-9.])(?P<ip>[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3})(?!\.?[0-9])",
+    "card": r"(?<![0-9\-+])(?P<card>(?:[3-6][0-9]{3}|2(?:22[1-9]|2[3-9][0-9]|[3-6][0-9]{2}|7[01][0-9]|720))(?:[ \-]?[0-9]{4}){3}|3[47][0-9]{2}[ \-]?[0-9]{6}[ \-]?[0-9]{5})(?![\-]?[0-9])",
+    "phone": r"(?<![\w+])(?P<phone>\+[0-9]{1,3}[ .\-]?(?:\([0-9]{1,4}\)[ .\-]?)?[0-9]{2,4}(?:[ .\-]?[0-9]{2,4}){1,4}|\([0-9]{3}\) ?[0-9]{3}[ .\-][0-9]{4}|[0-9]{3}-[0-9]{3}-[0-9]{4})(?![0-9])",
+    "ssn": r"(?<![0-9\-])(?P<ssn>[0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9\-])",
+    "date": r"(?<![0-9./\-])(?P<date>[0-9]{4}(?P<d1>[-/.])[0-9]{2}(?P=d1)[0-9]{2}|[0-9]{1,2}(?P<d2>[-/.])[0-9]{1,2}(?P=d2)[0-9]{4})(?![0-9/\-]|\.[0-9])",
 }
 FIND = re.compile("|".join(PATTERNS.values()))
 #: Kinds whose patterns can run on into what follows, with what separates their groups.
@@ -56,7 +58,7 @@ IBAN_LENGTHS = {c: int(w[:2]) for w in (
     "27BIDJFRGRITMCMRSM 28ALAZBYCYDOGTHUHNLBNIPLSV 29BREGPSQAUA 30JOKWMUYE 31MTSC 32LC 33RU"
 ).split() for c in re.findall("[A-Z]{2}", w)}
 #: A text with none of these has no value of any kind.
-HINT = re.compile(r"\d{2}|@|A[KS]IA|[=:]\s*[\"']?[A-Za-z0-9_+/\-]{8}")
+HINT = re.compile(r"[0-9]{2}|@|A[KS]IA|[=:]\s*[\"']?[A-Za-z0-9_+/\-]{8}")
 
 
 class Feistel:
@@ -141,7 +143,7 @@ def mod97(country: str, account: str) -> int:
 
 def pseudonym(f: Feistel, kind: str, value: str, back: bool = False) -> str | None:
     """The value's pseudonym (or, with `back`, the value of a pseudonym); None if the value doesn't pass its check."""
-    digit = str.isdigit
+    digit = DIGITS.__contains__
     if kind == "card":
         d = only(value, digit)
         if luhn(d[:-1]) != int(d[-1]):
@@ -150,15 +152,15 @@ def pseudonym(f: Feistel, kind: str, value: str, back: bool = False) -> str | No
             x = f.permute("card2", int(d[:-1]) - 2221 * 10**11, 500 * 10**11, back)
             body = str(2221 * 10**11 + x)
         else:
-            body = d[0] + f.digits(f"card{d[0]}", d[1:-1], "0123456789", back)
+            body = d[0] + f.digits(f"card{d[0]}", d[1:-1], DIGITS, back)
         return put_back(value, body + str(luhn(body)), digit)
     if kind == "phone":
-        head = re.match(r"\+1(?=\D|\d{10}$)|\+\d{1,3}(?=\D)|", value)[0]
+        head = re.match(r"\+1(?=[^0-9]|[0-9]{10}$)|\+[0-9]{1,3}(?=[^0-9])|", value)[0]
         rest = value[len(head) :]
         d = only(rest, digit)
         if not 7 <= len(d) + len(head) <= 16:
             return None
-        return head + put_back(rest, f.digits(f"phone{head}", d, "0123456789", back), digit)
+        return head + put_back(rest, f.digits(f"phone{head}", d, DIGITS, back), digit)
     if kind == "ip":
         parts = [int(p) for p in value.split(".")]
         if max(parts) > 255:
@@ -200,7 +202,7 @@ def pseudonym(f: Feistel, kind: str, value: str, back: bool = False) -> str | No
         country, check, account = plain[:2], plain[2:4], plain[4:]
         if not 15 <= len(plain) <= 34 or 98 - mod97(country, account) != int(check):
             return None
-        account = put_back(account, f.digits(f"iban{country}{re.sub(r'[0-9]', '', account)}", only(account, digit), "0123456789", back), digit)
+        account = put_back(account, f.digits(f"iban{country}{re.sub(r'[0-9]', '', account)}", only(account, digit), DIGITS, back), digit)
         return put_back(value, f"{country}{98 - mod97(country, account):02d}{account}", str.isalnum)
     if kind == "access":
         return value[:4] + f.digits("access", value[4:], UPPER36, back)
@@ -271,6 +273,6 @@ def worker(key: bytes, back: bool):
     return work
 
 
-def pseudonymise(docs: DataFrame, key: bytes = KEY, text: str = "text", keep: list[str] | None = None, into: str = "found", back: bool = False) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: bytes, text: str = "text", keep: list[str] | None = None, into: str = "found", back: bool = False) -> DataFrame:
     """`keep` columns and a struct: text with pseudonyms (with `back`: with the values again), n_spans, spans in the old text."""
     return map_texts(docs, partial(worker, key, back), FOUND, text, keep, into)

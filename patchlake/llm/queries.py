@@ -11,7 +11,7 @@ from patchlake.llm.common import materialise, table
 from patchlake.llm.decontaminate import decontaminate
 from patchlake.llm.html_extraction import extract
 from patchlake.llm.near_dedup import near_duplicates
-from patchlake.llm.pii import pseudonymise
+from patchlake.llm.pii import EXAMPLE_KEY, pseudonymise
 from patchlake.llm.quality_classifier import classify
 from patchlake.llm.quality_rules import quality_rules
 from patchlake.llm.token_counts import count_tokens
@@ -55,7 +55,7 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = pseudonymise(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    out = pseudonymise(table(spark, sf_dir, "documents"), EXAMPLE_KEY, keep=["doc_id"])
     kinds = F.concat_ws(",", F.array_sort(F.col("found.spans.kind")))
     return out.select("doc_id", "found.n_spans", kinds.alias("kinds"), "found.text")
 

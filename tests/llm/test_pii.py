@@ -80,7 +80,7 @@ def test_texts(spark):
     for s in by[1].spans:
         assert s.pseudonym in by[1].text
     assert replaced(Feistel(b"k"), by[1].text, back=True)[0] == text
-    assert pseudonymise(df.where("false")).count() == 0
+    assert pseudonymise(df.where("false"), b"k").count() == 0
 
 
 @pytest.mark.parametrize("iban", ["ES9121000418450200051332", "AT611904300234573201", "SE4550000000058398257466", "BE68539007547034", "PL61109010140000071219812874", "ES91 2100 0418 4502 0005 1332", "NO9386011117947"])
@@ -113,3 +113,10 @@ def test_cards_of_the_2_series():
         assert replaced(F, new, back=True)[0] == f"card {card}, thanks"
     for body in ("222099999999999", "272100000000000"):
         assert replaced(F, with_check(body))[1] == []
+
+
+def test_digits_of_other_scripts_are_left(spark):
+    rows = [(0, "call (٢٠٧) ١٢٣-٤٥٦٧ now"), (1, "+44 ٢٠٧ ١٢٣٤ ٥٦٧"), (2, "ip １９２.１６８.1.1 and ४२४२४२४२४२४२४२४२"), (3, "२०१९-०१-०२ 207-123-4567 ١٢٣-٤٥-٦٧٨٩")]
+    got = {r.doc_id: r.found for r in pseudonymise(spark.createDataFrame(rows, "doc_id bigint, text string"), b"k", keep=["doc_id"]).collect()}
+    assert [got[i].n_spans for i in range(4)] == [0, 0, 0, 1]
+    assert all(got[i].text == rows[i][1] for i in range(3)) and got[3].spans[0].kind == "phone"
