@@ -10,7 +10,7 @@ from patchlake.llm.bpe import encode, ids_digest
 from patchlake.llm.common import fresh, materialise, scratch_path, table
 from patchlake.llm.decontaminate import decontaminate
 from patchlake.llm.near_dedup import near_duplicates
-from patchlake.llm.pii import pseudonymise
+from patchlake.llm.pii import EXAMPLE_KEY, pseudonymise
 from patchlake.llm.quality_classifier import classify
 
 
@@ -40,7 +40,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data in the texts are replaced by pseudonyms of their format; n_chars follows."""
     found = fresh("found", docs.columns)
-    out = pseudonymise(docs, into=found)
+    out = pseudonymise(docs, EXAMPLE_KEY, into=found)
     text = F.col(f"`{found}`.text")
     return out.withColumns({"text": text, "n_chars": F.char_length(text).cast("bigint")}).select(docs.columns)
 
