@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from patchlake.llm.common import fresh, map_texts, small_batches
+from patchlake.llm.common import fresh, map_texts, materialise, small_batches
 
 LEAF = 2048
 REACH = 256
@@ -241,7 +241,8 @@ def encode(df: DataFrame, tokenizer: str, text: str = "text", keep: list[str] |
         special = special | body.contains(s)
     long = F.coalesce((F.char_length(body) > LONG_TEXT) & ~special, F.lit(False))  # texts with special strings are cut at these, where they are
     near = map_texts(df.where(~long), partial(worker, tokenizer, decode), IDS, text, keep, name)
-    far = df.where(long).select(F.monotonically_increasing_id().alias("row"), body.alias("text"), F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept"))
+    # written, as it is read twice and its numbers must be the same both times
+    far = materialise(df.where(long).select(F.monotonically_increasing_id().alias("row"), body.alias("text"), F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept")), "long")
     parts = far.select("row", "text").mapInPandas(part_rows, "row bigint, part int, text string, unsafe boolean").repartition("row", "part")
     coded = map_texts(parts, partial(worker, tokenizer, False), IDS, "text", ["row", "part", "unsafe"], "found", PART).select("row", "part", "unsafe", "found.ids")
     whole = coded.groupBy("row").applyInPandas(partial(merged_rows, tokenizer, decode), "row bigint, ids array<int>, decoded string")

@@ -66,3 +66,13 @@ def test_decode_and_empty_table(spark, library):
     assert bpe.encode(df.where("false"), PATH).count() == 0
     partial = spark.createDataFrame([([library.encode("日").ids[0]],), (None,)], "ids array<int>")
     assert [r.decoded for r in bpe.decode_ids(partial, PATH).collect()] == ["\ufffd", None]
+
+
+def test_long_texts_of_an_input_that_is_dealt_anew(spark, library):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(3)
+    rows = [(i, "".join(rng.choice("abcdef") for _ in range(66_000 + i))) for i in range(10)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").orderBy(F.rand()).repartition(4)
+    got = {r.doc_id: r.found.decoded for r in bpe.encode(df, PATH, keep=["doc_id"]).collect()}
+    assert got == dict(rows)
