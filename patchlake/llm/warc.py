@@ -1,8 +1,8 @@
 """Deterministic sharded WARC writer and its reader.
 
-Records are range-sorted by id into shards of about `shard_bytes` of payload;
-the shards' bounds come from a histogram of ids, so equal input gives equal
-files. Each shard is written as gzip members, one for each record, in files that
+Records are range-sorted by id, and by digest within an id, into shards of about
+`shard_bytes` of payload; the shards' bounds come from running totals of bytes in
+that order, so equal input gives equal files however ids are spread. Each shard is written as gzip members, one for each record, in files that
 roll when their compressed size reaches `roll_bytes`. Headers and digests are
 made anew from the payload; ids and dates depend on content only. A file is
 written under a temporary name of its task attempt and moved to its own name
@@ -21,25 +21,31 @@ empty manifest; other columns are ignored.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
 from functools import partial
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as fs
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from patchlake.llm.common import scratch_path, small_batches
+from patchlake.llm.common import materialise, scratch_path, small_batches
+from patchlake.operators.ordered import totals_before
 
 SHARD_BYTES = 32 << 20
 ROLL_BYTES = 8 << 20
 LEAST_BYTES = 100
-BINS = 4096
+#: Archives to a reading task, once there are enough for all cores.
+READ_BYTES = 64 << 20
+#: So many shards at most, as their bounds go to the driver and to every task; beyond that shards grow, and as they are streamed, memory doesn't.
+MOST_SHARDS = 100_000
 LEVEL = 4
 #: No clock: the same input gives the same bytes.
 DATE = "1970-01-01T00:00:00Z"
@@ -54,32 +60,46 @@ def revisits(rows: DataFrame, least_bytes: int) -> DataFrame:
     return large.join(firsts.select("digest", "first"), "digest").where("key is null or key > first").select("key", "digest", "first").distinct()
 
 
-def shard_bounds(pages: DataFrame, key: str, payload: str, shard_bytes: int) -> list[int]:
-    """The least ids of all shards but the first: equal-width bins of ids, put together on the driver (at most BINS numbers) to about equal bytes."""
-    low, high = pages.agg(F.min(key), F.max(key)).first()
-    if low is None:
-        return []
-    width = (high - low) // BINS + 1
-    bin_of = F.floor((F.col(key) - F.lit(low)) / F.lit(width)).cast("int")
-    sizes = dict(pages.groupBy(bin_of.alias("bin")).agg(F.sum(F.coalesce(F.octet_length(payload), F.lit(0)) + 512).alias("n")).where("bin is not null").collect())
-    bounds, held = [], 0
-    for b in range(BINS):
-        if held and held + sizes.get(b, 0) > shard_bytes:
-            bounds.append(low + b * width)
-            held = 0
-        held += sizes.get(b, 0)
-    return bounds
+def shard_cuts(rows: DataFrame, shard_bytes: int) -> list[tuple[int | None, str]]:
+    """Key and digest of the first record of all shards but the first, by running totals of bytes. rows: key, digest, size.
 
+    Shards hold `shard_bytes`, or the whole over `MOST_SHARDS` where that is more; what
+    the driver gets is one key and digest for each shard.
+    """
+    sizes = rows.groupBy("key", "digest").agg(F.sum("size").alias("size"))
+    sizes = materialise(sizes, "sizes")
+    total = sizes.agg(F.sum("size")).first()[0] or 0
+    width = max(shard_bytes, -(-total // MOST_SHARDS))
+    keys = sizes.groupBy("key").agg(F.sum("size").alias("all"))
+    nulls = keys.where("key is null").agg(F.sum("all")).first()[0] or 0
+    before = totals_before(keys.where("key is not null"), "key", {"before": F.col("all")})
+    before = before.select("key", (F.col("before") + F.lit(nulls)).alias("before"), "all").unionByName(keys.where("key is null").select("key", F.lit(0).cast("bigint").alias("before"), "all"))
+    # only keys within which a shard begins are looked at by digest
+    opens = before.where(F.floor((F.col("before") + F.col("all")) / width) > F.floor(F.col("before") / width))
+    inside = sizes.join(opens.select(F.col("key").alias("k"), "before"), F.col("key").eqNullSafe(F.col("k")))
+    inside = inside.withColumn("upto", F.col("before") + F.sum("size").over(Window.partitionBy("key").orderBy("digest")))
+    first = inside.withColumn("shard", F.floor(F.col("upto") / width)).where(F.col("shard") > F.floor((F.col("upto") - F.col("size")) / width))
+    return [(r[0], r[1]) for r in first.select("key", "digest").orderBy(F.col("key").asc_nulls_first(), "digest").collect()]
 
-def shard_of(bounds: list[int]) -> Column:
-    """How many bounds the key has reached; a null key has reached none."""
-    if not bounds:
-        return F.lit(0)
-    return F.when(F.col("key").isNull(), 0).otherwise(F.size(F.filter(F.array(*[F.lit(b).cast("bigint") for b in bounds]), lambda b: b <= F.col("key"))))
 
+def shard_of(cuts: list[tuple[int | None, str]]) -> Column:
+    """How many cuts lie before or at a record, by key and digest."""
+    low = -(1 << 63)  # a null key sorts first
+    keys, digests = np.array([low if k is None else k for k, _ in cuts], np.int64), [d for _, d in cuts]
 
-def record_id(digest: str, key, url: str) -> str:
-    return f"<urn:uuid:{uuid.UUID(hashlib.sha256(f'{key} {url} {digest}'.encode()).hexdigest()[:32])}>"
+    @F.pandas_udf("int")
+    def find(key: pd.Series, digest: pd.Series) -> pd.Series:
+        own = np.array([low if pd.isna(k) else int(k) for k in key], np.int64)
+        at, end = np.searchsorted(keys, own, "left"), np.searchsorted(keys, own, "right")
+        for i in np.flatnonzero(end > at):  # a shard begins within this key
+            at[i] = bisect.bisect_right(digests, digest.iloc[i], at[i], end[i])
+        return pd.Series(at, dtype="int32")
+
+    return find(F.col("key"), F.col("digest")) if cuts else F.lit(0)
+
+
+def record_id(digest: str, key) -> str:
+    return f"<urn:uuid:{uuid.UUID(hashlib.sha256(f'{key} {digest}'.encode()).hexdigest()[:32])}>"
 
 
 def one_line(x: str) -> str:
@@ -93,7 +113,7 @@ def record(key, url: str, body: bytes, digest: str, kind: str, first) -> bytes:
     head = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
-        f"WARC-Record-ID: {record_id(digest, key, url)}",
+        f"WARC-Record-ID: {record_id(digest, key)}",
         f"WARC-Date: {DATE}",
         f"WARC-Target-URI: {one_line(url)}",
         f"WARC-Payload-Digest: sha256:{digest}",
@@ -104,7 +124,7 @@ def record(key, url: str, body: bytes, digest: str, kind: str, first) -> bytes:
         f"Content-Length: {len(block)}",
     ]
     if kind == "revisit":
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page-ID: {first}"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(digest, first)}", f"X-Refers-To-Page-ID: {first}"]
     deflate = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
     return deflate.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + deflate.flush()
 
@@ -167,11 +187,11 @@ def write_warc(pages: DataFrame, root: str, key: str = "page_id", payload: str =
     where.create_dir(path, recursive=True)
     body = F.coalesce(F.encode(F.col(payload), "UTF-8"), F.lit(b""))
     rows = pages.select(F.col(key).cast("bigint").alias("key"), F.sha2(body, 256).alias("digest"), F.coalesce(F.col(url), F.lit("")).alias("url"), body.alias("body"))
-    bounds = shard_bounds(pages.select(F.col(key).cast("bigint").alias("key"), F.col(payload).alias("body")), "key", "body", shard_bytes)
+    cuts = shard_cuts(rows.select("key", "digest", (F.octet_length("body") + 512).cast("bigint").alias("size")), shard_bytes)
     notes = revisits(rows, least_bytes).select("key", "digest", F.lit("").alias("url"), F.lit(None).cast("binary").alias("body"), "first")
-    whole = notes.unionByName(rows.withColumn("first", F.lit(None).cast("bigint"))).select(shard_of(bounds).alias("shard"), "key", "digest", "url", "body", "first")
+    whole = notes.unionByName(rows.withColumn("first", F.lit(None).cast("bigint"))).select(shard_of(cuts).alias("shard"), "key", "digest", "url", "body", "first")
     # a note sorts before the records it is about: its body is null
-    dealt = whole.repartition(2 * len(bounds) + 2, "shard").sortWithinPartitions("shard", "key", "digest", F.col("body").isNotNull(), "url")
+    dealt = whole.repartition(2 * len(cuts) + 2, "shard").sortWithinPartitions("shard", "key", "digest", F.col("body").isNotNull(), "url")
     manifest = dealt.mapInArrow(partial(write_shards, root, roll_bytes), MANIFEST)
     manifest.write.mode("overwrite").parquet(f"{root}/manifest")
     return spark.read.schema(MANIFEST).parquet(f"{root}/manifest")
@@ -233,7 +253,9 @@ def typed_frame(rows: list[dict]) -> pd.DataFrame:
 
 def read_warc(manifest: DataFrame, root: str, with_body: bool = False) -> DataFrame:
     """Every record of the files that the manifest names; with_body adds body (empty for revisits)."""
-    files = manifest.select("file").repartition(max(1, manifest.count()))
+    n, size = manifest.agg(F.count("*"), F.sum("bytes")).first()
+    tasks = max(1, min(n, max(4 * manifest.sparkSession.sparkContext.defaultParallelism, -(-(size or 0) // READ_BYTES))))
+    files = manifest.select("file").repartition(tasks)
     return files.mapInPandas(partial(read_files, root, with_body), RECORD + (", body binary" if with_body else ""))
 
 

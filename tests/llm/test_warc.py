@@ -72,3 +72,26 @@ def test_empty_table(spark):
     df, _ = pages(spark)
     root = new_root(spark)
     assert read_warc(write_warc(df.where("false"), root), root).count() == 0
+
+
+def test_clumped_ids_and_one_id_give_shards_of_even_size(spark):
+    rng = random.Random(4)
+    clumps = [*range(300), *range(10**12, 10**12 + 300), *[7 * 10**12] * 200]
+    rows = [(i, "u", f"{rng.random()} " * 20) for i in clumps]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    root = new_root(spark)
+    manifest = write_warc(df, root, shard_bytes=20_000)
+    sizes = {}
+    for r in read_warc(manifest, root, with_body=True).collect():
+        shard = r.file.split("-")[1]
+        sizes[shard] = sizes.get(shard, 0) + r.payload_bytes + 512
+    assert len(sizes) > 20 and max(sizes.values()) < 2 * 20_000
+
+
+def test_revisits_name_the_response(spark):
+    df = spark.createDataFrame([(1, "a", "x" * 200), (2, "b", "x" * 200)], "page_id bigint, url string, html string")
+    root = new_root(spark)
+    manifest = write_warc(df, root)
+    heads = gzip.decompress((Path(root.removeprefix("file://")) / manifest.first()["file"]).read_bytes()).decode().split("WARC/1.1\r\n")[1:]
+    fields = [dict(x.split(": ", 1) for x in h.partition("\r\n\r\n")[0].split("\r\n")) for h in heads]
+    assert fields[1]["WARC-Refers-To"] == fields[0]["WARC-Record-ID"] != fields[1]["WARC-Record-ID"]
