@@ -7,9 +7,10 @@ remains stand a suffix array (by doubling), its BWT in a wavelet matrix, and
 suffix positions sampled at every 16th place and at each run's start. All
 windows are searched backwards together, located, and their spans merged.
 
-The benchmark is read in blocks of at most `block_bytes` of text; each block is
-one more narrow pass that merges its spans into those found before, so no size
-of benchmark is sent whole to a task, and documents are never shuffled.
+The benchmark is written to the shared folder in blocks of about `block_bytes` of
+text. In one narrow pass each task takes its shards of documents one after the
+other, searches the blocks in turn and merges their spans: it holds one shard and
+one block, nothing goes through the driver, and documents are never shuffled.
 
 Defined cases: null texts have no words and are clean; an item without words
 finds nothing, one of fewer than 13 is one window; a null item_id marks words
@@ -20,14 +21,16 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
-from functools import partial
+from functools import lru_cache, partial
 
 import numpy as np
+import pyarrow.dataset as ds
+import pyarrow.fs as fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from patchlake.llm.common import fresh, map_texts
+from patchlake.llm.common import map_texts, scratch_path
 
 WINDOW = 13
 SHARD_BYTES = 8 << 20
@@ -183,51 +186,58 @@ def find(benchmark: Benchmark, texts: list[str | None]) -> tuple[np.ndarray, lis
     return sizes, spans, items
 
 
-def worker(shipped):
-    benchmark = shipped.value
+@lru_cache(maxsize=1)
+def block_of(path: str, block: int) -> Benchmark:
+    where, root = fs.FileSystem.from_uri(path if "://" in path else "file://" + path)
+    folder = f"{root}/block={block}"
+    if where.get_file_info(folder).type == fs.FileType.NotFound:
+        return Benchmark([])
+    rows = ds.dataset(folder, filesystem=where, format="parquet").to_table(columns=["item", "text"])
+    return Benchmark(sorted(zip(rows.column("item").to_pylist(), rows.column("text").to_pylist(), strict=True), key=repr))
 
+
+def merged(spans: list[list]) -> list[list]:
+    """Sorted, joined where they touch or overlap."""
+    out: list[list] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return out
+
+
+def worker(path: str, blocks: int):
     def work(texts: list) -> list:
-        sizes, spans, items = find(benchmark, texts)
-        merged = [[{"first": a, "last": b} for a, b in s] for s in spans]
-        return [sizes, [sum(b - a for a, b in s) for s in spans], merged, [sorted(x for x in i if x is not None) for i in items]]
+        sizes, spans, items = find(block_of(path, 0), texts)
+        for k in range(1, blocks):
+            _, more, also = find(block_of(path, k), texts)
+            spans = [merged(x + y) if y else x for x, y in zip(spans, more, strict=True)]
+            items = [x | y for x, y in zip(items, also, strict=True)]
+        told = [[{"first": a, "last": b} for a, b in s] for s in spans]
+        return [sizes, [sum(b - a for a, b in s) for s in spans], told, [sorted(x for x in i if x is not None) for i in items]]
 
     return work
 
 
-def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES):
-    """The benchmark's items in blocks of about so many bytes, dealt by a hash of the text."""
+def write_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[str, int]:
+    """The benchmark's items in the shared folder, in blocks of about so many bytes, dealt by a hash of the text; path and number of blocks."""
     total = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-total // block_bytes) or 1
-    for k in range(n):
-        yield [(r[0], r[1]) for r in benchmark.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k).select(F.col("item_id").cast("string"), "text").toLocalIterator()]
-
-
-def merge_spans(spans):
-    """Sorted, joined where they touch or overlap."""
-    step = "if(size(m) > 0 and s.first <= element_at(m, -1).last, concat(slice(m, 1, size(m) - 1), array(named_struct('first', element_at(m, -1).first, 'last', greatest(element_at(m, -1).last, s.last)))), concat(m, array(s)))"
-    return F.expr(f"aggregate(array_sort({spans}), cast(array() as array<struct<first:int,last:int>>), (m, s) -> {step})")
+    path = scratch_path(benchmark.sparkSession, "benchmark")
+    block = F.pmod(F.xxhash64("text"), F.lit(n)).cast("int")
+    dealt = benchmark.select(F.col("item_id").cast("string").alias("item"), "text", block.alias("block"))
+    dealt.repartition("block").write.partitionBy("block").parquet(path)
+    return path, n
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep: list[str] | None = None, into: str = "found", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """`keep` columns and a struct: n_words, n_hit, spans of hit words (first, one past last), items, contaminated."""
-    keep = list(docs.columns if keep is None else keep)
-    name = fresh(into, keep)
-    carried = sorted({*keep, text})
-    so_far = None
-    out = docs
-    for block in blocks(benchmark, block_bytes):
-        shipped = docs.sparkSession.sparkContext.broadcast(Benchmark(block))
-        now = fresh("now", [*carried, name])
-        out = map_texts(out, partial(worker, shipped), FOUND, text, [*carried, *([name] if so_far else [])], now, SHARD_BYTES)
-        if so_far:
-            both = merge_spans(f"concat(`{name}`.spans, `{now}`.spans)")
-            hits = F.aggregate(both, F.lit(0).cast("bigint"), lambda n, s: n + s["last"] - s["first"])
-            out = out.withColumn(name, F.struct(F.col(now)["n_words"].alias("n_words"), hits.alias("n_hit"), both.alias("spans"), F.array_sort(F.array_union(F.col(name)["items"], F.col(now)["items"])).alias("items"))).drop(now)
-        else:
-            out = out.withColumnRenamed(now, name)
-        so_far = True
+    path, blocks = write_blocks(benchmark, block_bytes)
+    out = map_texts(docs, partial(worker, path, blocks), FOUND, text, keep, into, SHARD_BYTES)
+    name = out.columns[-1]
     hit, words = F.col(f"`{name}`.n_hit"), F.col(f"`{name}`.n_words")
-    return out.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{name}`").withField("contaminated", (hit > 0) & (20 * hit >= words)).alias(name))
+    return out.withColumn(name, F.col(f"`{name}`").withField("contaminated", (hit > 0) & (20 * hit >= words)))
 
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
