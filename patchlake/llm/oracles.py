@@ -30,7 +30,7 @@ judged as (
   from lines where n > 0),
 cleaned as (
   select doc_id, count(*) - count(distinct line) as n_dup_lines,
-    sum(case when 3 * len(marked) >= n or (len(seps) >= 2 and 4 * len(seps) >= n) or regexp_matches({lower}, {quoted(phrases)}) then 0 else chars end) as kept_chars
+    sum(case when 3 * len(marked) >= n or (len(seps) >= 2 and 4 * len(seps) >= n) or (n <= {q.PHRASE_LINE} and regexp_matches({lower}, {quoted(phrases)})) then 0 else chars end) as kept_chars
   from judged group by doc_id),
 wins as (select doc_id, i, list_slice(words, i, i + 7) as w from (select doc_id, words, unnest(range(1, len(words) - 6)) as i from docs)),
 dup as (select doc_id, w from wins group by doc_id, w having count(*) > 1),

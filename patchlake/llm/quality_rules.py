@@ -2,7 +2,8 @@
 
 Each line with a word is judged by three rules: punctuation (a third or more of
 its words end in a run of marks), navigation (its words are mostly held apart by
-menu separators) and boilerplate (a licence, cookie or sign-up phrase). Lines
+menu separators) and boilerplate (a licence, cookie or sign-up phrase in a line of
+at most `PHRASE_LINE` words). Lines
 that fail are removed; a document that loses more than `max_lost` of its word
 characters is rejected.
 
@@ -14,15 +15,14 @@ a measure named like one of them gets underscores before its name.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from patchlake.llm.common import fresh, small_batches
+from patchlake.llm.common import fresh, map_texts
 
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
@@ -44,6 +44,8 @@ BOILERPLATE = (
     "click here",
     "lorem ipsum",
 )
+#: A phrase in a longer line is part of prose.
+PHRASE_LINE = 40
 SYMBOLS = b"#*$%&|<>"
 MARKED = re.compile(rb"[!?#*$%&]{2,}(?=[\x20\x09-\x0D]|$)")
 SEPARATOR = re.compile(rb"(?<![^\x20\x09-\x0D])(?:[|>]|\xc2\xbb|\xe2\x80\xba|\xe2\x80\xa2|\xc2\xb7)(?=[\x20\x09-\x0D]|$)")
@@ -94,10 +96,10 @@ def bad_line(line: bytes, n_words: int) -> bool:
     if 3 * len(MARKED.findall(line)) >= n_words:
         return True
     separators = len(SEPARATOR.findall(line))
-    return separators >= 2 and 4 * separators >= n_words or bool(PHRASES.search(line.translate(LOWER)))
+    return separators >= 2 and 4 * separators >= n_words or n_words <= PHRASE_LINE and bool(PHRASES.search(line.translate(LOWER)))
 
 
-def judge(text: str | None) -> tuple:
+def judge(text: str | None, with_text: bool = True) -> tuple:
     """The measures of one text and what is left of it."""
     if not text:
         return 0, 0, 0, 0, 0, 0, text
@@ -117,25 +119,25 @@ def judge(text: str | None) -> tuple:
                 kept -= sum(map(characters, here))
             else:
                 left.append(line)
-        cleaned = b"\n".join(left).decode()
+        cleaned = b"\n".join(left).decode() if with_text else None
     return len(words), chars, symbols, duplicates, repeated_words(words), kept, cleaned
 
 
+def judger(with_text: bool):
+    def work(texts: list) -> list:
+        rows = [judge(t, with_text) for t in texts]
+        return [list(c) for c in zip(*rows, strict=True)][: len(STATS) - (not with_text)]
+
+    return work
+
+
 def quality_rules(df: DataFrame, text: str = "text", keep: tuple[str, ...] = (), with_text: bool = True) -> DataFrame:
     """`keep` columns, the measures, base_failed, kept, and (with_text) cleaned_text; a name that `keep` has gets underscores before it."""
-    small_batches(df.sparkSession)
     found = STATS.fields if with_text else STATS.fields[:-1]
-    name = {n: fresh(n, list(keep)) for n in [*(f.name for f in STATS.fields), "base_failed", "kept"]}
-    schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(name[f.name], f.dataType) for f in found])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            measures = pd.DataFrame([judge(t) for t in b["__text"]], columns=[name[f.name] for f in STATS.fields])
-            own = b[list(keep)].reset_index(drop=True)
-            yield pd.concat([own, measures], axis=1)[schema.names]
-
-    out = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text")).mapInPandas(run, schema)
-    n_words, repeated, chars, left = (F.col(name[n]) for n in ("n_words", "n_repeat_words", "word_chars", "kept_chars"))
+    out = map_texts(df, partial(judger, with_text), T.StructType(found), text, list(keep), "found")
+    result = F.col(out.columns[-1])
+    n_words, repeated, chars, left = (result[n] for n in ("n_words", "n_repeat_words", "word_chars", "kept_chars"))
     base = (n_words < MIN_WORDS) | (100 * repeated > MAX_REPEAT_PERCENT * n_words)
     lost = 100 * (chars - left) > MAX_LOST_PERCENT * chars
-    return out.withColumn(name["base_failed"], base).withColumn(name["kept"], ~base & ~lost)
+    named = {f.name: result[f.name] for f in found} | {"base_failed": base, "kept": ~base & ~lost}
+    return out.select(*[F.col(f"`{c}`") for c in keep], *[c.alias(fresh(n, list(keep))) for n, c in named.items()])
