@@ -15,18 +15,18 @@ from __future__ import annotations
 import os
 import re
 from collections import Counter
-from collections.abc import Iterator
+from functools import partial
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from patchlake.llm.common import fresh, small_batches
+from patchlake.llm.common import fresh, map_texts
 
 BATCH_BYTES = 1 << 20
 CACHED_PIECES = 400_000
 LONGEST_CACHED = 64
+LENGTHS = T.StructType([T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
 PIECE = re.compile(r"\s*\S+|\s+")
 #: White space to one library and not to the other: such texts aren't cut.
 UNSAFE = re.compile("[\x1c-\x1f]")
@@ -78,31 +78,17 @@ class PieceCounter:
 COUNTERS: dict[str, PieceCounter] = {}
 
 
-def dealt_by_bytes(batches: Iterator[pa.RecordBatch], limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about `limit` bytes of text (column 0 is the text)."""
-    for b in batches:
-        start, held = 0, 0
-        sizes = pa.compute.fill_null(pa.compute.binary_length(b.column(0)), 0).to_pylist()
-        for i, n in enumerate(sizes):
-            if held and held + n > limit:
-                yield b.slice(start, i - start)
-                start, held = i, 0
-            held += n
-        if start < b.num_rows:
-            yield b.slice(start)
+def counted(tokenizer: str):
+    counter = COUNTERS.get(tokenizer) or COUNTERS.setdefault(tokenizer, PieceCounter(tokenizer))
+
+    def work(texts: list) -> list:
+        return [[len(t.encode()) if t else 0 for t in texts], counter.count([t or "" for t in texts])]
+
+    return work
 
 
 def count_tokens(df: DataFrame, tokenizer: str, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """`keep` columns, n_bytes and n_tokens (underscores before a name that `keep` has). `tokenizer`: path of the vocabulary file, the same on every executor."""
-    small_batches(df.sparkSession)
-    names = [fresh(n, list(keep)) for n in ("n_bytes", "n_tokens")]
-    schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(n, T.LongType()) for n in names])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = COUNTERS.get(tokenizer) or COUNTERS.setdefault(tokenizer, PieceCounter(tokenizer))
-        for b in dealt_by_bytes(batches):
-            texts = [t or "" for t in b.column(0).to_pylist()]
-            sizes = pa.compute.fill_null(pa.compute.binary_length(b.column(0)), 0).cast(pa.int64())
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], sizes, pa.array(counter.count(texts), pa.int64())], [*keep, *names])
-
-    return df.select(F.col(text).alias("__text"), *keep).mapInArrow(run, schema)
+    out = map_texts(df, partial(counted, tokenizer), LENGTHS, text, list(keep), "found", BATCH_BYTES)
+    found = F.col(out.columns[-1])
+    return out.select(*[F.col(f"`{c}`") for c in keep], *[found[n].alias(fresh(n, list(keep))) for n in LENGTHS.names])
