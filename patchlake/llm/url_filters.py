@@ -19,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from patchlake.llm.common import materialise
+from patchlake.llm.common import fresh, materialise
 
 #: (verdict, host, path)
 RULES = (
@@ -114,10 +114,11 @@ def host_scores(pages: DataFrame, edges: DataFrame, rules=RULES, floor: float =
 
 
 def filter_urls(pages: DataFrame, scores: DataFrame, rules=RULES, keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
-    """`keep` columns, host, path, rule, verdict of every page."""
-    named = pages.select(*keep, host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    """`keep` columns, host, path, rule, verdict of every page; a name that `keep` has gets underscores before it."""
+    named = pages.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     blocked = materialise(scores.where("blocked").select("host", F.lit("block").alias("by_links")), "blocked")
     if blocked.count() <= SENT_HOSTS:
         blocked = F.broadcast(blocked)  # so pages of one host needn't meet
     found = rule_of(F.col("host"), F.col("path"), rules)
-    return named.join(blocked, "host", "left").select(*keep, "host", "path", found["rule"].alias("rule"), F.coalesce(found["verdict"], "by_links", F.lit("allow")).alias("verdict"))
+    made = {"host": F.col("host"), "path": F.col("path"), "rule": found["rule"], "verdict": F.coalesce(found["verdict"], "by_links", F.lit("allow"))}
+    return named.join(blocked, "host", "left").select(*[F.col("kept").getField(c).alias(c) for c in keep], *[c.alias(fresh(n, list(keep))) for n, c in made.items()])
