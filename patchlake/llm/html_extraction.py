@@ -28,6 +28,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from functools import lru_cache, partial
 
 import numpy as np
@@ -204,9 +205,10 @@ def features(nodes: list[Node]) -> np.ndarray:
             out[i, k : 2 * k] = np.maximum(out[up[i], k : 2 * k], out[up[i], :k])  # of ancestors
             out[i, 3 * k + t : 3 * k + 2 * t] = np.maximum(out[up[i], 3 * k + t : 3 * k + 2 * t], out[up[i], 3 * k : 3 * k + t])
         own = [c for c in x.children if not isinstance(c, str)]
+        same = Counter(c.tag for c in own)
         for j, c in enumerate(own):
             place[c.index], siblings[c.index] = (j + 1) / len(own), len(own)
-            alike[c.index] = sum(o.tag == c.tag for o in own) / len(own) if len(own) < 200 else 1
+            alike[c.index] = same[c.tag] / len(own)
     for i in range(n - 1, 0, -1):  # of descendants
         out[up[i], 2 * k : 3 * k] = np.maximum(out[up[i], 2 * k : 3 * k], np.maximum(out[i, 2 * k : 3 * k], out[i, :k]))
     total, parent = max(1.0, chars[0]), np.maximum(up, 0)
