@@ -21,6 +21,8 @@ __all__ = ["dealt_by_bytes", "fresh", "map_texts", "materialise", "scratch_path"
 ARROW_BYTES = 8 << 20
 #: A table of fewer bytes isn't dealt out.
 SPREAD_BYTES = 1 << 20
+#: Up to so many ids (32 bytes each or so) are sent to executors.
+SENT_IDS = 2_000_000
 #: Spark's own bound.
 DEFAULT_ARROW_BYTES = "67108864b"
 
@@ -48,6 +50,11 @@ def fresh(name: str, taken: list[str]) -> str:
     return name
 
 
+def sent(ids: DataFrame, most: int = SENT_IDS) -> DataFrame:
+    """A written table of ids, to be sent to every executor if it has at most `most` rows, so that texts stay where they are; else joins deal out both sides."""
+    return F.broadcast(ids) if ids.count() <= most else ids
+
+
 def dealt_by_bytes(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about `limit` bytes of column 0."""
     for b in batches:

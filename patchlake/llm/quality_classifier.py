@@ -12,7 +12,8 @@ Characters are folded to 12 bits (code points below 0x600 as they are, others by
 their remainder, about eight CJK characters to a code), so an n-gram of 5 is one
 60-bit number.
 
-Texts are read twice and never shuffled. The first pass writes the distinct
+Texts are read twice, where they are while the trusted ids are few enough to be sent
+(`SENT_IDS`; else both are dealt out by id). The first pass writes the distinct
 5-grams of each partition, with their counts in the texts trained on. From these
 come, by Spark aggregations, the counts of all orders (5-grams by count, lower
 orders by how many characters precede them), discounts from the counts of counts,
@@ -53,7 +54,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from patchlake.llm.common import dealt_by_bytes, fresh, map_texts, materialise, scratch_path, small_batches
+from patchlake.llm.common import dealt_by_bytes, fresh, map_texts, materialise, scratch_path, sent, small_batches
 
 ORDER, BITS, FIRST_FOLDED = 5, 12, 0x600
 START, REPEAT, APART, OTHER = 2, 1, 3, 4
@@ -325,7 +326,7 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     ids = trusted_ids(labels.select("doc_id", "quality")).select(F.col("doc_id").alias("key"), F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT)).alias("fold"))
     ids = materialise(ids, "trusted")
     put = docs.select(F.col(f"`{text}`").alias("text"), F.col(f"`{key}`").alias("key"), F.col(f"`{lang}`").alias("lang"), F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept"))
-    marked = put.join(ids, "key", "left").withColumn("taught", F.coalesce(F.col("fold") > 0, F.lit(False)))
+    marked = put.join(sent(ids), "key", "left").withColumn("taught", F.coalesce(F.col("fold") > 0, F.lit(False)))
     model = fitted(marked, shard_rows)
     size, log_p = F.col("s.n_chars"), F.col("s.log_p")
     perplexity = F.when(size > 0, F.exp(-log_p / size))
