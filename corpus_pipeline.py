@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from patchlake.llm.bpe import encode, ids_digest
-from patchlake.llm.common import fresh, materialise, scratch_path, table
+from patchlake.llm.common import fresh, materialise, scratch_path, sent, table
 from patchlake.llm.decontaminate import decontaminate
 from patchlake.llm.near_dedup import near_duplicates
 from patchlake.llm.pii import EXAMPLE_KEY, pseudonymise
@@ -24,8 +24,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays, the one with the smallest doc_id; of rows with one doc_id and text, one."""
     groups = materialise(near_duplicates(docs).groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n")).where("doc_id is not null"), "groups")
-    left = docs.join(groups.where("not kept").select("doc_id"), "doc_id", "left_anti")
-    repeated = groups.where("kept and n > 1").select("doc_id")  # only their texts are dealt out again
+    left = docs.join(sent(groups.where("not kept").select("doc_id")), "doc_id", "left_anti")
+    repeated = sent(groups.where("kept and n > 1").select("doc_id"))  # only their texts are dealt out again
     once = left.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return left.join(repeated, "doc_id", "left_anti").unionByName(once).select(docs.columns)
 
