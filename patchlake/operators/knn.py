@@ -28,6 +28,8 @@ from patchlake.sources.shared import scratch_path
 
 BLOCK_BYTES = 64 << 20
 BATCH = 2048
+#: A matrix of distances, of some queries to one block, has so many bytes at most.
+TILE_BYTES = 64 << 20
 
 
 def write_blocks(bank: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[str, int]:
@@ -75,12 +77,14 @@ def mean_rows(path: str, blocks: int, k: int, leave_out: str, keep: list[str], b
             best = np.full((len(batch), k), np.inf)
             for b in range(blocks):
                 block = held or read_block(path, b)
-                d = distances(q, block)
-                out = left_out(batch, block, leave_out)
-                if out is not None:
-                    d[out] = np.inf
-                both = np.concatenate([best, d], axis=1)
-                best = np.partition(both, k - 1, axis=1)[:, :k]
+                step = max(1, TILE_BYTES // (8 * max(1, len(block["vec"]))))
+                for i in range(0, len(batch), step):
+                    d = distances(q[i : i + step], block)
+                    out = left_out(batch.iloc[i : i + step], block, leave_out)
+                    if out is not None:
+                        d[out] = np.inf
+                    both = np.concatenate([best[i : i + step], d], axis=1)
+                    best[i : i + step] = np.partition(both, k - 1, axis=1)[:, :k]
             found = np.isfinite(best)
             n = found.sum(axis=1)
             mean = np.where(found, best, 0).sum(axis=1) / np.maximum(n, 1)
@@ -100,9 +104,10 @@ def nearest_mean(queries: DataFrame, bank: DataFrame, k: int = 5, leave_out: str
 
 def label_rows(path: str, blocks: int, leave_out: str, keep: list[str], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     held = read_block(path, 0) if blocks == 1 else None
+    step = max(1, min(BATCH, TILE_BYTES // (16 * max(1, len((held or read_block(path, 0))["vec"])))))  # blocks have about equal rows
     for whole in batches:
-        for at in range(0, len(whole), BATCH):
-            batch = whole.iloc[at : at + BATCH]
+        for at in range(0, len(whole), step):
+            batch = whole.iloc[at : at + step]
             q = np.array(batch["vec"].tolist(), np.float64)
             best: dict[str, tuple[np.ndarray, np.ndarray]] = {}
             for b in range(blocks):

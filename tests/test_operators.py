@@ -267,3 +267,23 @@ def test_every_order_is_an_image(spark, tmp_path):
     assert sorted((r.image, r["class"], r.area, r.y0, r.x0) for r in got) == sorted(want)
     assert QUERIES["o84_morphology_by_order"](spark, str(tmp_path)).select("image").distinct().count() == len(images) == 40
     assert QUERIES["o84_morphology"](spark, str(tmp_path)).select("image").distinct().count() == 1
+
+
+def test_tiles_of_distances_are_bounded(spark, monkeypatch):
+    import numpy as np
+    import pandas as pd
+
+    from patchlake.operators import knn
+
+    rng = np.random.default_rng(3)
+    bank, queries = rng.normal(size=(200, 8)), rng.normal(size=(60, 8))
+    frame = spark.createDataFrame([("b", i, v.tolist()) for i, v in enumerate(bank)], "entry string, row int, vec array<double>")
+    path, blocks = knn.write_blocks(frame, 6000)
+    seen = []
+    plain = knn.distances
+    monkeypatch.setattr(knn, "TILE_BYTES", 4000)
+    monkeypatch.setattr(knn, "distances", lambda q, b: seen.append(plain(q, b)) or seen[-1])
+    got = pd.concat(knn.mean_rows(path, blocks, 5, "none", ["id"], iter([pd.DataFrame({"id": range(60), "vec": list(queries)})])))
+    want = np.sort(np.linalg.norm(queries[:, None] - bank[None], axis=2), axis=1)[:, :5].mean(axis=1)
+    assert blocks > 1 and max(d.nbytes for d in seen) <= 4000
+    assert np.allclose(got["score"].astype(float), want)
