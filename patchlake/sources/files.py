@@ -108,8 +108,12 @@ def save_bank(bank: DataFrame, root: str) -> str:
     out = system.create(temporary, True)
     out.write(json.dumps({"version": version, "schema": bank.schema.json()}).encode())
     out.close()
-    system.delete(path, False)
-    system.rename(temporary, path)
+    overwrite = getattr(jvm.org.apache.hadoop.fs, "Options$Rename").OVERWRITE
+    options = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 1)
+    options[0] = overwrite
+    source, target = system.makeQualified(temporary), system.makeQualified(path)
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    context.rename(source, target, options)  # in one step: there is always a pointer
     return version
 
 

@@ -9,11 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; set to a new local one only where it is unset, as in tests."""
+    """The folder in spark.checkpoint.dir; set to a new local one only where it is unset and the master is local, as in tests."""
     context = spark.sparkContext._jsc.sc()
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not found and context.getCheckpointDir().isDefined():
+        found = context.getCheckpointDir().get()
     if not found:
-        found = context.getCheckpointDir().get() if context.getCheckpointDir().isDefined() else "file://" + tempfile.mkdtemp(prefix="patchlake-")
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="patchlake-")
     if context.getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
