@@ -11,7 +11,10 @@ largest sum of log-odds, so no ancestor and descendant contradict each other.
 
 The trees are trained here, on pages that `training_page` draws from a seed, with
 articles, menus, notices, adverts, forms, sidebars and comments in many shapes;
-`PAGES` and, with text directly in the body, `BARE_PAGES` bound their number. No page of the corpus is needed for it.
+`PAGES` and, with text directly in the body, `BARE_PAGES` and, with content in no
+named holder (paragraphs in the body, nested divisions, sections, cells of a layout
+table), `PLAIN_PAGES` bound their number. No page of the corpus is needed for it.
+Each tree looks at a drawn share of the features.
 
 Text directly in the body is judged like an element: each run of it, with the
 inline elements between, is put into an element of its own (`BARE`). A page that is
@@ -37,8 +40,8 @@ from pyspark.sql import types as T
 
 from patchlake.llm.common import map_texts
 
-PAGES, BARE_PAGES, SEED = 500, 200, 7
-TREES, DEPTH, RATE, BINS, LEAST_LEAF = 40, 4, 0.25, 32, 20
+PAGES, BARE_PAGES, PLAIN_PAGES, SEED = 500, 500, 500, 7
+TREES, DEPTH, RATE, BINS, LEAST_LEAF, SHARE = 60, 5, 0.25, 32, 20, 0.3
 DEEPEST = 256
 FOUND = T.StructType([T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
@@ -165,6 +168,7 @@ def with_runs(root: Node, nodes: list[Node]) -> list[Node]:
 
 
 OWN = 8
+STOPS = ".,!?\u3002\uff0c\uff01\uff1f\u060c\u0964"
 FEATURES = 3 * len(KINDS) + 2 * len(TAGS) + 18
 
 
@@ -180,7 +184,7 @@ def features(nodes: list[Node]) -> np.ndarray:
             if isinstance(c, str):
                 chars[i] += len(c)
                 words[i] += c.count(" ") + 1
-                stops[i] += c.count(".") + c.count(",") + c.count("!") + c.count("?")
+                stops[i] += sum(c.count(mark) for mark in STOPS)
         elements[i] = 1
         links[i] = x.tag == "a"
         paragraphs[i] = x.tag == "p"
@@ -233,7 +237,9 @@ class Boosted:
         self.cuts = [np.unique(np.quantile(c, np.linspace(0, 1, BINS + 1)[1:-1])) for c in x.T]
         binned = np.stack([np.searchsorted(c, v, side="left") for c, v in zip(self.cuts, x.T, strict=True)], axis=1)
         score, nodes = np.zeros(len(y)), (1 << self.depth) - 1
+        rng, usable = np.random.default_rng(SEED), np.array([f for f, c in enumerate(self.cuts) if len(c)])
         for _ in range(self.trees):
+            tried = rng.choice(usable, max(1, round(SHARE * len(usable))), replace=False)
             p = 1 / (1 + np.exp(-score))
             grad, hess = y - p, p * (1 - p)
             which, feature, cut = np.zeros(len(y), np.int64), np.zeros(nodes, np.int64), np.full(nodes, np.inf)
@@ -241,9 +247,7 @@ class Boosted:
                 rows = np.flatnonzero(which == node)
                 best = (1e-6, 0, BINS)
                 g, h = grad[rows].sum(), hess[rows].sum()
-                for f in range(x.shape[1]) if len(rows) >= 2 * LEAST_LEAF else ():
-                    if not len(self.cuts[f]):
-                        continue
+                for f in tried if len(rows) >= 2 * LEAST_LEAF else ():
                     b, size = binned[rows, f], len(self.cuts[f]) + 1
                     gl, hl, nl = (np.cumsum(np.bincount(b, w, size))[:-1] for w in (grad[rows], hess[rows], None))
                     gain = gl**2 / (hl + 1) + (g - gl) ** 2 / (h - hl + 1) - g**2 / (h + 1)
@@ -336,12 +340,15 @@ def prose(rng: random.Random, least: int, most: int) -> str:
     for i in range(0, len(words), rng.randint(5, 14)):
         words[i] = words[i].capitalize()
         words[i - 1] += rng.choice(".,.,!?")
-    mark = rng.choice(["", "", "", "", " &amp;&amp;", "***", " |", "%%%"])
-    return " ".join(w + mark for w in words)
+    return " ".join(words)
 
 
-def training_page(seed: int, bare: bool = False) -> tuple[str, set[int]]:
-    """A page and the places, in page order, of its elements that are content. With `bare`, the article and parts of the rest are text directly in the body."""
+def training_page(seed: int, bare: bool = False, plain: bool = False) -> tuple[str, set[int]]:
+    """A page and the places, in page order, of its elements that are content.
+
+    With `bare`, the article and parts of the rest are text directly in the body;
+    with `plain`, the article has no named holder of its own.
+    """
     rng = random.Random(seed)
     parts: list[str] = []
     good: set[int] = set()
@@ -375,6 +382,13 @@ def training_page(seed: int, bare: bool = False) -> tuple[str, set[int]]:
 
     def boxed(kind: str, tags: tuple, most: int) -> None:
         def inner() -> None:
+            if kind == "form" and rng.random() < 0.5:
+                for _ in range(rng.randint(1, 3)):
+                    put(rng.choice(("label", "span", "p")), "", prose(rng, 1, 3), False)
+                    void("input", False)
+                return put("button", "", prose(rng, 1, 3), False)
+            if rng.random() < 0.4:
+                put(rng.choice(("h2", "h3", "h4")), "", prose(rng, 1, 3), False)
             if rng.random() < 0.4:
                 parts.append(prose(rng, 2, most))
             else:
@@ -383,7 +397,8 @@ def training_page(seed: int, bare: bool = False) -> tuple[str, set[int]]:
                 if rng.random() < 0.4:
                     put("ul", "", lambda: links("ul"), False)
 
-        put(rng.choice(tags), name(kind, 1), inner, False)
+        tag = rng.choice(tags)
+        put(tag, name(kind, 0.5 if tag in ("form", "aside") else 1), inner, False)
 
     def reader() -> None:
         def one() -> None:
@@ -463,6 +478,69 @@ def training_page(seed: int, bare: bool = False) -> tuple[str, set[int]]:
             else:
                 void("hr", False)
 
+    def spoken(tag: str, least: int, most: int) -> None:
+        """Text, with a link or words set apart in it now and then."""
+
+        def inner() -> None:
+            parts.append(prose(rng, least, most))
+            while rng.random() < 0.25:
+                put_inline(rng.choice(("a", "a", "b", "em", "code", "span")), prose(rng, 1, 4), True)
+                parts.append(prose(rng, least, most))
+
+        put(tag, "", inner, True)
+
+    def piece() -> None:
+        kind = rng.random()
+        if kind < 0.62:
+            spoken("p", *rng.choice(((1, 12), (8, 40), (20, 120))))
+        elif kind < 0.7:
+            put(rng.choice(("ul", "ol")), "", lambda: [spoken("li", 2, 25) for _ in range(rng.randint(1, 8))], True)
+        elif kind < 0.76:
+            put("blockquote", "", (lambda: spoken("p", 5, 40)) if rng.random() < 0.5 else prose(rng, 5, 40), True)
+        elif kind < 0.84:
+            put(rng.choice(("h2", "h3")), "", prose(rng, 1, 8), True)
+        elif kind < 0.87:
+            put("pre", "", (lambda: put("code", "", prose(rng, 2, 30), True)) if rng.random() < 0.5 else prose(rng, 2, 30), True)
+        elif kind < 0.91:
+            put("dl", "", lambda: [(put("dt", "", prose(rng, 1, 4), True), spoken("dd", 3, 30)) for _ in range(rng.randint(1, 5))], True)
+        elif kind < 0.96:
+            width = rng.randint(2, 4)
+            put("table", "", lambda: [put("tr", "", lambda: [put(rng.choice(("td", "td", "th")), "", prose(rng, 1, 4), True) for _ in range(width)], True) for _ in range(rng.randint(1, 6))], True)
+        else:
+            put("figure", "", lambda: (void("img", True), put("figcaption", "", prose(rng, 2, 15), True)), True)
+
+    def pieces(titled: float = 0.6) -> None:
+        if rng.random() < titled:
+            put(*(("header", "", lambda: put("h1", "", prose(rng, 1, 12), True)) if rng.random() < 0.1 else (rng.choice(("h1", "h1", "h2")), "", prose(rng, 1, 12))), True)
+        for _ in range(rng.choice((1, 1, 2, 2, 3, 4, 6, 10))):
+            piece()
+            if rng.random() < 0.04:
+                inside()
+
+    def nested(levels: int) -> None:
+        put("div", name("content", 0.1), (lambda: nested(levels - 1)) if levels else pieces, True)
+
+    def plain_body() -> None:
+        layout = rng.random()
+        if layout < 0.35:
+            pieces()
+        elif layout < 0.5:
+            nested(rng.randint(0, 4))
+        elif layout < 0.6:
+            tag = rng.choice(("section", "div"))
+            for _ in range(rng.randint(2, 4)):
+                put(tag, "", pieces, True)
+        elif layout < 0.75:
+            if rng.random() < 0.6:
+                put(rng.choice(("h1", "h2")), "", prose(rng, 1, 12), True)
+            for _ in range(rng.randint(1, 6)):
+                spoken("div", *rng.choice(((3, 15), (8, 40), (20, 120))))
+        elif layout < 0.85:
+            menus = rng.random() < 0.4
+            put("table", "", lambda: put("tr", "", lambda: (put("td", "", lambda: links("div"), False) if menus else None, put("td", "", pieces, True)), True), True)
+        else:
+            put("div", rng.choice(("", "wrap", "container", "row")), lambda: (menu() if rng.random() < 0.3 else None, nested(0) if rng.random() < 0.7 else put(rng.choice(("main", "article", "section")), "", pieces, True), boxed("side", ("aside", "div"), 30) if rng.random() < 0.6 else None), True)
+
     def bare_edge() -> None:
         void("hr", False)
         if rng.random() < 0.5:
@@ -475,17 +553,20 @@ def training_page(seed: int, bare: bool = False) -> tuple[str, set[int]]:
     after = [lambda: edge("footer"), lambda: boxed("side", ("aside", "div"), 30), reader, lambda: boxed("form", ("form", "div"), 10), lambda: boxed("advert", ("div",), 15)]
     if bare:
         before, after = [*before, bare_edge], [*after, bare_edge]
+    surround = rng.choice((0, 0.3, 0.6)) if plain else 0.6
     for part in before:
-        if rng.random() < 0.6:
+        if rng.random() < surround:
             part()
-    if bare:
+    if plain:
+        plain_body()
+    elif bare:
         bare_article()
     elif rng.random() < 0.3:
         put("div", name("content", 0.5), body, True)
     else:
         body()
     for part in after:
-        if rng.random() < 0.6:
+        if rng.random() < surround:
             part()
     return "".join(parts), good
 
@@ -494,8 +575,8 @@ def training_page(seed: int, bare: bool = False) -> tuple[str, set[int]]:
 def model() -> Boosted:
     """Fitted on elements that hold text, or hold such elements: parent choices need odds too."""
     rows, truth = [], []
-    for seed in range(SEED, SEED + PAGES + BARE_PAGES):
-        page, good = training_page(seed, seed >= SEED + PAGES)
+    for place in range(PAGES + BARE_PAGES + PLAIN_PAGES):
+        page, good = training_page(SEED + place, PAGES <= place < PAGES + BARE_PAGES, place >= PAGES + BARE_PAGES)
         _, nodes = parse(page)
         own = features(nodes)
         rows.append(own[1:])
