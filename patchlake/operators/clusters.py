@@ -106,6 +106,23 @@ def routed_mean(queries: DataFrame, bank: DataFrame, centroids: DataFrame, k: in
     return found.unionByName(nearest_mean(unanswered, bank, k, leave_out, ["id"]))
 
 
+def probes_for(queries: DataFrame, bank: DataFrame, centroids: DataFrame, k: int = 5, target: float = 0.9, leave_out: str = "none", most: int = 1000, seed: int = SEED) -> int:
+    """The smallest of NPROBE, 2 NPROBE, 4 NPROBE, ... with which a share `target` of sampled queries gets the score of the full scan.
+
+    At most `most` queries, by a seeded hash of their ids, are asked; with all clusters probed every score is exact, so the search ends.
+    """
+    asked = materialise(queries.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(most), "asked")
+    exact = materialise(nearest_mean(asked, bank, k, leave_out, ["id"]).withColumnRenamed("score", "exact"), "exact")
+    clusters, n = centroids.count(), NPROBE
+    while n < clusters:
+        near = routed_mean(asked, bank, centroids, k, n, leave_out).join(exact, "id")
+        share = near.agg(F.avg((F.col("score") <= F.col("exact") + 1e-9).cast("double"))).first()[0]
+        if share is None or share >= target:
+            break
+        n *= 2
+    return min(n, clusters)
+
+
 def dimension_scales(rows: DataFrame) -> DataFrame:
     """i, scale of each dimension: its largest absolute value over 127, 1 where all are 0."""
     top = rows.select(F.posexplode("vec").alias("i", "x")).groupBy("i").agg(F.max(F.abs("x")).alias("m"))
