@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from patchlake.llm import collocations as c
 from patchlake.llm import decontaminate as d
+from patchlake.llm import mixing as m
 from patchlake.llm import quality_rules as q
 from patchlake.llm import url_filters as u
+from patchlake.llm import vector_codes as v
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -119,4 +122,79 @@ blocked as (
 select page_id, host, path, rule, coalesce(by_rule, case when host in (select host from blocked) then 'block' end, 'allow') as verdict from ruled"""
 
 
-ORACLES = {"op1_quality_rules": op1_sql(), "op2_near_dedup": op2_sql(), "op3_warc": op3_sql(), "op5_decontaminate": op5_sql(), "op9_url_filters": op9_sql()}
+def op11_sql() -> str:
+    """All phrases of all pieces, counted."""
+    low = f"translate(coalesce(text, ''), '{u.LOWER[0]}', '{u.LOWER[1]}')"
+    grams = " union all ".join(f"select lang, {k} as k, list_slice(w, i, i + {k - 1}) as g from (select lang, w, unnest(range(1, len(w) - {k - 2})) as i from pieces)" for k in range(1, c.LONGEST + 1))
+    return f"""
+with pieces as (
+  select lang, regexp_extract_all(piece, '[^\\x20\\x09]+') as w
+  from (select coalesce(lang, '{c.UND}') as lang, unnest(regexp_split_to_array({low}, '[.,;:!?\\x0A-\\x0D]')) as piece from documents)),
+f as materialized (select lang, k, g, count(*) as n from ({grams}) group by all),
+totals as (select lang, sum(n)::bigint as total from f where k = 1 group by lang),
+candidates as (select * from f where k >= 2 and n >= {c.LEAST}),
+parts as (
+  select lang, k, n, list_slice(g, i, j) as g2
+  from (select lang, k, n, g, i, unnest(range(i + 1, k + 1)) as j from (select lang, k, n, g, unnest(range(1, k)) as i from candidates)) where j - i + 1 < k),
+absorbed as (select distinct x.lang, x.g from candidates x join parts y on x.lang = y.lang and x.g = y.g2 and 100 * y.n >= 100 * x.n),
+left_over as (select * from candidates anti join absorbed using (lang, g)),
+cuts as (
+  select p.lang, p.g, p.n as a, x.n as l, y.n as r, cut, total, 1000::hugeint * p.n * total // (x.n::hugeint * y.n) as score
+  from (select *, unnest(range(1, k)) as cut from left_over) p
+  join f x on x.lang = p.lang and x.g = list_slice(p.g, 1, cut) join f y on y.lang = p.lang and y.g = list_slice(p.g, cut + 1, p.k) join totals t on t.lang = p.lang),
+least as (select * from cuts qualify row_number() over (partition by lang, g order by score, cut) = 1),
+named as (select lang, array_to_string(g, ' ') as phrase, a, l, r, total, score::bigint as score from least)
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, total as n, score
+from named qualify rank <= {c.TOP}"""
+
+
+def op12_sql() -> str:
+    """Every part against every entry, round by round."""
+    near = lambda book: f"""(
+  select vec_id, p, x, arg_min(entry, d * {v.ENTRIES} + entry) as entry, min(d) as d
+  from (select vec_id, q.p, q.x, entry, (list_inner_product(q.x, q.x) - 2 * list_inner_product(q.x, e.x) + list_inner_product(e.x, e.x))::bigint as d from parts q join {book} e on q.p = e.p)
+  group by vec_id, p, x)"""
+    steps = []
+    for k in range(v.ROUNDS):
+        steps.append(f"near{k} as materialized {near(f'book{k}')}")
+        steps.append(f"""means{k} as (
+  select p, entry, list(m order by i) as x from (
+    select p, entry, i, floor(sum(x[i])::bigint / count(*))::double as m from (select p, entry, x, unnest(range(1, len(x) + 1)) as i from near{k}) group by all)
+  group by p, entry)""")
+        steps.append(f"book{k + 1} as materialized (select b.p, b.entry, coalesce(m.x, b.x) as x from book{k} b left join means{k} m on b.p = m.p and b.entry = m.entry)")
+    n = v.ROUNDS
+    return f"""
+with kept as (
+  select vec_id, label, list_transform(embedding, lambda x: floor({v.SCALE} * x::double)) as vec from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+parts as materialized (select vec_id, p, list_slice(vec, p * (len(vec) // {v.PARTS}) + 1, (p + 1) * (len(vec) // {v.PARTS})) as x from (select *, unnest(range({v.PARTS})) as p from kept)),
+book0 as materialized (select p, row_number() over (partition by p order by vec_id) - 1 as entry, x from parts qualify entry < {v.ENTRIES}),
+{", ".join(steps)},
+last as materialized {near(f"book{n}")},
+coded as (select vec_id, string_agg(lower(printf('%02x', entry)), '' order by p) as code, sum(d)::bigint as error from last group by vec_id),
+digest as (select sha256(string_agg(array_to_string(list_transform(x, lambda y: y::bigint), ','), ',' order by p, entry)) as codebooks_sha256 from book{n})
+select vec_id, code, error, (sum(error) over (partition by label))::bigint as label_error, codebooks_sha256 from coded join kept using (vec_id), digest"""
+
+
+def op13_sql() -> str:
+    shares = "case (row_number() over (order by source nulls last) - 1) % {} {} end".format(len(m.SHARES), " ".join(f"when {i} then {s}" for i, s in enumerate(m.SHARES)))
+    return f"""
+with d as (
+  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::bigint as size, ('0x' || md5(concat_ws('|', '{m.SEED}', coalesce(doc_id::varchar, ''), coalesce(md5(text), '')))[1:13])::bigint as h from documents),
+w as (select doc_id, max(quality) as quality from labels group by 1),
+docs as (select d.*, (h + 0.5::double) / {1 << 52}::double as u, case quality when 1 then 2.0 when 0 then 0.5 else 1.0 end::double as weight from d left join w using (doc_id)),
+s as (select source, sum(size)::bigint as source_size from docs group by 1),
+shared as (select *, {shares} as share from s),
+levels as (
+  select *, ({m.MOST} * source_size) / share as level, coalesce(sum(source_size) over before, 0) as sizes_before, coalesce(sum(share) over before, 0) as shares_before, sum(source_size) over () as sizes, sum(share) over () as all_shares
+  from shared window before as (order by {m.MOST} * source_size / share, source nulls last rows between unbounded preceding and 1 preceding)),
+reached as (select (sizes - {m.MOST} * sizes_before)::double / (all_shares - shares_before)::double as even from levels where even <= level order by level, even limit 1),
+aims as (select source, source_size, least(even * share, ({m.MOST} * source_size)::double) as target from levels, reached),
+rests as (select *, case when source_size > 0 then floor(target / source_size)::bigint else 0 end as epochs, round(target - epochs * source_size)::bigint as rest from aims),
+drawn as (
+  select doc_id, size, a.source_size, target, epochs, rest, coalesce(sum(size) over (partition by d.source order by -ln(u) / weight, doc_id, size, u rows between unbounded preceding and 1 preceding), 0) as before
+  from docs d join rests a on d.source is not distinct from a.source)
+select doc_id, size, source_size, target, (epochs * size + greatest(0, least(size, rest - before)))::bigint as taken from drawn"""
+
+
+ORACLES = {"op1_quality_rules": op1_sql(), "op2_near_dedup": op2_sql(), "op3_warc": op3_sql(), "op5_decontaminate": op5_sql(), "op9_url_filters": op9_sql(), "op11_collocations": op11_sql(), "op12_vector_codes": op12_sql(), "op13_mixing": op13_sql()}

@@ -7,15 +7,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from patchlake.llm.bpe import encode, ids_digest
-from patchlake.llm.common import materialise, table
+from patchlake.llm.collocations import collocations, ranked
+from patchlake.llm.common import materialise, sent, table
 from patchlake.llm.decontaminate import decontaminate
 from patchlake.llm.html_extraction import extract
+from patchlake.llm.mixing import mix
 from patchlake.llm.near_dedup import near_duplicates
 from patchlake.llm.pii import EXAMPLE_KEY, pseudonymise
 from patchlake.llm.quality_classifier import classify
 from patchlake.llm.quality_rules import quality_rules
 from patchlake.llm.token_counts import count_tokens
 from patchlake.llm.url_filters import filter_urls, host_edges, host_scores
+from patchlake.llm.vector_codes import books_digest, codebooks, compress
 from patchlake.llm.warc import new_root, read_warc, write_warc
 
 
@@ -72,4 +75,28 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size(ids).cast("bigint").alias("n_tokens"), ids_digest(ids).alias("ids_sha256"), F.sha2("found.decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_near_dedup, op3_warc, op4_token_counts, op5_decontaminate, op6_html_extraction, op7_quality_classifier, op8_pii, op9_url_filters, op10_bpe)}
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = ranked(collocations(table(spark, sf_dir, "documents")))
+    return out.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    books = codebooks(vectors)
+    if books is None:
+        return vectors.where("false").selectExpr("vec_id", "'' as code", "0L as error", "0L as label_error", "'' as codebooks_sha256")
+    codes = materialise(compress(vectors, books, keep=["vec_id", "label"]), "codes")
+    code = F.lower(F.concat_ws("", F.transform("codes", lambda x: F.lpad(F.hex(x), 2, "0"))))
+    labels = materialise(codes.groupBy(F.col("label").alias("of")).agg(F.sum("error").alias("label_error")), "labels")
+    out = codes.join(sent(labels), F.col("label").eqNullSafe(F.col("of")))
+    return out.select("vec_id", code.alias("code"), "error", "label_error", F.lit(books_digest(books)).alias("codebooks_sha256"))
+
+
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents labelled good weigh 2, bad 0.5, others 1."""
+    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    weights = labels.select("doc_id", F.when(F.col("quality") == 1, 2.0).when(F.col("quality") == 0, 0.5).otherwise(1.0).alias("weight"))
+    return mix(table(spark, sf_dir, "documents"), weights, keep=["doc_id"])
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_near_dedup, op3_warc, op4_token_counts, op5_decontaminate, op6_html_extraction, op7_quality_classifier, op8_pii, op9_url_filters, op10_bpe, op11_collocations, op12_vector_codes, op13_mixing)}
