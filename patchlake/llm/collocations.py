@@ -43,7 +43,7 @@ from patchlake.llm.common import dealt_by_bytes, materialise, sent, small_batche
 LONGEST, LEAST, TOP = 5, 100, 2000
 #: A filter of 8 MB; two bits for each frequent word or pair.
 FILTER_BITS = 26
-#: Distinct words, or pairs and grams, that a task has in memory before it gives out what it counted.
+#: Distinct words, or pairs, that a task has in memory before it gives out what it counted.
 WORDS_HELD, PAIRS_HELD = 400_000, 3_000_000
 #: Salts of the first of two top-k steps.
 SALTS = 256
@@ -177,58 +177,33 @@ def counted_pairs(filters, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Rec
         yield out()
 
 
-def grams_of(ids: np.ndarray, hashes: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """At each place of a run (numbers between zeros) its longest gram: rows of numbers filled up with zeros, their lengths, how often each is there."""
+def grams_of(ids: np.ndarray, longest: int) -> Iterator[tuple[int, np.ndarray]]:
+    """The longest gram at each place of each run (numbers between zeros), by number of words: k, and rows of k numbers."""
     padded = np.concatenate([ids, np.zeros(longest, ids.dtype)])
     at = np.flatnonzero(ids)
     grams = np.stack([padded[at + k] for k in range(longest)], axis=1)
-    grams *= np.logical_and.accumulate(grams != 0, axis=1)
-    length = (grams != 0).sum(axis=1)
-    grams, length = grams[length > 1], length[length > 1]
-    key = np.zeros(len(grams), np.uint64)
-    for k in range(longest):
-        key = pair_hashes(key, hashes[grams[:, k]])
-    order = np.argsort(key, kind="stable")
-    grams, length = grams[order], length[order]
-    new = np.ones(len(grams), bool)
-    new[1:] = (grams[1:] != grams[:-1]).any(axis=1)  # grams of equal hash may be there twice; that's no fault
-    starts = np.flatnonzero(new)
-    return grams[starts], length[starts], np.diff(np.append(starts, len(grams)))
+    length = np.logical_and.accumulate(grams != 0, axis=1).sum(axis=1)
+    for k in range(2, longest + 1):
+        yield k, grams[length == k, :k]
 
 
 def counted_grams(filters, longest: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """lang, gram (words and spaces), k (number of words), n: edges, and tails of two words or more."""
+    """lang, gram (words and spaces), k (number of words), n: edges, and tails of two words or more, each place by itself."""
     may, may_pair = filters.value
-    held: dict[str, tuple[Vocabulary, list[np.ndarray]]] = {}
-
-    def out(lang: str) -> Iterator[pa.RecordBatch]:
-        words, parts = held.pop(lang)
-        grams, length, n = grams_of(np.concatenate(parts), words.hashed(), longest)
-        strings = pa.array(words.words, pa.binary())
-        for k in range(2, longest + 1):
-            own = length == k
-            columns = [strings.take(pa.array(grams[own, j])) for j in range(k)]
-            for i in range(0, int(own.sum()), 1 << 16):
-                text = pc.binary_join_element_wise(*[c.slice(i, 1 << 16) for c in columns], pa.scalar(b" ", pa.binary())).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(text), pa.string()), text, pa.array(np.full(len(text), k, np.int32)), pa.array(n[own][i : i + len(text)].astype(np.int64))], ["lang", "gram", "k", "n"])
-
+    vocabularies: dict[str, Vocabulary] = {}
     for lang, texts in by_language(batches):
-        words, parts = held.get(lang) or (Vocabulary(lang), [])
+        words = vocabularies.setdefault(lang, Vocabulary(lang))
         ids, hashes = frequent_ids(words, texts, may)
         at = np.flatnonzero((ids[1:] != 0) & (ids[:-1] != 0))
         joined = np.zeros(len(ids), bool)  # whether a word goes on from the one before
         joined[at + 1] = may_pair(pair_hashes(hashes[ids[at]], hashes[ids[at + 1]]))
-        # a zero where a pair is rare; words without a frequent pair go
-        stay = joined | np.append(joined[1:], False)
-        ids = np.where(stay, ids, 0)
-        ids = np.insert(ids, np.flatnonzero(~joined & (ids != 0)), 0)
-        ids = ids[(ids != 0) | np.append(ids[1:] != 0, False)]
-        parts.append(np.append(ids, np.int32(0)))
-        held[lang] = words, parts
-        if len(words) > WORDS_HELD or sum(map(len, parts)) > PAIRS_HELD:
-            yield from out(lang)
-    for lang in list(held):
-        yield from out(lang)
+        ids = np.insert(ids, np.flatnonzero(~joined & (ids != 0)), 0)  # a zero where a pair is rare
+        strings = pa.array(words.words, pa.binary())
+        for k, grams in grams_of(ids, longest):
+            text = pc.binary_join_element_wise(*[strings.take(pa.array(grams[:, j])) for j in range(k)], pa.scalar(b" ", pa.binary())).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(text), pa.string()), text, pa.array(np.full(len(text), k, np.int32)), pa.array(np.ones(len(text), np.int64))], ["lang", "gram", "k", "n"])
+        if len(words) > WORDS_HELD:
+            del vocabularies[lang]
 
 
 def first_words(gram: str, k: int):
