@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 from collections import Counter
 from functools import partial
 
@@ -32,6 +33,17 @@ PIECE = re.compile(r"\s*\S+|\s+")
 UNSAFE = re.compile("[\x1c-\x1f]")
 
 
+class Letters(dict):
+    """Whether a character stays nothing but letters in lower case and every normal form: then no mark after it joins it."""
+
+    def __missing__(self, c: str) -> bool:
+        found = self[c] = c.isalpha() and all(unicodedata.normalize(form, c.lower()).isalpha() and len(unicodedata.normalize(form, c.lower())) == 1 for form in ("NFC", "NFD", "NFKD"))
+        return found
+
+
+LETTER = Letters()
+
+
 class PieceCounter:
     """Counts tokens by pieces; `known` is emptied when it is full."""
 
@@ -61,7 +73,7 @@ class PieceCounter:
                     new[p] = None
         halves: dict[str, tuple[str, str]] = {}
         for p in list(new):
-            if len(p) > 2 and p[-1] in ".,!" and p[-2].isalpha():  # letters and marks never share a token
+            if len(p) > 2 and p[-1] in ".,!" and LETTER[p[-2]]:  # letters and marks never share a token
                 halves[p] = p[:-1], p[-1]
                 del new[p]
                 new.update((x, None) for x in halves[p] if x not in known)
