@@ -6,7 +6,8 @@ one value has one pseudonym in every document, two values never share one, and
 the holder of the key can turn them back. Check digits and dates stay valid,
 separators and letter case stay where they are.
 
-Kinds: email (local part), phone (all digits after the country code), card
+Kinds: email (local part, of 64 characters at most), phone (all digits after the
+country code, which is read from the numbering plan, so separators don't matter), card
 (digits after the first, Luhn kept), ip, iban (account digits, check digits made
 anew), ssn, date (any day of 1900 to 2099), secret (values after password,
 token, secret or key words, and access key ids).
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import datetime
 import hashlib
+import math
 import re
 from functools import partial
 
@@ -31,6 +33,8 @@ from pyspark.sql import types as T
 from patchlake.llm.common import map_texts
 
 ROUNDS = 8
+#: Longer emails and secrets are permuted in pieces of so many characters, so that both halves of a piece are within a round's 128 bits.
+PIECE = 48
 #: For examples, tests and checks only.
 EXAMPLE_KEY = b"patchlake example key"
 SPAN = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("pseudonym", T.StringType())])
@@ -41,7 +45,7 @@ DIGITS, LETTERS, HEX, UPPER36 = "0123456789", "abcdefghijklmnopqrstuvwxyz", "012
 #: Patterns of the kinds, in order of precedence.
 PATTERNS = {
     "secret": r"""(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\b["']?\s*[=:]\s*["']?)(?P<secret>[A-Za-z0-9_+/\-]{8,})|\b(?P<access>(?:AKIA|ASIA)[A-Z0-9]{16})\b""",
-    "email": r"(?P<email>[A-Za-z0-9][A-Za-z0-9._%+\-]*)@(?:[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}",
+    "email": r"(?<![A-Za-z0-9._%+\-])[._%+\-]*+(?P<email>[A-Za-z0-9][A-Za-z0-9._%+\-]{0,63}+)@(?:[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}",
     "iban": r"\b(?P<iban>[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?)\b",
     "ip": r"(?<![0-9.])(?P<ip>[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3})(?!\.?[0-9])",
     "card": r"(?<![0-9\-+])(?P<card>(?:[3-6][0-9]{3}|2(?:22[1-9]|2[3-9][0-9]|[3-6][0-9]{2}|7[01][0-9]|720))(?:[ \-]?[0-9]{4}){3}|3[47][0-9]{2}[ \-]?[0-9]{6}[ \-]?[0-9]{5})(?![\-]?[0-9])",
@@ -52,6 +56,9 @@ PATTERNS = {
 FIND = re.compile("|".join(PATTERNS.values()))
 #: Kinds whose patterns can run on into what follows, with what separates their groups.
 RUN_ON = {"iban": (re.compile(PATTERNS["iban"]), " "), "phone": (re.compile(PATTERNS["phone"]), " .-")}
+#: Country calling codes of one and two digits; all others have three.
+CALLING_CODES = ("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98").split()
+COUNTRY = re.compile(rf"\+(?:{'|'.join(CALLING_CODES)}|[0-9]{{1,3}})|")
 #: Lengths of IBANs by country; others may have any.
 IBAN_LENGTHS = {c: int(w[:2]) for w in (
     "15NO 16BE 18DKFOFIGLNLSDFK 19MKSI 20ATBAEEKZLTLUXKMN 21CHHRLILV 22BGBHCRDEGBGEIEMERSVA 23AEGIILIQTLSOOM 24ADCZESMDPKROSASESKTNVG 25LYPTST 26ISTR "
@@ -83,9 +90,7 @@ class Feistel:
     def permute(self, label: str, x: int, n: int, back: bool = False) -> int:
         if n < 2:
             return x
-        a = int(n**0.5) + 1
-        while a * a > n and (a - 1) * (a - 1) >= n:
-            a -= 1
+        a = math.isqrt(n - 1) + 1
         b = -(-n // a)
         x = self.once(label, x, a, b, back)
         while x >= n:
@@ -155,7 +160,7 @@ def pseudonym(f: Feistel, kind: str, value: str, back: bool = False) -> str | No
             body = d[0] + f.digits(f"card{d[0]}", d[1:-1], DIGITS, back)
         return put_back(value, body + str(luhn(body)), digit)
     if kind == "phone":
-        head = re.match(r"\+1(?=[^0-9]|[0-9]{10}$)|\+[0-9]{1,3}(?=[^0-9])|", value)[0]
+        head = COUNTRY.match(value)[0]
         rest = value[len(head) :]
         d = only(rest, digit)
         if not 7 <= len(d) + len(head) <= 16:
@@ -206,10 +211,20 @@ def pseudonym(f: Feistel, kind: str, value: str, back: bool = False) -> str | No
         return put_back(value, f"{country}{98 - mod97(country, account):02d}{account}", str.isalnum)
     if kind == "access":
         return value[:4] + f.digits("access", value[4:], UPPER36, back)
-    # emails and secrets: digits, letters and hex runs to themselves, upper case kept
-    label = f"{kind}:{re.sub('[a-z]', 'a', re.sub('[A-Z]', 'A', re.sub('[0-9]', '9', value)))}"
-    if kind == "secret" and re.fullmatch("[0-9a-f]+", value):
+    hexadecimal = kind == "secret" and re.fullmatch("[0-9a-f]+", value)
+    if hexadecimal and len(value) <= 64:
         return f.digits(f"{kind}hex", value, HEX, back)
+    if len(value) > PIECE:
+        shape = hashlib.blake2b(re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub("[0-9]", "9", value))).encode(), digest_size=16).hexdigest()
+        pieces = [(f"{kind}:{len(value)}:{'hex' if hexadecimal else shape}:{i}:", value[i : i + PIECE]) for i in range(0, len(value), PIECE)]
+        return "".join(f.digits(label, p, HEX, back) if hexadecimal else runs(f, label, p, back) for label, p in pieces)
+    return runs(f, f"{kind}:", value, back)
+
+
+def runs(f: Feistel, label: str, value: str, back: bool) -> str:
+    """The digits and letters of an email or secret permuted together; upper case and other characters stay."""
+    digit = DIGITS.__contains__
+    label += re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub("[0-9]", "9", value)))
     letter = lambda c: c.isascii() and c.isalpha()
     d, a = only(value, digit), only(value, letter)
     x = 0

@@ -3,6 +3,7 @@
 import datetime
 import random
 import re
+import time
 
 import pytest
 
@@ -120,3 +121,46 @@ def test_digits_of_other_scripts_are_left(spark):
     got = {r.doc_id: r.found for r in pseudonymise(spark.createDataFrame(rows, "doc_id bigint, text string"), b"k", keep=["doc_id"]).collect()}
     assert [got[i].n_spans for i in range(4)] == [0, 0, 0, 1]
     assert all(got[i].text == rows[i][1] for i in range(3)) and got[3].spans[0].kind == "phone"
+
+
+@pytest.mark.parametrize("unit", ["a", "7", "a1", ".", "a.", "-", "password=", "x@", "x@y.", "+44 ", "AB12 ", "1.2.3.4."])
+def test_unbroken_runs_take_linear_time(unit):
+    def seconds(n):
+        began = time.process_time()
+        replaced(Feistel(b"k"), "11 " + unit * (n // len(unit)))
+        return time.process_time() - began
+
+    seconds(1000)
+    assert seconds(120_000) < 4 * seconds(30_000) * 1.8 + 0.3
+
+
+def test_ten_megabytes_without_a_break():
+    began = time.process_time()
+    text, spans = replaced(Feistel(b"k"), "11 " + "a" * 10_000_000)
+    assert not spans and time.process_time() - began < 20
+
+
+def test_phones_are_linked_over_separators():
+    f = Feistel(b"k")
+    for one, other in (("+442079460958", "+44 20 7946 0958"), ("+14155550123", "+1 415-555-0123"), ("+35312345678", "+353 1234 5678"), ("+4930123456", "+49-30-123-456")):
+        a, b = (pseudonym(f, "phone", x) for x in (one, other))
+        digits = lambda x: "".join(c for c in x if c.isdigit())
+        assert digits(a) == digits(b) != digits(one)
+        head = next(h for h in ("+44", "+1", "+353", "+49") if one.startswith(h))
+        assert a.startswith(head) and b.startswith(head) and [c for c in b if not c.isdigit()] == [c for c in other if not c.isdigit()]
+        assert pseudonym(f, "phone", a, True) == one and pseudonym(f, "phone", b, True) == other
+
+
+def test_long_secrets_come_back():
+    f = Feistel(b"k")
+    for unit in ("aB3_", "0f3c", "x7"):
+        for n in (11, 12, 13, 16, 17, 100, 5000):
+            text = "token=" + unit * n
+            there, spans = replaced(f, text)
+            assert len(spans) == 1 and len(there) == len(text) and there[6:] != text[6:] and replaced(f, there, True)[0] == text
+            assert sum(a == b for a, b in zip(there[6:], text[6:], strict=True)) < 0.6 * len(unit * n)  # all of it is permuted
+
+
+def test_marks_before_an_email_stay():
+    text, spans = replaced(Feistel(b"k"), "..-jo.e+x@mail.example.org and " + "a" * 70 + "@x.org")
+    assert text.startswith("..-") and [s["start"] for s in spans] == [3]
