@@ -3,7 +3,8 @@
 A page is parsed into a tree (implied ends as in HTML: a paragraph ends where a
 block begins). Every element gets features of itself, its subtree, its siblings
 and its ancestors: text and link density, counts, depth, place, tag, and which
-kinds of words its class, id and role hold. Boosted regression trees give each
+kinds of words its class, id and role hold, unless it holds most of the page and
+looks like an article's holder (`misnamed`). Boosted regression trees give each
 element the log-odds of being content. Decoding goes over the tree at once: a
 node can only be kept below kept nodes, siblings of one shape lean on each
 other's odds, and the choice of the whole tree has the
@@ -22,7 +23,7 @@ one such run is kept.
 
 Defined cases: null or blank html gives an empty text; text outside of any tag
 belongs to the body; unclosed and stray tags are tolerated, scripts, styles and
-comments never count, even with tags inside; repeated rows get equal texts;
+comments never count, even with tags inside; a tag without an end is text; repeated rows get equal texts;
 nesting beyond `DEEPEST` levels is flattened.
 """
 
@@ -45,7 +46,8 @@ TREES, DEPTH, RATE, BINS, LEAST_LEAF, SHARE = 60, 5, 0.25, 32, 20, 0.3
 DEEPEST = 256
 FOUND = T.StructType([T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attributes>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|(?P<text>[^<]+|<)", re.S)
+OPENED = re.compile(r"<(/?)([a-zA-Z][^\s/><]*)")
+SPECIAL = re.compile("[>\"']")
 NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 WORD = re.compile("[a-z]+")
 RAW = frozenset("script style noscript template textarea title svg iframe object select xmp".split())
@@ -84,19 +86,87 @@ def kinds_of(attributes: str) -> frozenset:
     return frozenset(k for k, own in KINDS.items() if words & set(own)) if words else frozenset()
 
 
+class TagEnds:
+    """Where tags end: at the next `>` outside of quotes. Asked for growing places, all answers together take time in proportion to the page.
+
+    Two searches that meet at one place outside of quotes go on alike, so what a search
+    without an end has gone through isn't gone through again.
+    """
+
+    def __init__(self, page: str) -> None:
+        self.page, self.dead = page, set()  # quotes that open in a search without an end
+        self.asked, self.next = -1, -1
+
+    def special(self, at: int) -> int:
+        """The first `>` or quote from `at` on; the page's length if there's none."""
+        if not self.asked <= at <= self.next:
+            m = SPECIAL.search(self.page, at)
+            self.asked, self.next = at, m.start() if m else len(self.page)
+        return self.next
+
+    def __call__(self, at: int) -> int:
+        """The place of the `>` that ends a tag whose attributes begin at `at`; -1 if nothing does."""
+        page, seen, place = self.page, [], self.special(at)
+        while place < len(page):
+            if page[place] == ">":
+                return place
+            closing = -1 if place in self.dead else page.find(page[place], place + 1)
+            seen.append(place)
+            if closing < 0:
+                break
+            m = SPECIAL.search(page, closing + 1)
+            place = m.start() if m else len(page)
+        self.dead.update(seen)
+        return -1
+
+
+def tokens(page: str):
+    """Texts (as such), and tags as (closing, name, attributes). Comments and declarations are left out, a `<` that begins none of these is text. Sending a name skips to that element's end."""
+    ends, at, n = TagEnds(page), 0, len(page)
+    unclosed = False  # no `>` is left
+    while at < n:
+        if page[at] != "<":
+            end = page.find("<", at)
+            end = n if end < 0 else end
+            yield page[at:end]
+            at = end
+            continue
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            at = n if end < 0 else end + 3
+            continue
+        m = OPENED.match(page, at)
+        end = ends(m.end()) if m and not unclosed else -1
+        if end >= 0:
+            at = end + 1
+            skipped = yield m[1], m[2].lower(), page[m.end() : end]
+            if skipped:
+                close = re.compile(rf"</{re.escape(skipped)}[\s/>]", re.I).search(page, at)
+                end = page.find(">", close.end() - 1) if close else -1
+                at = end + 1 if end >= 0 else n
+                yield None
+        else:
+            if not unclosed and page[at + 1 : at + 2] in ("!", "?", "/") and not m:
+                end = page.find(">", at)
+                unclosed = end < 0
+            if end >= 0:
+                at = end + 1
+            else:
+                yield "<"
+                at += 1
+
+
 def parse(page: str) -> tuple[Node, list[Node]]:
     """The root and all elements in page order. Texts keep their character references."""
     root = Node("body", None)
-    nodes, here, depth, at = [root], root, 0, 0
-    while m := TOKEN.match(page, at):
-        at = m.end()
-        if m["text"] is not None:
-            here.children.append(m["text"])
-            continue
-        if m["tag"] is None:
+    nodes, here, depth = [root], root, 0
+    found = tokens(page)
+    for token in found:
+        if isinstance(token, str):
+            here.children.append(token)
             continue
-        tag = m["tag"].lower()
-        if m["close"]:
+        closing, tag, attributes = token
+        if closing:
             up, steps = here, 0
             while up is not root and up.tag != tag:
                 up, steps = up.parent, steps + 1
@@ -106,9 +176,7 @@ def parse(page: str) -> tuple[Node, list[Node]]:
                 here.children.append(" ")
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(page, at)
-            close = page.find(">", end.end() - 1) if end else -1
-            at = close + 1 if close >= 0 else len(page)
+            found.send(tag)
             continue
         if tag in ("html", "head", "body"):
             continue
@@ -121,10 +189,10 @@ def parse(page: str) -> tuple[Node, list[Node]]:
         for inner, enders in ENDED_BY.items():
             if tag in enders and here.tag == inner:
                 here, depth = here.parent, depth - 1
-        node = Node(tag, here, kinds_of(m["attributes"]) if m["attributes"] else frozenset())
+        node = Node(tag, here, kinds_of(attributes) if attributes else frozenset())
         here.children.append(node)
         nodes.append(node)
-        if tag not in VOID and not m["attributes"].endswith("/") and depth < DEEPEST:
+        if tag not in VOID and not attributes.endswith("/") and depth < DEEPEST:
             here, depth = node, depth + 1
     return root, with_runs(root, nodes)
 
@@ -172,6 +240,31 @@ STOPS = ".,!?\u3002\uff0c\uff01\uff1f\u060c\u0964"
 FEATURES = 3 * len(KINDS) + 2 * len(TAGS) + 18
 
 
+#: An element with this share of a page's text is more than what its name says, if it looks like an article's holder.
+LARGE, LEAST_PROSE = 0.5, 150
+
+
+def misnamed(nodes: list[Node], up: np.ndarray, chars: np.ndarray, linked: np.ndarray) -> np.ndarray:
+    """Elements whose names (or tag, of forms) say nothing: they hold most of the page's text, and in it a first heading, an article, or most of it in an element named as content, or paragraphs of their own."""
+    n = len(nodes)
+    marked, prose, own_p, core = np.zeros(n, bool), np.zeros(n), np.zeros(n, np.int64), np.zeros(n)
+    content = frozenset(["content"])
+    for i in range(n - 1, 0, -1):
+        x = nodes[i]
+        marked[i] |= x.tag in ("h1", "main") or x.tag == "article" and x.kinds <= content
+        marked[up[i]] |= marked[i]
+        core[up[i]] = max(core[up[i]], core[i], chars[i] if x.kinds == content or x.tag == "main" else 0)
+        if x.tag == "p":
+            prose[up[i]] += chars[i]
+            own_p[up[i]] += 1
+    named = np.array([bool(x.kinds - content) or x.tag == "form" for x in nodes])
+    readers = np.array(["reader" in x.kinds for x in nodes])
+    holder = marked | (core >= LARGE * chars) | ((own_p > 1) & (prose >= LEAST_PROSE) & ~readers)
+    out = named & (chars >= LARGE * chars[0]) & (linked < LARGE * chars) & holder
+    out[0] = False
+    return out
+
+
 def features(nodes: list[Node]) -> np.ndarray:
     """A row for each element."""
     n = len(nodes)
@@ -195,14 +288,15 @@ def features(nodes: list[Node]) -> np.ndarray:
             if a is linked and nodes[i].tag == "a":
                 linked[i] = chars[i]
             a[up[i]] += a[i]
+    unnamed = misnamed(nodes, up, chars, linked)
     depth, place, siblings, alike = np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(n)
     out = np.zeros((n, FEATURES))
     kinds, tags = list(KINDS), {t: k for k, t in enumerate(TAGS)}
     k, t = len(kinds), len(TAGS)
     for i, x in enumerate(nodes):
-        for kind in x.kinds:
+        for kind in () if unnamed[i] else x.kinds:
             out[i, kinds.index(kind)] = 1
-        if x.tag in tags:
+        if x.tag in tags and not (unnamed[i] and x.tag == "form"):
             out[i, 3 * k + tags[x.tag]] = 1
         if i:
             depth[i] = depth[up[i]] + 1

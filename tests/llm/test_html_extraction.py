@@ -1,5 +1,7 @@
 """Held-out pages, decoding along the tree, and odd markup."""
 
+import time
+
 import numpy as np
 import pytest
 
@@ -174,3 +176,46 @@ def test_held_out_pages_without_a_holder(trees):
         share += len(set(want) & set(got))
         total += len(set(want) | set(got))
     assert share / total > 0.9
+
+
+PROSE = ["A river runs over many stones and under old trees, while birds sing of long summer days.", "In the north country the winter stays, and people gather wood for the stove each evening.", "They speak of what was and what will be."]
+PARAGRAPHS = "".join(f"<p>{p}</p>" for p in PROSE)
+MENU = '<nav><ul><li><a href="/">Home</a></li><li><a href="/x">News</a></li><li><a href="/y">About</a></li></ul></nav>'
+SIDE = '<div class="sidebar"><h3>Related</h3><ul><li><a href="/a">One</a></li><li><a href="/b">Two</a></li></ul></div>'
+FOOT = "<footer>&copy; 2024 Example</footer>"
+
+
+@pytest.mark.parametrize(
+    ("page", "title"),
+    [
+        (f'{MENU}<div class="sidebar-layout"><div class="main-content"><h1>River</h1>{PARAGRAPHS}</div>{SIDE}</div>{FOOT}', "River"),
+        (f'<div class="sidebar-layout"><div class="main-content">{PARAGRAPHS}</div></div>', None),
+        (f'{MENU}<div class="no-sidebar"><h1>River</h1>{PARAGRAPHS}</div>{FOOT}', "River"),
+        (f'{MENU}<h1>Cookies</h1><div class="cookie-recipe">{PARAGRAPHS}</div>{FOOT}', "Cookies"),
+        (f'<form id="aspnetForm" action="x">{MENU}<h1>Head</h1><div>{PARAGRAPHS}</div>{FOOT}</form>', "Head"),
+        (f'<form action="x"><h1>Head</h1>{PARAGRAPHS}</form>', "Head"),
+        (f'{MENU}<article><h1 class="comment-title">Head</h1>{PARAGRAPHS}</article><div class="comments"><div class="comment"><p>Nice post, thanks.</p></div></div>{FOOT}', "Head"),
+        (f'{MENU}<article><h1>Head</h1>{PARAGRAPHS}</article><div class="comments">{"".join(f"<article class=comment><p>{p} I think so too, and more than once.</p></article>" for p in PROSE * 2)}</div>', "Head"),
+    ],
+)
+def test_misleading_names(trees, page, title):
+    assert main_texts([page], trees)[0].split("\n\n") == [title] * bool(title) + PROSE
+
+
+@pytest.mark.parametrize("unit", ["<a ", '<a href="', "<a href='\"", "<!", "<a<", "</a ", "<a \"' ", "<div>", "<", '<p class="x">a<b '])
+def test_odd_markup_takes_linear_time(unit):
+    def seconds(n):
+        best = float("inf")
+        for _ in range(3):
+            began = time.process_time()
+            parse(unit * n)
+            best = min(best, time.process_time() - began)
+        return best
+
+    assert seconds(80_000) < 4 * seconds(20_000) * 1.8 + 0.1
+
+
+def test_tags_without_an_end_are_text():
+    root, _ = parse('a < b <p title="x>y">c</p> d <i "')
+    assert "".join(c for c in root.children[0].children if isinstance(c, str)) == "a < b "
+    assert [n.tag for n in parse('<p title="x>y">c')[1]] == ["body", "p"]
