@@ -1,22 +1,23 @@
-"""Files as tables: images, masks, archives, saved arrays, and banks as partitioned tables with an atomic pointer."""
+"""Files as tables: images, masks, archives, saved arrays, and banks as partitioned tables in versions."""
 
 from __future__ import annotations
 
 import io
-import json
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from patchlake.functions.geometry import PATCH, WINDOW
 from patchlake.functions.identity import base_name, has_image_extension, stem
 from patchlake.functions.udtf import WindowOffsets
+from patchlake.sources.versions import commit, version
 
 IMAGE = "name string, bytes bigint, content binary"
 VECTORS = "path string, row int, vec array<double>"
@@ -93,38 +94,33 @@ def bank_directory(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(tier.alias("tier"), F.when(tier == "normal", "").when(label == "", "_default").otherwise(label).alias("label"), "row", "vec")
 
 
-def pointer(spark: SparkSession, root: str):
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{root}/CURRENT")
-    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm
+def written_bank(bank: DataFrame, root: str) -> dict:
+    folder = f"v-{uuid.uuid4().hex}"
+    bank.write.partitionBy("tier", "label").parquet(f"{root}/{folder}")
+    return {"bank": folder, "schema": bank.schema.jsonValue()}
 
 
 def save_bank(bank: DataFrame, root: str) -> str:
-    """Write a new version, partitioned by tier and label, and then point at it: readers see the old one or the new one, whole."""
-    spark, version = bank.sparkSession, f"v-{uuid.uuid4().hex}"
-    bank.write.partitionBy("tier", "label").parquet(f"{root}/{version}")
-    path, system, jvm = pointer(spark, root)
-    temporary = jvm.org.apache.hadoop.fs.Path(f"{root}/CURRENT.{version}")
-    out = system.create(temporary, True)
-    out.write(json.dumps({"version": version, "schema": bank.schema.json()}).encode())
-    out.close()
-    overwrite = getattr(jvm.org.apache.hadoop.fs, "Options$Rename").OVERWRITE
-    options = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 1)
-    options[0] = overwrite
-    source, target = system.makeQualified(temporary), system.makeQualified(path)
-    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
-    context.rename(source, target, options)  # in one step: there is always a pointer
-    return version
-
-
-def load_bank(spark: SparkSession, root: str) -> DataFrame:
-    from pyspark.sql.types import StructType
-
-    text = spark.read.text(f"{root}/CURRENT", wholetext=True).first()[0]
-    now = json.loads(text)
-    schema = StructType.fromJson(json.loads(now["schema"]))
+    """Write a new version, partitioned by tier and label, whatever there was: readers see the old one or the new one, whole."""
+    new = written_bank(bank, root)
+    commit(bank.sparkSession, root, lambda base: base | new)
+    return new["bank"]
+
+
+def update_bank(spark: SparkSession, root: str, change: Callable[[DataFrame], DataFrame]) -> str:
+    """Save change(bank); made again from the newest bank if another writer was faster, so no change is lost."""
+    return commit(spark, root, lambda base: base | written_bank(change(bank_of(spark, root, base)), root))["bank"]
+
+
+def bank_of(spark: SparkSession, root: str, now: dict) -> DataFrame:
+    schema = StructType.fromJson(now["schema"])
     label = F.when(F.col("label") == "__HIVE_DEFAULT_PARTITION__", "").otherwise(F.coalesce("label", F.lit("")))
-    return spark.read.schema(schema).parquet(f"{root}/{now['version']}").withColumn("label", label).select(schema.names)
+    return spark.read.schema(schema).parquet(f"{root}/{now['bank']}").withColumn("label", label).select(schema.names)
+
+
+def load_bank(spark: SparkSession, root: str, number: int | None = None) -> DataFrame:
+    """The newest version, or one by its number."""
+    return bank_of(spark, root, version(spark, root, number))
 
 
 def export_package(bank: DataFrame, centroids: DataFrame | None, path: str) -> DataFrame:
