@@ -11,10 +11,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from patchlake.functions.digest import SUMS, digest, row_sums, sums_of
 from patchlake.functions.identity import safe_label
 from patchlake.functions.scoring import DEFAULT_SEVERITY, clamped_severity
-from patchlake.operators.memory import with_defaults
+from patchlake.operators.knn import nearest_mean
+from patchlake.operators.memory import append, row_starts, with_defaults
 from patchlake.operators.ordered import totals_before
+from patchlake.sources.shared import materialise
 
 TIERS = ("normal", "critical", "negative")
 PROJECTED, STEP, SEED = 128, 64, 42
@@ -72,14 +75,15 @@ def projected(x: np.ndarray, dims: int = PROJECTED, seed: int = SEED) -> np.ndar
     return x @ signs / np.sqrt(density * dims)
 
 
-def k_center(x: np.ndarray, n: int, forced: list[int] | None = None, step: int = STEP, seed: int = SEED) -> list[int]:
-    """Rows in the order they are chosen: forced ones, then again and again those farthest from all chosen so far."""
+def k_center(x: np.ndarray, n: int, forced: list[int] | None = None, step: int = STEP, seed: int = SEED, near: np.ndarray | None = None) -> list[int]:
+    """Rows in the order they are chosen: forced ones, then again and again those farthest from all chosen so far and from the rows held already, which are `near` (squared) away from each."""
     n = min(max(n, len(forced or [])), len(x))
     if n <= 0:
         return []
     x = projected(np.asarray(x, np.float64))
-    chosen = list(forced or [int(np.random.default_rng(seed).integers(len(x)))])
-    near = np.full(len(x), np.inf)
+    near = np.full(len(x), np.inf) if near is None else np.array(near, np.float64)
+    held = bool(np.isfinite(near).any())
+    chosen = list(forced or ([int(near.argmax())] if held else [int(np.random.default_rng(seed).integers(len(x)))]))
     new = chosen
     while len(chosen) < n:
         for i in new:
@@ -94,17 +98,92 @@ def reduced_rows(group: pd.DataFrame) -> pd.DataFrame:
     group = group.sort_values("row").reset_index(drop=True)
     n = int(group["budget"].iloc[0])
     forced = group.index[group["forced"]].tolist()
-    order = k_center(np.array(group["vec"].tolist()), n, forced) if n < len(group) else list(range(len(group)))
+    near = group["near"].to_numpy(np.float64) if group["near"].notna().any() else None
+    order = k_center(np.array(group["vec"].tolist()), n, forced, near=near) if n < len(group) else list(range(len(group)))
     return group.iloc[order].assign(rank=range(len(order)))[["entry", "row", "rank"]]
 
 
-def coreset(rows: DataFrame, budget: Column, forced: Column | None = None) -> DataFrame:
-    """The columns of `rows` (entry, row, vec, ...) and rank, for each entry's chosen rows. One image is one group, and bounded."""
-    put = rows.select("entry", "row", "vec", budget.alias("budget"), F.coalesce(forced if forced is not None else F.lit(False), F.lit(False)).alias("forced"))
+def projected_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        yield b.assign(vec=list(projected(np.array(b["vec"].tolist(), np.float64)))) if len(b) else b
+
+
+def held_distances(rows: DataFrame, held: DataFrame) -> DataFrame:
+    """entry, row, near: the squared distance of each row to the nearest held one, where coresets measure it; null if nothing is held."""
+    as_seen = lambda t: t.select("entry", "row", F.col("vec").cast("array<double>").alias("vec")).mapInPandas(projected_batches, "entry bigint, row bigint, vec array<double>")
+    found = nearest_mean(as_seen(rows), as_seen(held), 1, "none", ["entry", "row"])
+    return found.select("entry", "row", (F.col("score") * F.col("score")).alias("near"))
+
+
+def coreset(rows: DataFrame, budget: Column, forced: Column | None = None, near: Column | None = None) -> DataFrame:
+    """The columns of `rows` (entry, row, vec, ...) and rank, for each entry's chosen rows. near: squared distance to rows held already. One image is one group, and bounded."""
+    put = rows.select("entry", "row", "vec", budget.alias("budget"), F.coalesce(forced if forced is not None else F.lit(False), F.lit(False)).alias("forced"), (near if near is not None else F.lit(None)).cast("double").alias("near"))
     kept = put.groupBy("entry").applyInPandas(lambda g: reduced_rows(g), T.StructType([rows.schema["entry"], rows.schema["row"], T.StructField("rank", T.IntegerType())]))
     return rows.join(kept, ["entry", "row"])
 
 
+def tiled(index: DataFrame, rows: DataFrame) -> None:
+    """Raises unless the images' ranges (tier, label, entry, start, count) follow each other without gaps and cover each label's rows: else rows exist that no image claims."""
+    put = totals_before(index.select("tier", "label", "entry", "start", "count"), "start", {"expected": F.col("count")}, ("tier", "label"))
+    gaps = put.where("start <> expected").select("tier", "label").distinct()
+    covered = index.groupBy("tier", "label").agg(F.sum("count").alias("covered"))
+    there = rows.groupBy("tier", "label").agg(F.count("*").alias("there"))
+    uneven = covered.join(there, ["tier", "label"], "full").where(~F.col("covered").eqNullSafe(F.col("there"))).select("tier", "label")
+    repeated = index.groupBy("tier", "label", "start").count().where("count > 1").select("tier", "label")
+    wrong = gaps.unionByName(uneven).unionByName(repeated).distinct().limit(5).collect()
+    if wrong:
+        raise ValueError(f"the index doesn't tile the rows of {[f'{r.tier}/{r.label}' for r in wrong]}")
+
+
+def capped(rows: DataFrame, cap: int, held: DataFrame | None = None, marked: Column | None = None) -> DataFrame:
+    """Images with at most `cap` rows each: marked rows first and always, then a coreset, in the order of choice.
+
+    rows: entry, row (from 0), vec, and place (its place in the image's grid) if the image was
+    reduced before. Returned: the columns with row numbered anew, place, and `reduced`. With `held`
+    (entry, row, vec) the choice starts from the rows that are there already.
+    """
+    place = F.coalesce("place", "row") if "place" in rows.columns else F.col("row")
+    mark = F.coalesce(marked if marked is not None else F.lit(False), F.lit(False))
+    sized = rows.withColumns({"__place": place.cast("bigint"), "__mark": mark})
+    if cap <= 0:
+        return sized.drop("__mark", "place").withColumnRenamed("__place", "place").withColumn("reduced", F.lit(False))
+    sizes = rows.groupBy("entry").agg(F.count("*").alias("__n"))
+    sized = materialise(sized.join(sizes, "entry"), "sized")
+    large, near = sized.where(F.col("__n") > cap), None
+    if held is not None:
+        large, near = large.join(held_distances(large, held), ["entry", "row"]), F.col("near")
+    chosen = coreset(large, F.lit(cap), F.col("__mark"), near).drop("near").withColumn("row", F.col("rank").cast(rows.schema["row"].dataType)).drop("rank").withColumn("reduced", F.lit(True))
+    out = chosen.unionByName(sized.where(F.col("__n") <= cap).withColumn("reduced", F.lit(False)))
+    return out.drop("__n", "__mark", "place").withColumnRenamed("__place", "place")
+
+
+def image_index(rows: DataFrame) -> DataFrame:
+    """tier, label, entry, start, count, kept: each image's range of rows, and its rows' grid places where it was reduced (now or before). rows: tier, label, entry, row, place, reduced."""
+    own = rows.groupBy("tier", "label", "entry").agg(F.array_sort(F.collect_list(F.struct("row", "place"))).alias("p"), F.max("reduced").alias("reduced"), F.max(F.col("row") != F.col("place")).alias("moved"))
+    kept = own.select("tier", "label", "entry", F.when(F.col("reduced") | F.col("moved"), F.transform("p", lambda x: x["place"])).alias("kept"))
+    return row_starts(rows).join(kept, ["tier", "label", "entry"])
+
+
+def appended(bank: DataFrame, rows: DataFrame, now: int, cap: int = 0, start_from_held: bool = False) -> DataFrame:
+    """The bank with new images of at most `cap` rows each. bank and rows: tier, label, entry, row, vec (and place); entries of `rows` are new.
+
+    With `start_from_held` a new image's rows are chosen for what they add to the rows that the bank
+    holds in all tiers, in the order of what they add.
+    """
+    new = capped(rows, cap, bank if start_from_held else None).drop("reduced")
+    held = bank if "place" in bank.columns else bank.withColumn("place", F.col("row").cast("bigint"))
+    return append(held, new, now)
+
+
+def reduced_bank(bank: DataFrame, index: DataFrame, cap: int) -> DataFrame:
+    """The bank with at most `cap` rows in each image of the labelled tiers; rows with another than the default severity stay, and come first. index: tier, label, entry, start, count of the labelled tiers. Raises if it doesn't tile the rows."""
+    labelled = bank.where("tier <> 'normal'")
+    tiled(index, labelled)
+    out = capped(labelled, cap, marked=F.col("severity") != DEFAULT_SEVERITY).drop("reduced")
+    normal = bank.where("tier = 'normal'")
+    return out.unionByName(normal if "place" in bank.columns else normal.withColumn("place", F.col("row").cast("bigint")))
+
+
 def rows_for_marks(images: DataFrame) -> DataFrame:
     """entry, row: stored rows that the marks (grid places) of each image point at. images: entry, rows, kept (null: all), marks."""
     marks = images.select("entry", "rows", F.explode("marks").alias("mark"), F.col("kept").isNull().alias("whole"))
@@ -151,13 +230,29 @@ def base_severity(bank: DataFrame) -> DataFrame:
 
 
 def fingerprint(images: DataFrame, assignments: DataFrame) -> DataFrame:
-    """One digest of what would change the assembled bank, from digests of 1,024 runs of entries, so no task holds all of them."""
-    line = F.concat_ws(":", F.col("entry").cast("string"), F.col("rows").cast("string"))
+    """One digest of what would change the assembled bank: images with their rows, and assignments with severity and marks."""
+    line = F.concat_ws(":", F.lit("i"), F.col("entry").cast("string"), F.col("rows").cast("string"))
     marks = F.array_join(F.transform("marks", lambda m: m.cast("string")), ",")
-    given = F.concat_ws(":", F.col("entry").cast("string"), "tier", safe_label(F.col("label")), clamped_severity(F.col("severity")).cast("string"), marks)
-    both = images.select("entry", F.concat(F.lit("i"), line).alias("x")).unionByName(assignments.select("entry", F.concat(F.lit("a"), given).alias("x")))
-    runs = both.groupBy(F.pmod(F.xxhash64("entry"), F.lit(1024)).alias("run")).agg(F.sha2(F.concat_ws("\n", F.array_sort(F.collect_list("x"))), 256).alias("d"))
-    return runs.agg(F.substring(F.sha2(F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("run", "d"))), lambda r: r["d"])), 256), 1, 32).alias("fingerprint"))
+    given = F.concat_ws(":", F.lit("a"), F.col("entry").cast("string"), "tier", safe_label(F.col("label")), clamped_severity(F.col("severity")).cast("string"), marks)
+    both = images.select(line.alias("x")).unionByName(assignments.select(given.alias("x")))
+    return sums_of(both, F.col("x")).select(digest(32).alias("fingerprint"))
+
+
+def membership(bank: DataFrame, marked: bool = False) -> DataFrame:
+    """tier, label, entry, line: an image's place in the bank as text; with `marked` the rows that are marked as heavy too."""
+    marks = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("severity") == 3, F.col("row")))), lambda r: r.cast("string")), ",") if marked else F.lit("")
+    images = bank.groupBy("tier", "label", "entry").agg(F.count("*").alias("n"), (F.when(F.first("tier") == "normal", "").otherwise(marks) if marked else marks).alias("marks"))
+    return images.select("tier", "label", "entry", F.concat_ws(":", "tier", "label", F.col("entry").cast("string"), F.col("n").cast("string"), "marks").alias("line"))
+
+
+def bank_digests(bank: DataFrame, settings: str = "") -> DataFrame:
+    """One row: `evaluation` changes with what scores depend on (the normal images and the settings of the search), `content` with every image and heavy mark too. bank: tier, label, entry, row, severity."""
+    lines = membership(bank, True)
+    out = lines.withColumn("evaluation", F.when(F.col("tier") == "normal", F.col("line")))
+    sums = {**{f"e_{n}": c for n, c in row_sums(F.col("evaluation")).items()}, **{f"c_{n}": c for n, c in row_sums(F.col("line")).items()}}
+    both = out.agg(*[c.alias(n) for n, c in sums.items()])
+    named = lambda which: F.sha2(F.concat_ws(",", F.lit(settings), *[F.col(f"{which}_{n}").cast("string") for n in SUMS]), 256)
+    return both.select(named("e").alias("evaluation"), named("c").alias("content"))
 
 
 def bank_diff(one: DataFrame, other: DataFrame) -> DataFrame:

@@ -1,8 +1,7 @@
 """Cluster-routed search and quantised vectors.
 
-An index is two tables: centroids (cluster, center) and the bank with its
-cluster column. A query looks only at rows of its `nprobe` nearest clusters, by
-an equi-join on the cluster; queries that find none there are searched in full.
+Clusters are a table of centroids (cluster, center) and the bank with its cluster
+column. `patchlake.operators.lists` keeps and searches the rows by cluster.
 """
 
 from __future__ import annotations
@@ -12,13 +11,11 @@ from functools import partial
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from patchlake.functions.scoring import distance
-from patchlake.operators.knn import nearest_mean
-from patchlake.sources.shared import materialise
+from patchlake.operators.knn import TILE_BYTES, read_block, write_blocks
 
 LEAST_ROWS, GROWTH, ROUNDS, NPROBE = 20_000, 1.5, 25, 8
 MOST_CLUSTERS, LEAST_CLUSTERS, ROWS_PER_CLUSTER = 1024, 16, 64
@@ -44,16 +41,38 @@ def ranked_centers(centers: np.ndarray, ids: np.ndarray, n: int, keep: list[str]
         yield out.assign(cluster=ids[order].ravel(), probe=np.tile(np.arange(order.shape[1]), len(b)))
 
 
-def probes(rows: DataFrame, centroids: DataFrame, n: int = 1, keep: list[str] | None = None) -> DataFrame:
-    """`keep` columns, cluster, probe: the n nearest clusters of each row, ties to the smaller cluster. There are at most MOST_CLUSTERS centroids."""
-    found = centroids.orderBy("cluster").limit(MOST_CLUSTERS + 1).collect()
-    if len(found) > MOST_CLUSTERS:
-        raise ValueError(f"more than {MOST_CLUSTERS} centroids")
+def ranked_blocks(path: str, blocks: int, n: int, keep: list[str], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """As ranked_centers, with the centers in blocks and the n best so far kept."""
+    for b in batches:
+        if not len(b):
+            continue
+        q = np.array(b["vec"].tolist(), np.float64)
+        square = (q**2).sum(axis=1)[:, None]
+        best, which = np.empty((len(q), 0)), np.empty((len(q), 0), np.int32)
+        for i in range(blocks):
+            held = read_block(path, i)
+            step = max(1, TILE_BYTES // (8 * max(1, len(q))))
+            for at in range(0, len(held["vec"]), step):
+                d = (square + held["norm"][None, at : at + step] - 2 * q @ held["vec"][at : at + step].T).round(12)
+                ids = held["entry"].to_numpy()[at : at + step]
+                best, which = np.concatenate([best, d], axis=1), np.concatenate([which, np.broadcast_to(ids, d.shape)], axis=1)
+                order = np.lexsort((which, best), axis=1)[:, :n]
+                best, which = np.take_along_axis(best, order, 1), np.take_along_axis(which, order, 1)
+        out = b.loc[b.index.repeat(which.shape[1]), keep].reset_index(drop=True)
+        yield out.assign(cluster=which.ravel(), probe=np.tile(np.arange(which.shape[1]), len(b)))
+
+
+def probes(rows: DataFrame, centroids: DataFrame, n: int = 1, keep: list[str] | None = None, most: int = MOST_CLUSTERS) -> DataFrame:
+    """`keep` columns, cluster, probe: the n nearest clusters of each row, ties to the smaller cluster. Up to `most` centroids are sent to tasks; more are read there in blocks."""
+    found = centroids.orderBy("cluster").limit(most + 1).collect()
     keep = list(rows.columns) if keep is None else keep
-    centers, ids = np.array([r["center"] for r in found], np.float64), np.array([r["cluster"] for r in found], np.int32)
     schema = T.StructType([rows.schema[c] for c in keep] + [T.StructField("cluster", T.IntegerType()), T.StructField("probe", T.IntegerType())])
-    used = list(dict.fromkeys([*keep, "vec"]))
-    return rows.select(*used).mapInPandas(partial(ranked_centers, centers, ids, n, keep), schema)
+    put = rows.select(*dict.fromkeys([*keep, "vec"]))
+    if len(found) > most:
+        path, blocks = write_blocks(centroids.select(F.col("cluster").alias("entry"), F.lit(0).alias("row"), F.col("center").alias("vec")))
+        return put.mapInPandas(partial(ranked_blocks, path, blocks, n, keep), schema)
+    centers, ids = np.array([r["center"] for r in found], np.float64), np.array([r["cluster"] for r in found], np.int32)
+    return put.mapInPandas(partial(ranked_centers, centers, ids, n, keep), schema)
 
 
 def assign(rows: DataFrame, centroids: DataFrame) -> DataFrame:
@@ -93,36 +112,6 @@ def build(rows: DataFrame, k: int | None = None, rounds: int = ROUNDS, seed: int
     return frame()
 
 
-def routed_mean(queries: DataFrame, bank: DataFrame, centroids: DataFrame, k: int = 5, nprobe: int = NPROBE, leave_out: str = "none") -> DataFrame:
-    """id and score: mean distance to the k nearest rows of the probed clusters. queries: id, entry, vec; bank: entry, row, vec, cluster."""
-    probed = probes(queries, centroids, max(1, nprobe)).select("id", F.col("entry").alias("q_entry"), F.col("vec").alias("q"), "cluster")
-    pairs = probed.join(bank.select("entry", "row", "vec", "cluster"), "cluster")
-    if leave_out == "entry":
-        pairs = pairs.where("entry <> q_entry")
-    near = pairs.select("id", distance(F.col("q"), F.col("vec")).alias("d"), "entry", "row")
-    rank = F.row_number().over(Window.partitionBy("id").orderBy("d", "entry", "row"))
-    found = materialise(near.withColumn("r", rank).where(F.col("r") <= k).groupBy("id").agg(F.avg("d").alias("score")), "routed")
-    unanswered = queries.join(found, "id", "left_anti")
-    return found.unionByName(nearest_mean(unanswered, bank, k, leave_out, ["id"]))
-
-
-def probes_for(queries: DataFrame, bank: DataFrame, centroids: DataFrame, k: int = 5, target: float = 0.9, leave_out: str = "none", most: int = 1000, seed: int = SEED) -> int:
-    """The smallest of NPROBE, 2 NPROBE, 4 NPROBE, ... with which a share `target` of sampled queries gets the score of the full scan.
-
-    At most `most` queries, by a seeded hash of their ids, are asked; with all clusters probed every score is exact, so the search ends.
-    """
-    asked = materialise(queries.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(most), "asked")
-    exact = materialise(nearest_mean(asked, bank, k, leave_out, ["id"]).withColumnRenamed("score", "exact"), "exact")
-    clusters, n = centroids.count(), NPROBE
-    while n < clusters:
-        near = routed_mean(asked, bank, centroids, k, n, leave_out).join(exact, "id")
-        share = near.agg(F.avg((F.col("score") <= F.col("exact") + 1e-9).cast("double"))).first()[0]
-        if share is None or share >= target:
-            break
-        n *= 2
-    return min(n, clusters)
-
-
 def dimension_scales(rows: DataFrame) -> DataFrame:
     """i, scale of each dimension: its largest absolute value over 127, 1 where all are 0."""
     top = rows.select(F.posexplode("vec").alias("i", "x")).groupBy("i").agg(F.max(F.abs("x")).alias("m"))

@@ -1,79 +1,193 @@
 """Masks in long form (image, y, x, class): regions, size filters, morphology, presence, error maps.
 
-One image is one group; its pixels are bounded by the image's size.
+Pixels are dealt out by square tiles of an image, not by image. A task labels the parts of
+all tiles that it holds at once, whatever number of small images these are; the parts of
+a tile are numbered by their first pixel. Parts that meet at a border of tiles are linked,
+and components over these links (star steps) join them, so a mask of any size is
+labelled in bounded memory. Areas, boxes and centres are sums over parts.
+
+Morphology gives each tile the pixels around it that its steps can reach.
+
+Defined cases: repeated pixels of one class count once, pixels with several classes are
+one of each; rows with a null place or class are left out of regions and stay as they
+are elsewhere; negative places are allowed; empty tables give no rows; other columns stay.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import partial
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from patchlake.operators.star import components
+from patchlake.sources.shared import materialise
 
 IGNORED = 255
-REGIONS = "image bigint, class int, area bigint, y0 int, x0 int, y1 int, x1 int, cy double, cx double, confidence double, region int"
+#: Side of a tile in pixels; rows that are labelled at once, about.
+TILE, TOGETHER = 512, 1 << 19
+#: Parts with another area than in their tile are sent to tasks up to this number, and joined by a shuffle beyond it.
+SENT_PARTS = 500_000
 
 
-def components(mask: np.ndarray, diagonal: bool) -> np.ndarray:
-    """A number for each connected part of the true pixels, from 1 in row-major order of first pixels; 0 elsewhere."""
-    n = mask.size
-    label = np.where(mask, np.arange(1, n + 1).reshape(mask.shape), 0)
-    steps = [(0, 1), (1, 0)] + ([(1, 1), (1, -1)] if diagonal else [])
+def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest of the numbers below n that each is linked with, over any number of links a, b."""
+    label = np.arange(n)
     while True:
-        before = label.copy()
-        for dy, dx in steps:
-            a = label[: label.shape[0] - dy, max(0, -dx) : label.shape[1] - max(0, dx)]
-            b = label[dy:, max(0, dx) : label.shape[1] + min(0, dx)]
-            both = (a > 0) & (b > 0)
-            low = np.minimum(a, b)
-            a[both] = low[both]
-            b[both] = np.minimum(b[both], low[both])  # a and b share pixels
-        root = np.concatenate([[0], label.ravel()])
-        label = np.where(mask, root[root[label]], 0)
-        if (label == before).all():
-            break
-    _, back = np.unique(np.concatenate([[0], label.ravel()]), return_inverse=True)
-    return back[1:].reshape(mask.shape)
-
-
-def dense(group: pd.DataFrame, column: str = "class") -> np.ndarray:
-    out = np.zeros((group["y"].max() + 1, group["x"].max() + 1), group[column].dtype)
-    out[group["y"], group["x"]] = group[column]
+        x, y = label[a], label[b]
+        apart = x != y
+        if not apart.any():
+            return label
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while True:
+            up = label[label]
+            if (up == label).all():
+                break
+            label = up
+
+
+def labelled_places(tile: np.ndarray, y: np.ndarray, x: np.ndarray, cls: np.ndarray, side: int, diagonal: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of pixels (tile number, place in it, class): the index of the first pixel of each one's part (-1 for background), the part's area, and whether it's the first row of its pixel."""
+    wide = side + 1  # a gap after each line and tile
+    key = ((tile * wide + y) * wide + x) * 256 + cls
+    order = np.argsort(key, kind="stable")
+    key, own = key[order], cls[order] > 0
+    a, b = [], []
+    same = np.flatnonzero((key[1:] == key[:-1]) & own[1:])
+    a.append(same)
+    b.append(same + 1)
+    for dy, dx in [(0, 1), (1, 0), *([(1, 1), (1, -1)] if diagonal else [])]:
+        at = np.searchsorted(key, key + (dy * wide + dx) * 256)
+        near = np.flatnonzero((at < len(key)) & own)
+        near = near[key[at[near]] == key[near] + (dy * wide + dx) * 256]
+        if dx < 0:
+            near = near[x[order[near]] > 0]
+        a.append(near)
+        b.append(at[near])
+    label = roots(len(key), np.concatenate(a), np.concatenate(b))
+    first = np.ones(len(key), bool)
+    first[1:] = key[1:] != key[:-1]
+    area = np.bincount(label, first, len(key)).astype(np.int64)[label]
+    part = np.where(own, order[label], -1)
+    out = np.empty(len(key), np.int64), np.empty(len(key), np.int64), np.empty(len(key), bool)
+    for to, value in zip(out, (part, area, first), strict=True):
+        to[order] = value
     return out
 
 
-def regions_of(group: pd.DataFrame) -> pd.DataFrame:
-    mask, sure = dense(group), dense(group, "confidence")
-    rows = []
-    for cls in np.unique(mask[mask > 0]):
-        found = components(mask == cls, True)
-        for r in range(1, found.max() + 1):
-            y, x = np.nonzero(found == r)
-            rows.append((int(group["image"].iloc[0]), int(cls), len(y), y.min(), x.min(), y.max(), x.max(), round(y.mean(), 1), round(x.mean(), 1), sure[y, x].mean(), 0))
-    out = pd.DataFrame(rows, columns=["image", "class", "area", "y0", "x0", "y1", "x1", "cy", "cx", "confidence", "region"])
-    out = out.sort_values(["area", "class", "y0", "x0"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)
-    return out.assign(region=np.arange(len(out)))
-
-
-def regions(pixels: DataFrame) -> DataFrame:
+def whole_tiles(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Rows ordered by their first three columns, in tables that cut no tile, and each row's tile number in its table."""
+
+    def ends(t: pa.Table) -> np.ndarray:
+        keys = [t.column(i).to_numpy() for i in range(3)]
+        return np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys])) + 1
+
+    def numbers(t: pa.Table) -> np.ndarray:
+        out = np.zeros(t.num_rows, np.int64)
+        out[ends(t)] = 1
+        return np.cumsum(out)
+
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for b in batches:
+        held.append(b)
+        size += b.num_rows
+        if size >= least:
+            t = pa.Table.from_batches(held).combine_chunks()
+            cut = ends(t)
+            if len(cut):
+                last = int(cut[-1])
+                yield t.slice(0, last), numbers(t.slice(0, last))
+                t = t.slice(last)
+            held, size = t.to_batches(), t.num_rows
+    if size:
+        t = pa.Table.from_batches(held).combine_chunks()
+        yield t, numbers(t)
+
+
+def labelled_rows(side: int, diagonal: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """kept, py, px (first pixel of the part, null for background), local (its area in the tile), first."""
+    for t, tile in whole_tiles(batches, TOGETHER):
+        y, x, cls = (t.column(n).to_numpy() for n in ("y", "x", "class"))
+        part, area, first = labelled_places(tile, y % side, x % side, cls, side, diagonal)
+        none = part < 0
+        at = np.maximum(part, 0)
+        columns = [t.column("kept").combine_chunks(), pa.array(y[at], mask=none), pa.array(x[at], mask=none), pa.array(area, mask=none), pa.array(first)]
+        yield pa.RecordBatch.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns], ["kept", "py", "px", "local", "first"])
+
+
+def in_tiles(pixels: DataFrame, side: int) -> DataFrame:
+    """image, ty, tx, y, x, class as whole numbers and kept (all columns), each tile in one task, one after the other."""
+    y, x = F.col("y").cast("bigint"), F.col("x").cast("bigint")
+    put = pixels.select(F.col("image").cast("bigint").alias("image"), F.floor(y / side).alias("ty"), F.floor(x / side).alias("tx"), y.alias("y"), x.alias("x"), F.col("class").cast("bigint").alias("class"), F.struct(*[F.col(f"`{c}`") for c in pixels.columns]).alias("kept"))
+    return put.repartition("image", "ty", "tx").sortWithinPartitions("image", "ty", "tx")
+
+
+def known(pixels: DataFrame):
+    return F.col("image").isNotNull() & F.col("y").isNotNull() & F.col("x").isNotNull() & F.col("class").isNotNull()
+
+
+def labelled(pixels: DataFrame, diagonal: bool, side: int = TILE) -> DataFrame:
+    """kept (a struct of the pixel's columns), py, px, local, first; written."""
+    put = in_tiles(pixels.where(known(pixels)), side)
+    schema = T.StructType([put.schema["kept"], *[T.StructField(n, T.LongType()) for n in ("py", "px", "local")], T.StructField("first", T.BooleanType())])
+    return materialise(put.mapInArrow(partial(labelled_rows, side, diagonal), schema), "labelled")
+
+
+def joined_parts(found: DataFrame, diagonal: bool, side: int) -> DataFrame | None:
+    """id, component: parts (image, class, y, x) that go on in other tiles, and the smallest part they belong to; None if there are none."""
+    place = found.where("py is not null").select(*[F.col(f"kept.{c}").cast("bigint").alias(c) for c in ("image", "y", "x", "class")], "py", "px")
+    part = F.struct("image", "class", F.col("py").alias("y"), F.col("px").alias("x"))
+    edge = lambda c: F.pmod(c, F.lit(side)).isin(0, side - 1)
+    border = place.where(edge(F.col("y")) | edge(F.col("x"))).select("image", "class", "y", "x", part.alias("part"))
+    steps = [(0, 1), (1, 0), *([(1, 1), (1, -1)] if diagonal else [])]
+    near = F.explode(F.array(*[F.struct((F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x")) for dy, dx in steps]))
+    asked = border.select("image", "class", F.col("part").alias("a"), F.floor(F.col("y") / side).alias("ty"), F.floor(F.col("x") / side).alias("tx"), near.alias("at"))
+    other = (F.floor(F.col("at.y") / side) != F.col("ty")) | (F.floor(F.col("at.x") / side) != F.col("tx"))
+    asked = asked.where(other).select("image", "class", F.col("at.y").alias("y"), F.col("at.x").alias("x"), "a")
+    links = materialise(asked.join(border, ["image", "class", "y", "x"]).select("a", F.col("part").alias("b")).distinct(), "links")
+    return None if links.isEmpty() else materialise(components(links), "components")
+
+
+def regions(pixels: DataFrame, side: int = TILE) -> DataFrame:
     """Parts of one class, joined over corners too, from the largest: area, box, centre, mean confidence. pixels: image, y, x, class, confidence."""
-    return pixels.groupBy("image").applyInPandas(lambda g: regions_of(g), REGIONS)
-
-
-def filtered_of(least: int, most: int, group: pd.DataFrame) -> pd.DataFrame:
-    mask = dense(group)
-    for cls in np.unique(mask[mask > 0]):
-        found = components(mask == cls, False)
-        size = np.bincount(found.ravel())
-        odd = (size < least) | ((size > most) if most > 0 else False)
-        odd[0] = False
-        mask[odd[found]] = 0
-    return group.assign(**{"class": mask[group["y"], group["x"]]})
-
-
-def size_filter(pixels: DataFrame, least: int, most: int = 0) -> DataFrame:
+    found = labelled(pixels, True, side)
+    over = joined_parts(found, True, side)
+    own = [F.col(f"kept.{c}").cast("bigint").alias(c) for c in ("image", "class", "y", "x")]
+    rows = found.where("first and py is not null").select(*own, "py", "px", F.col("kept.confidence").cast("double").alias("confidence"))
+    sums = {"area": F.count("*"), "sy": F.sum("y"), "sx": F.sum("x"), "y0": F.min("y"), "x0": F.min("x"), "y1": F.max("y"), "x1": F.max("x"), "sure": F.sum("confidence"), "n": F.count("confidence")}
+    parts = rows.groupBy("image", "class", "py", "px").agg(*[c.alias(n) for n, c in sums.items()])
+    if over is not None:
+        named = parts.withColumn("id", F.struct("image", "class", F.col("py").alias("y"), F.col("px").alias("x"))).join(over, "id", "left")
+        named = named.withColumns({"py": F.coalesce("component.y", "py"), "px": F.coalesce("component.x", "px")})
+        folds = {n: (F.min if n in ("y0", "x0") else F.max if n in ("y1", "x1") else F.sum)(n) for n in sums}
+        parts = named.groupBy("image", "class", "py", "px").agg(*[c.alias(n) for n, c in folds.items()])
+    tenth = lambda total: F.rint(F.col(total) / F.col("area") * 10) / 10
+    rank = F.row_number().over(Window.partitionBy("image").orderBy(F.col("area").desc(), "class", "y0", "x0", "py", "px")) - 1
+    whole = {n: F.col(n).cast("int") for n in ("y0", "x0", "y1", "x1")}
+    return parts.select("image", F.col("class").cast("int").alias("class"), "area", *[c.alias(n) for n, c in whole.items()], tenth("sy").alias("cy"), tenth("sx").alias("cx"), (F.col("sure") / F.col("n")).alias("confidence"), rank.alias("region"))
+
+
+def size_filter(pixels: DataFrame, least: int, most: int = 0, side: int = TILE) -> DataFrame:
     """Parts (joined over sides only) smaller than `least`, or larger than `most` if it is above 0, become background."""
-    return pixels.groupBy("image").applyInPandas(lambda g: filtered_of(least, most, g), pixels.schema)
+    found = labelled(pixels, False, side)
+    over, area = joined_parts(found, False, side), F.col("local")
+    part = F.struct(F.col("kept.image").cast("bigint").alias("image"), F.col("kept.class").cast("bigint").alias("class"), F.col("py").alias("y"), F.col("px").alias("x"))
+    if over is not None:
+        sizes = found.where("first and py is not null").groupBy(part.alias("id")).agg(F.count("*").alias("n"))
+        members = over.unionByName(over.select(F.col("component").alias("id"), "component").distinct()).join(sizes, "id")
+        totals = members.groupBy("component").agg(F.sum("n").alias("whole"))
+        wholes = materialise(members.join(totals, "component").select("id", "whole"), "wholes")
+        found = found.withColumn("id", part).join(F.broadcast(wholes) if wholes.count() <= SENT_PARTS else wholes, "id", "left")
+        area = F.coalesce("whole", "local")
+    odd = (area < least) | ((area > most) if most > 0 else F.lit(False))
+    out = found.select(*[F.when(F.coalesce(odd, F.lit(False)), F.lit(0).cast(pixels.schema[c].dataType)).otherwise(F.col("kept.class")).alias(c) if c == "class" else F.col("kept").getField(c).alias(c) for c in pixels.columns])
+    return out.unionByName(pixels.where(~known(pixels)))
 
 
 def spread(mask: np.ndarray, side: int, largest: bool) -> np.ndarray:
@@ -86,23 +200,49 @@ def spread(mask: np.ndarray, side: int, largest: bool) -> np.ndarray:
     return mask
 
 
-def morphed_of(kind: str, side: int, group: pd.DataFrame) -> pd.DataFrame:
-    mask = dense(group)
-    out = np.zeros_like(mask)
-    for cls in np.unique(mask[mask > 0]):  # a higher class wins
-        own = mask == cls
-        for step in kind.split("_"):
-            own = spread(spread(own, side, step == "close"), side, step != "close")
-        out[own] = cls
-    return group.assign(**{"class": out[group["y"], group["x"]]})
-
-
-def morphology(pixels: DataFrame, kind: str, kernel: int) -> DataFrame:
-    """kind: open, close or open_close, with a square of odd side, at least 3."""
+def morphed_rows(kind: str, square: int, side: int, reach: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The tiles' own pixels with their new class; pixels of tiles around them only lend their class."""
+    for t, tile in whole_tiles(batches, TOGETHER):
+        y, x, cls, own, *box = (t.column(n).to_numpy(zero_copy_only=False) for n in ("y", "x", "class", "own", "ty", "tx", "y0", "x0", "y1", "x1"))
+        out = np.empty(len(y), np.int64)
+        starts = np.append(np.flatnonzero(np.diff(tile, prepend=-1)), len(tile))
+        for i, j in zip(starts, starts[1:], strict=False):
+            ty, tx, y0, x0, y1, x1 = (int(v[i]) for v in box)
+            top, left = max(y0, ty * side - reach), max(x0, tx * side - reach)
+            mask = np.zeros((min(y1, (ty + 1) * side - 1 + reach) - top + 1, min(x1, (tx + 1) * side - 1 + reach) - left + 1), np.int64)
+            at = y[i:j] - top, x[i:j] - left
+            np.maximum.at(mask, at, cls[i:j])
+            new = np.zeros_like(mask)
+            for c in np.unique(mask[mask > 0]):  # a higher class wins
+                here = mask == c
+                for step in kind.split("_"):
+                    here = spread(spread(here, square, step == "close"), square, step != "close")
+                new[here] = c
+            out[i:j] = new[at]
+        yield pa.RecordBatch.from_arrays([t.column("kept").combine_chunks().filter(pa.array(own)), pa.array(out[own])], ["kept", "morphed"])
+
+
+def morphology(pixels: DataFrame, kind: str, kernel: int, side: int = TILE) -> DataFrame:
+    """kind: open, close or open_close, with a square of odd side, at least 3. An image reaches from its origin (or smallest place below) to its largest place; missing pixels are background, outside there's nothing."""
     if kind not in ("open", "close", "open_close"):
         raise ValueError(f"unknown kind: {kind!r}")
-    side = max(3, kernel | 1)
-    return pixels.groupBy("image").applyInPandas(lambda g: morphed_of(kind, side, g), pixels.schema)
+    square = max(3, kernel | 1)
+    reach = square // 2 * 2 * len(kind.split("_"))
+    side = max(side, 2 * reach)
+    y, x = F.col("y").cast("bigint"), F.col("x").cast("bigint")
+    whole = pixels.where(known(pixels)).select(F.col("image").cast("bigint").alias("image"), y.alias("y"), x.alias("x"), F.col("class").cast("bigint").alias("class"), F.struct(*[F.col(f"`{c}`") for c in pixels.columns]).alias("kept"))
+    box = materialise(whole.groupBy("image").agg(F.least(F.min("y"), F.lit(0)).alias("y0"), F.least(F.min("x"), F.lit(0)).alias("x0"), F.max("y").alias("y1"), F.max("x").alias("x1")), "boxes")
+    whole = whole.join(F.broadcast(box) if box.count() <= SENT_PARTS else box, "image")
+    y, x = F.col("y"), F.col("x")
+    tiles = F.explode(F.array_distinct(F.array(*[F.struct(F.floor((y + a) / side).alias("ty"), F.floor((x + b) / side).alias("tx")) for a in (-reach, 0, reach) for b in (-reach, 0, reach)])))
+    put = whole.select("*", tiles.alias("t"))
+    own = (F.col("t.ty") == F.floor(y / side)) & (F.col("t.tx") == F.floor(x / side))
+    put = put.select("image", "t.ty", "t.tx", "y", "x", "class", own.alias("own"), "y0", "x0", "y1", "x1", "kept")
+    dealt = put.repartition("image", "ty", "tx").sortWithinPartitions("image", "ty", "tx")
+    schema = T.StructType([put.schema["kept"], T.StructField("morphed", T.LongType())])
+    out = dealt.mapInArrow(partial(morphed_rows, kind, square, side, reach), schema)
+    out = out.select(*[F.col("morphed").cast(pixels.schema[c].dataType).alias(c) if c == "class" else F.col("kept").getField(c).alias(c) for c in pixels.columns])
+    return out.unionByName(pixels.where(~known(pixels)))
 
 
 def class_presence(pixels: DataFrame, classes: DataFrame) -> DataFrame:

@@ -88,13 +88,118 @@ def placed(rows: DataFrame, mean: np.ndarray, axes: np.ndarray, names: tuple[str
 
 
 def projected(rows: DataFrame, mode: str = "auto", dims: int = 2) -> DataFrame:
-    """rows (tier, vec, ...) on two axes: those of the anomalies if there are two and two normal ones, else of the normal rows; empty with fewer than two."""
-    normal, critical = rows.where("tier = 'normal'"), rows.where("tier = 'critical'")
-    if normal.limit(2).count() < 2:
-        return placed(rows.limit(0), np.zeros(0), np.zeros((0, dims)))
-    anomalies = mode == "anomaly" or mode == "auto" and critical.limit(2).count() >= 2
-    mean, axes, _ = contrastive_axes(normal, critical, dims=dims) if anomalies else normal_axes(normal, dims)
-    return placed(rows, mean, axes)
+    """rows (tier, vec, ...) on two axes: those of the anomalies (rows of the labelled tiers) if there are two and two normal ones, else of the normal rows; empty with fewer than two."""
+    return placed(rows, *axes_for(rows, mode, dims=dims)[1:3]) if rows.where("tier = 'normal'").limit(2).count() > 1 else placed(rows.limit(0), np.zeros(0), np.zeros((0, dims)))
+
+
+def axes_for(rows: DataFrame, mode: str = "auto", alpha: float = 1.0, dims: int = 2) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
+    """The mode that holds (normal or anomaly), mean, axes, and each axis's weight (percent of the variance, or eigenvalue)."""
+    normal, odd = rows.where("tier = 'normal'"), rows.where("tier <> 'normal'")
+    if mode != "normal" and odd.limit(2).count() > 1:
+        return ("anomaly", *contrastive_axes(normal, odd, alpha, dims))
+    return ("normal", *normal_axes(normal, dims))
+
+
+def summed_vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """entry, n, total of each batch."""
+    for b in batches:
+        if len(b):
+            x = np.array(b["vec"].tolist(), np.float64)
+            entries, where = np.unique(b["entry"].to_numpy(), return_inverse=True)
+            total = np.zeros((len(entries), x.shape[1]))
+            np.add.at(total, where, x)
+            yield pd.DataFrame({"entry": entries, "n": np.bincount(where), "total": list(total)})
+
+
+def mean_vectors(rows: DataFrame) -> DataFrame:
+    """entry, vec: the mean of each entry's vectors; sums are made by batch before they are dealt out."""
+    parts = rows.select(F.col("entry").cast("bigint").alias("entry"), "vec").mapInPandas(summed_vectors, "entry bigint, n bigint, total array<double>")
+    summed = parts.select("entry", "n", F.posexplode("total").alias("i", "x")).groupBy("entry", "i").agg((F.sum("x") / F.sum("n")).alias("x"))
+    return summed.groupBy("entry").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("vec"))
+
+
+def image_vectors(bank: DataFrame, evaluations: DataFrame, top: int = 10) -> DataFrame:
+    """tier, label, entry, vec, score: one vector for each image, the mean of its `top` hottest rows by its evaluation, or of all rows without one (and without a score). bank: tier, label, entry, row, vec; evaluations: tier, label, entry, top (score, row)."""
+    own = ["tier", "label", "entry"]
+    hot = evaluations.select(*own, F.slice("top", 1, top).alias("top")).where(F.size("top") > 0)
+    known = bank.select(*own).distinct().join(hot, own, "left")
+    wanted = known.where("top is not null").select(*own, F.explode("top").alias("t")).select(*own, F.col("t.row").alias("row"))
+    rows = bank.join(wanted, [*own, "row"], "left_semi").unionByName(bank.join(known.where("top is null").select(*own), own, "left_semi"))
+    score = F.aggregate("top", F.lit(0.0), lambda a, t: a + t["score"]) / F.size("top")
+    return known.select(*own, score.alias("score")).join(mean_vectors(rows), "entry")
+
+
+def own_axes(rows: DataFrame, moments_of_all: tuple, odd_moments: tuple, mode: str, alpha: float, mean: np.ndarray, axes: np.ndarray) -> DataFrame:
+    """Each entry's rows on axes that were made without them: its own moments are taken from the sums. Axes point as the common ones do. rows: tier, entry, vec, ..."""
+    keep = [c for c in rows.columns if c != "vec"]
+
+    def place(group: pd.DataFrame) -> pd.DataFrame:
+        x = np.array(group["vec"].tolist(), np.float64)
+        normal = group["tier"].iloc[0] == "normal"
+        (n, total, outer), (m, other, other_outer) = moments_of_all, odd_moments
+        if normal:
+            n, total, outer = n - len(x), total - x.sum(axis=0), outer - x.T @ x
+        else:
+            m, other, other_outer = m - len(x), other - x.sum(axis=0), other_outer - x.T @ x
+        at, own = mean, axes
+        if n > 1 and (mode == "normal" or m > 1):
+            at = total / n
+            spread = outer / n - np.outer(at, at)
+            if mode == "anomaly":
+                spread = other_outer / m - np.outer(other / m, at) - np.outer(at, other / m) + np.outer(at, at) - alpha * spread
+            values, vectors = np.linalg.eigh(spread)
+            own = vectors[:, np.argsort(-values)[: axes.shape[1]]]
+            own = own * np.where((own * axes).sum(axis=0) < 0, -1, 1)
+        xy = (x - at) @ own
+        return group[keep].assign(x=xy[:, 0], y=xy[:, 1])
+
+    return rows.groupBy("entry").applyInPandas(place, T.StructType([rows.schema[c] for c in keep] + [T.StructField(n, T.DoubleType()) for n in ("x", "y")]))
+
+
+def projection(
+    bank: DataFrame, evaluations: DataFrame | None = None, mode: str = "auto", granularity: str = "patch", per_tier: int = SAMPLE, guaranteed: int = 10, with_scores: bool = False, leave_own: bool = False, alpha: float = 1.0, k: int = 5, seed: int = SEED
+) -> tuple[DataFrame, dict]:
+    """Points (tier, label, entry, row, x, y, score) of a map of the bank, and what it says of itself: mode (normal, anomaly, empty), granularity, total and sampled by tier, guaranteed.
+
+    Of each tier `per_tier` rows are shown, with each image's `guaranteed` hottest rows (by its
+    evaluation) always among them; or, with the granularity `image`, one point for each image. Scores
+    are of the points as shown: with `with_scores` the mean distance of a row to the k nearest normal
+    rows of other images, for images that of their hottest rows. `leave_own` makes each image's axes
+    without its rows. bank: tier, label, entry, row, vec. At most 3 x (per_tier + guaranteed x images)
+    rows are shown; the axes' sums are D x D numbers.
+    """
+    from patchlake.operators.knn import nearest_mean
+    from patchlake.sources.shared import materialise
+
+    spark = bank.sparkSession
+    none = spark.createDataFrame([], "tier string, label string, entry bigint, top array<struct<score:double,row:bigint>>")
+    known = none if evaluations is None else evaluations
+    count = lambda t: {r.tier: r["count"] for r in t.groupBy("tier").count().collect()}  # noqa: E731  three tiers
+    info = {"granularity": granularity, "guaranteed": 0}
+    if granularity == "image":
+        shown = image_vectors(bank, known, guaranteed or 10).withColumn("row", F.lit(None).cast("bigint"))
+        shown = materialise(shown.select("tier", "label", F.col("entry").cast("bigint").alias("entry"), "row", "vec", "score"), "shown")
+        info["total"] = info["sampled"] = count(shown)
+    else:
+        rows = bank.select("tier", "label", F.col("entry").cast("bigint").alias("entry"), F.col("row").cast("bigint").alias("row"), "vec")
+        hot = known.select("tier", "label", "entry", F.explode(F.slice("top", 1, max(1, guaranteed))).alias("t")).select("tier", "label", "entry", F.col("t.row").cast("bigint").alias("row")) if guaranteed else none.select("tier", "label", "entry", F.lit(0).cast("bigint").alias("row"))
+        hot = materialise(hot.join(rows.select("tier", "label", "entry", "row"), ["tier", "label", "entry", "row"], "left_semi").distinct(), "hot")
+        key = ("tier", "label", "entry", "row")
+        parts = [seeded_sample(rows.where(F.col("tier") == t), max(2, per_tier), key, hot.where(F.col("tier") == t), seed) for t in ("normal", "critical", "negative")]
+        shown = materialise(parts[0].unionByName(parts[1]).unionByName(parts[2]).withColumn("score", F.lit(None).cast("double")), "shown")
+        info |= {"total": count(rows), "sampled": count(shown), "guaranteed": hot.count()}
+    if info["sampled"].get("normal", 0) < 2:
+        return spark.createDataFrame([], "tier string, label string, entry bigint, row bigint, x double, y double, score double"), info | {"mode": "empty"}
+    held, mean, axes, weights = axes_for(shown, mode, alpha)
+    info |= {"mode": held, "weights": weights.tolist()}
+    if leave_own:
+        at = own_axes(shown, moments(shown.where("tier = 'normal'")), moments(shown.where("tier <> 'normal'")), held, alpha, mean, axes)
+    else:
+        at = placed(shown, mean, axes)
+    if granularity == "patch" and with_scores and info["total"].get("normal", 0) > 1:
+        scores = nearest_mean(shown.select("tier", "label", "entry", "row", "vec"), bank.where("tier = 'normal'"), k, "entry", ["tier", "label", "entry", "row"])
+        at = at.drop("score").join(scores, ["tier", "label", "entry", "row"], "left")
+    return at.select("tier", "label", "entry", "row", "x", "y", "score"), info
 
 
 def seeded_sample(rows: DataFrame, k: int, keys: tuple[str, ...], forced: DataFrame | None = None, seed: int = SEED) -> DataFrame:

@@ -75,7 +75,16 @@ def o83_size_filter(spark: SparkSession, sf_dir: str, pixels=pixels) -> DataFram
     return m.size_filter(pixels(spark, sf_dir), 2, 6).select("image", "y", "x", "class")
 
 
-@query()
+CLOSED_SQL = """offs as (select dy, dx from range(-1, 2) a(dy), range(-1, 2) b(dx)),
+ext as (select image, max(y) as h, max(x) as w from pixels group by 1),
+grown as (select distinct image, class, y + dy as y, x + dx as x, h, w from pixels join ext using (image), offs where class > 0 and y + dy between 0 and h and x + dx between 0 and w),
+closed as (
+  select image, class, y - dy as y, x - dx as x from grown, offs where y - dy between 0 and h and x - dx between 0 and w group by image, class, y - dy, x - dx, h, w
+  having count(*) = (least(y - dy + 1, h) - greatest(y - dy - 1, 0) + 1) * (least(x - dx + 1, w) - greatest(x - dx - 1, 0) + 1)),
+won as (select image, y, x, max(class) as class from closed group by all)"""
+
+
+@query(f"with {PIXELS_SQL}, {CLOSED_SQL} select p.image, p.y, p.x, coalesce(w.class, 0)::int as class from pixels p left join won w on p.image = w.image and p.y = w.y and p.x = w.x")
 def o84_morphology(spark: SparkSession, sf_dir: str, pixels=pixels) -> DataFrame:
     return m.morphology(pixels(spark, sf_dir), "close", 3).select("image", "y", "x", "class")
 

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from patchlake.functions.scoring import multiplier
-from patchlake.operators.clusters import assign, routed_mean
+from patchlake.operators.clusters import assign
 from patchlake.operators.evaluation import attribution, image_topk_mean, label_winners
 from patchlake.operators.knn import label_nearest, nearest_mean
+from patchlake.operators.lists import listed, searched_mean
 from patchlake.plans.binding import NOW, ROWS_SQL, bank_rows, topk_sql
 from patchlake.plans.registry import query
 
@@ -41,7 +42,8 @@ select s.vec_id, round(coalesce(n.score, s.score), 6) as score from scored s lef
 def o45_routed_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = bank_rows(spark, sf_dir)
     centers = centroids(rows)
-    found = routed_mean(rows.select(F.col("vec_id").alias("id"), "entry", "vec"), assign(rows.select("entry", "row", "vec"), centers), centers, 5, 3, "entry")
+    index = listed(assign(rows.select("entry", "row", "vec"), centers), centers)
+    found = searched_mean(rows.select(F.col("vec_id").alias("id"), "entry", "vec"), index, 5, 3, "entry")
     return rounded(found.withColumnRenamed("id", "vec_id"), "vec_id")
 
 

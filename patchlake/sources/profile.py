@@ -78,7 +78,7 @@ def split_ids(spark: SparkSession, path: str) -> DataFrame:
     files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not files.exists(folder):
         return spark.createDataFrame([], "place bigint, id string")
-    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", r"\r\n|\n|\r", -1)).alias("place", "id"))
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r\n|\n|\r", -1)).alias("place", "id"))
     named = lines.select(F.col("place").cast("bigint").alias("place"), F.trim("id").alias("id")).where("id <> ''")
     return named.groupBy("id").agg(F.min("place").alias("place")).select("place", "id")
 

@@ -2,10 +2,6 @@
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
-
-from patchlake.operators import clusters as c
-from patchlake.operators.knn import nearest_mean
 from patchlake.plans import assembled
 from patchlake.plans.binding import bank_rows
 
@@ -20,19 +16,6 @@ def sf_dir(spark, tmp_path_factory):
     return str(path)
 
 
-def test_probes_reach_the_target(spark, sf_dir):
-    rows = bank_rows(spark, sf_dir)
-    bank, asked = rows.select("entry", "row", "vec"), rows.select(F.col("vec_id").alias("id"), "entry", "vec")
-    centers = c.build(bank, 24, 3)
-    indexed = c.assign(bank, centers)
-    n = c.probes_for(asked, indexed, centers, 5, 0.9, "entry")
-    near = {r.id: r.score for r in c.routed_mean(asked, indexed, centers, 5, n, "entry").collect()}
-    exact = {r.id: r.score for r in nearest_mean(asked, indexed, 5, "entry", ["id"]).collect()}
-    assert near.keys() == exact.keys() and len(exact) == 300
-    assert np.mean([near[i] <= exact[i] + 1e-9 for i in exact]) >= 0.9
-    assert c.probes_for(asked.limit(0), indexed, centers) == min(c.NPROBE, 24)
-
-
 def test_recall_of_the_query(spark, sf_dir):
     found = assembled.o116_index_recall(spark, sf_dir).first()
     assert found.queries == 300 and found.recall >= 0.9 and found.probed <= found.clusters

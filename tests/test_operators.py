@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from patchlake.operators import assembly as a
 from patchlake.operators import clusters as c
 from patchlake.operators import evaluation as e
+from patchlake.operators import lists
 from patchlake.operators import masks as m
 from patchlake.operators import memory as mem
 from patchlake.operators import projection as p
@@ -188,10 +189,10 @@ def test_clusters(spark):
     assert bank.groupBy("cluster").count().agg(F.sum("count")).first()[0] == 240
     q = t.select("id", "entry", "vec")
     full = {r.id: r.score for r in nearest_mean(t, t, 5, "entry", ["id"]).collect()}
-    every = {r.id: r.score for r in c.routed_mean(q, bank, centers, 5, 6, "entry").collect()}
-    narrow = {r.id: r.score for r in c.routed_mean(q, bank, centers, 5, 1, "entry").collect()}
+    every = {r.id: r.score for r in lists.searched_mean(q, lists.listed(bank, centers), 5, 6, "entry").collect()}
+    narrow = {r.id: r.score for r in lists.searched_mean(q, lists.listed(bank, centers), 5, 1, "entry").collect()}
     assert all(abs(full[i] - every[i]) < 1e-5 and narrow[i] >= full[i] - 1e-5 for i in full)
-    gone = {r.id: r.score for r in c.routed_mean(q, bank.where("id >= 160"), centers, 5, 1).collect()}
+    gone = {r.id: r.score for r in lists.searched_mean(q, lists.listed(bank.where("id >= 160"), centers), 5, 1).collect()}
     assert len(gone) == 240 and gone[0] > 100  # nothing in its clusters: all rows are searched
     assert c.n_clusters(100) == 16 and c.n_clusters(10**6) == 1024 and c.needs_rebuild(151, 100) and not c.needs_rebuild(150, 100)
 

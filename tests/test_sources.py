@@ -60,15 +60,56 @@ def test_streamed_hits_equal_a_batch(spark, tmp_path):
     assert got == want
 
 
-def test_capped_log_and_ingest(spark, tmp_path):
+LOG_EVENTS = "log string, seq bigint, kind string, id string, ts bigint, file string"
+
+
+def test_capped_log(spark, tmp_path):
+    """Batches of adds, deletes and clears against a plain list; files fall out with their records, and nothing piles up."""
+    import random
+
+    rng, seq, lists, files_of = random.Random(3), 0, {}, tmp_path / "files"
+    files_of.mkdir()
+    (tmp_path / "outside.png").write_bytes(b"x")
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema(LOG_EVENTS).json(f"{tmp_path}/in")
+    for k in range(5):
+        events = []
+        for _ in range(30):
+            log, kind = rng.choice("ab"), rng.choice(["add"] * 8 + ["delete", "clear"] * (k > 1))
+            own = lists.setdefault(log, [])
+            if kind == "add":
+                id_ = f"i{rng.randrange(10**6)}" if rng.random() < 0.9 or not own else own[0][0]
+                events.append((log, seq, kind, id_, seq // 3, f"{id_}.png" if id_ != "i0" else "../outside.png"))
+                if id_ not in {x[0] for x in own}:
+                    (files_of / f"{id_}.png").write_bytes(b"x")
+                    own.append((id_, seq // 3))
+            elif kind == "delete":
+                id_ = rng.choice(own)[0] if own and rng.random() < 0.8 else "unknown"
+                events.append((log, seq, kind, id_, None, None))
+                lists[log] = [x for x in own if x[0] != id_]
+            else:
+                events.append((log, seq, kind, None, None, None))
+                lists[log] = []
+            seq += 1
+        lists = {log: own[-7:] for log, own in lists.items()}
+        spark.createDataFrame(events, LOG_EVENTS).coalesce(1).write.mode("append").json(f"{tmp_path}/in")
+        q = st.capped_log(stream, f"{tmp_path}/log", 7, f"{tmp_path}/c1", str(files_of)).trigger(availableNow=True).start()
+        q.awaitTermination()
+        got = {}
+        for r in sorted(st.read_log(spark, f"{tmp_path}/log").collect(), key=lambda r: r.ts):
+            got.setdefault(r.log, set()).add((r.id, r.ts))
+        assert got == {log: set(own) for log, own in lists.items() if own}
+        assert {p.stem for p in files_of.glob("*.png")} == {x[0] for own in lists.values() for x in own}
+    assert len(list((tmp_path / "log").rglob("*.parquet"))) <= 2 and (tmp_path / "outside.png").exists()
+
+
+def test_ingest(spark, tmp_path):
     schema = "id bigint, ts bigint"
     for k in range(3):
         spark.createDataFrame([(i, i // 2) for i in range(k * 10, k * 10 + 10)], schema).coalesce(1).write.mode("append").json(f"{tmp_path}/in")
-    stream = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(f"{tmp_path}/in")
-    for q in (st.capped_log(stream(), f"{tmp_path}/log", 7, f"{tmp_path}/c1").start(), st.ingest(stream(), f"{tmp_path}/store", f"{tmp_path}/c2").start()):
-        q.processAllAvailable()
-        q.stop()
-    assert sorted(r.id for r in st.read_log(spark, f"{tmp_path}/log").collect()) == list(range(23, 30))
+    q = st.ingest(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(f"{tmp_path}/in"), f"{tmp_path}/store", f"{tmp_path}/c2").start()
+    q.processAllAvailable()
+    q.stop()
     assert spark.read.parquet(f"{tmp_path}/store").count() == 30
 
 
