@@ -19,6 +19,8 @@ from pyspark.sql import types as T
 from patchlake.operators.ordered import totals_before
 
 SAMPLE, SEED = 800, 42
+#: Percent that scores may move on average for two feature sets to be the same.
+MAX_DRIFT = 0.05
 
 
 def moments_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -221,6 +223,18 @@ def parity(one: DataFrame, other: DataFrame) -> DataFrame:
     return out.withColumn("passed", F.col("rel_max") <= 5e-3)
 
 
+def scored_parity(one: DataFrame, other: DataFrame, bank: DataFrame, k: int = 10) -> DataFrame:
+    """parity, and how far scores against a bank (entry, row, vec) move: drift_mean and drift_max in percent of the first table's score; it passes only if the mean is at most 0.05 too. Tables: id, vec."""
+    from patchlake.operators.knn import nearest_mean
+
+    score = lambda t, n: nearest_mean(t.select("id", "vec"), bank, k, "none", ["id"]).withColumnRenamed("score", n)
+    moved = score(one, "a").join(score(other, "b"), "id")
+    drift = F.abs(F.col("b") - F.col("a")) / F.greatest(F.col("a"), F.lit(1e-9)) * 100
+    found = moved.agg(F.avg(drift).alias("drift_mean"), F.max(drift).alias("drift_max"))
+    both = parity(one, other).crossJoin(F.broadcast(found))  # a row each
+    return both.withColumn("passed", F.col("passed") & (F.col("drift_mean") <= MAX_DRIFT))
+
+
 def robust_scale(rows: DataFrame, value: str = "score") -> DataFrame:
     """lo, hi: the sorted values' elements at 5 and 95 percent, hi at least a little above lo; no row with fewer than two values."""
     counted = rows.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("c"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from patchlake.functions.digest import digest_sql
 from patchlake.operators import assembly as a
 from patchlake.operators import clusters as c
 from patchlake.operators import lists, memory
@@ -69,7 +70,11 @@ def o86_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(*[F.round(x, 6).alias(x) for x in ("rel_max", "rel_mean", "abs_max")], "passed")
 
 
-@query()
+@query(f"""with {ROWS_SQL}, images as (select tier, label, entry, count(*) as rows from bank group by all),
+lines as (
+  select 'i:' || entry || ':' || rows as line from images union all
+  select 'a:' || entry || ':' || tier || ':' || case when label = '' then '_default' else label end || ':' || (1 + entry % 3) || ':0,' || entry % 5 || ',99' from images where entry % 7 <> 0)
+select {digest_sql('line', 32)} as fingerprint from lines""")
 def o88_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     images, given, _ = stored(spark, sf_dir)
     return a.fingerprint(images, given)

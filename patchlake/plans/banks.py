@@ -57,19 +57,21 @@ def o103_o104_remove(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.groupBy("tier", "label").agg(F.count("*").alias("rows"), F.sum("vec_id").alias("ids"))
 
 
-@query(f"with {ROWS_SQL} select vec_id, case when tier <> 'normal' and vec_id in (select event_id % 500 from events) then {NOW} else last_hit end as last_hit, hit_count + case when tier <> 'normal' and vec_id in (select event_id % 500 from events) then 1 else 0 end as hit_count from bank")
+HIT_SQL = f"with {ROWS_SQL}, named as (select distinct event_id + event_id // 2 as vec_id from events) select vec_id, case when tier <> 'normal' and vec_id in (from named) then {NOW} else last_hit end as last_hit, hit_count + case when tier <> 'normal' and vec_id in (from named) then 1 else 0 end as hit_count from bank"
+
+
+@query(HIT_SQL)
 def o106_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Named rows lie anywhere in the bank, two of each three."""
     rows = bank_rows(spark, sf_dir)
-    named = table(spark, sf_dir, "events").select((F.col("event_id") % 500).alias("vec_id"))
+    named = table(spark, sf_dir, "events").select((F.col("event_id") + F.floor(F.col("event_id") / 2)).alias("vec_id"))
     return m.hit(rows, rows.where("tier <> 'normal'").join(named, "vec_id"), NOW).select("vec_id", "last_hit", "hit_count")
 
 
-@query(f"with {ROWS_SQL}, named as (select distinct event_id + event_id // 2 as vec_id from events) select vec_id, case when tier <> 'normal' and vec_id in (from named) then {NOW} else last_hit end as last_hit, hit_count + case when tier <> 'normal' and vec_id in (from named) then 1 else 0 end as hit_count from bank")
+@query(HIT_SQL)
 def o106_hit_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Named rows lie anywhere in the bank, two of each three; `o106_hit` names the first 500 only."""
-    rows = bank_rows(spark, sf_dir)
-    named = table(spark, sf_dir, "events").select((F.col("event_id") + F.floor(F.col("event_id") / 2)).alias("vec_id"))
-    return m.hit(rows, rows.where("tier <> 'normal'").join(named, "vec_id"), NOW).select("vec_id", "last_hit", "hit_count")
+    """The older name of `o106_hit`."""
+    return o106_hit(spark, sf_dir)
 
 
 @query(f"with {ROWS_SQL} select tier, label, count(*) filter (memory = 0 and hit_count >= 3) as to_mid, count(*) filter (memory = 1 and hit_count >= 10) as to_long, count(*) filter (memory = 0 and {FRESH_SQL} < 0.05) as retire from bank where tier <> 'normal' group by all")

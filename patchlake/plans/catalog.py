@@ -20,15 +20,15 @@ def o80_census(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.census(banks)
 
 
-@query("select p_partkey as name, s_name from part left join supplier on p_partkey = s_suppkey where p_partkey % 3 = 0")
+@query("select p_partkey * 3 as name, s_name from part left join supplier on p_partkey * 3 = s_suppkey")
 def o96_reconciled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = table(spark, sf_dir, "part").where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("name"))
+    files = table(spark, sf_dir, "part").select((F.col("p_partkey") * 3).alias("name"))
     return c.reconciled(files, table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("name"), "s_name"))
 
 
-@query("select coalesce(p_partkey, s_suppkey) as name, case when s_suppkey is null then 'added' when p_partkey is null then 'removed' else 'kept' end as change from (select * from part where p_partkey % 3 = 0) full join supplier on p_partkey = s_suppkey")
+@query("select coalesce(p_partkey, s_suppkey) as name, case when s_suppkey is null then 'added' when p_partkey is null then 'removed' else 'kept' end as change from (select p_partkey * 3 as p_partkey from part) full join supplier on p_partkey = s_suppkey")
 def o97_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = table(spark, sf_dir, "part").where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("name"))
+    files = table(spark, sf_dir, "part").select((F.col("p_partkey") * 3).alias("name"))
     return c.sync_changes(files, table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("name")))
 
 

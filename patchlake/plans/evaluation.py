@@ -57,24 +57,22 @@ def o70_auroc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.auroc(truth(spark, sf_dir)).select(F.round("auroc", 9).alias("auroc"))
 
 
-@query("""with truth as (select value as v, event_type = 'error' as positive from events where event_id < 3000),
-n as (select *, lead(v) over (order by v, positive) as following, row_number() over (order by v, positive) as pos from truth),
-c as (select (v + following) / 2 as m, pos from n where following is not null),
-j as (select m, pos, (select count(*) from truth where positive and v > m) / (select count(*) from truth where positive)::double - (select count(*) from truth where not positive and v > m) / (select count(*) from truth where not positive)::double as j from c)
-select round(arg_max(m, (round(j, 12), -pos)), 6) as threshold, round(max(j), 6) as j from j""")
+YOUDEN_SQL = """with d as (select value as v, count(*) filter (event_type = 'error') as p, count(*) filter (event_type <> 'error') as n from events group by 1),
+w as (select v, p + n as rows, lead(v) over (order by v) as following, 1 - sum(p) over (order by v) / sum(p) over ()::double - (1 - sum(n) over (order by v) / sum(n) over ()::double) as j from d),
+c as (select v as m, v, j, 0 as place from w where rows > 1 union all select (v + following) / 2, v, j, 1 from w where following is not null)
+select round(arg_max(m, (round(j, 12), -v, -place)), 6) as threshold, round(arg_max(j, (round(j, 12), -v, -place)), 6) as j from c"""
+
+
+@query(YOUDEN_SQL)
 def o71_youden(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events").where("event_id < 3000").select(F.col("value").alias("v"), (F.col("event_type") == "error").alias("positive"))
+    rows = table(spark, sf_dir, "events").select(F.col("value").alias("v"), (F.col("event_type") == "error").alias("positive"))
     return e.youden(rows).select(F.round("threshold", 6).alias("threshold"), F.round("j", 6).alias("j"))
 
 
-@query("""with d as (select value as v, count(*) filter (event_type = 'error') as p, count(*) filter (event_type <> 'error') as n from events group by 1),
-w as (select v, p + n as rows, lead(v) over (order by v) as following, 1 - sum(p) over (order by v) / sum(p) over ()::double - (1 - sum(n) over (order by v) / sum(n) over ()::double) as j from d),
-c as (select v as m, v, j, 0 as place from w where rows > 1 union all select (v + following) / 2, v, j, 1 from w where following is not null)
-select round(arg_max(m, (round(j, 12), -v, -place)), 6) as threshold, round(arg_max(j, (round(j, 12), -v, -place)), 6) as j from c""")
+@query(YOUDEN_SQL)
 def o71_youden_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Over every event; `o71_youden` takes the first 3,000, as its SQL counts in quadratic time."""
-    rows = table(spark, sf_dir, "events").select(F.col("value").alias("v"), (F.col("event_type") == "error").alias("positive"))
-    return e.youden(rows).select(F.round("threshold", 6).alias("threshold"), F.round("j", 6).alias("j"))
+    """The older name of `o71_youden`."""
+    return o71_youden(spark, sf_dir)
 
 
 def auroc_sql(keys: str, rows: str) -> str:

@@ -78,9 +78,10 @@ def o83_size_filter(spark: SparkSession, sf_dir: str, pixels=pixels) -> DataFram
 CLOSED_SQL = """offs as (select dy, dx from range(-1, 2) a(dy), range(-1, 2) b(dx)),
 ext as (select image, max(y) as h, max(x) as w from pixels group by 1),
 grown as (select distinct image, class, y + dy as y, x + dx as x, h, w from pixels join ext using (image), offs where class > 0 and y + dy between 0 and h and x + dx between 0 and w),
+near as (select image, class, h, w, y - dy as cy, x - dx as cx from grown, offs),
 closed as (
-  select image, class, y - dy as y, x - dx as x from grown, offs where y - dy between 0 and h and x - dx between 0 and w group by image, class, y - dy, x - dx, h, w
-  having count(*) = (least(y - dy + 1, h) - greatest(y - dy - 1, 0) + 1) * (least(x - dx + 1, w) - greatest(x - dx - 1, 0) + 1)),
+  select image, class, cy as y, cx as x from near where cy between 0 and h and cx between 0 and w group by image, class, cy, cx, h, w
+  having count(*) = (least(cy + 1, h) - greatest(cy - 1, 0) + 1) * (least(cx + 1, w) - greatest(cx - 1, 0) + 1)),
 won as (select image, y, x, max(class) as class from closed group by all)"""
 
 

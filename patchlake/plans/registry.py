@@ -24,5 +24,5 @@ def query(sql: str | None = None):
     return add
 
 
-for _name in ("scalars", "search", "evaluation", "banks", "stores", "masks", "catalog", "upkeep", "assembled"):
+for _name in ("scalars", "search", "evaluation", "banks", "stores", "masks", "catalog", "upkeep", "assembled", "kept"):
     importlib.import_module(f"patchlake.plans.{_name}")

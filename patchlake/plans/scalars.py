@@ -98,11 +98,15 @@ def o25_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("vec_id", *[F.round(F.get("x", i), 9).alias(c) for i, c in enumerate("rgb")])
 
 
-@query("select o_orderkey, i::bigint as i, case when i < h then i else 2 * (h - 1) - i end as source from (select o_orderkey, 300 + o_orderkey % 1200 as h, unnest(range(0, greatest(518, 300 + o_orderkey % 1200), 37)) as i from orders)")
+@query("""with i as (select o_orderkey, h, i, case when i < h then i else 2 * (h - 1) - i end as source from (select o_orderkey, 300 + o_orderkey % 1200 as h, unnest(range(0, greatest(518, 300 + o_orderkey % 1200))) as i from orders))
+select o_orderkey, count(*) as places, min(source)::bigint as low, max(source)::bigint as high, sum(source * (i % 101))::bigint as mixed from i group by 1""")
 def o26_reflected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every place of a side that is mirrored up to a window, summed up by image."""
     t = table(spark, sf_dir, "orders").select("o_orderkey", (300 + F.col("o_orderkey") % 1200).alias("h"))
-    put = t.select("o_orderkey", "h", F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(F.lit(518), F.col("h")) - 1, F.lit(37).cast("bigint"))).alias("i"))
-    return put.select("o_orderkey", "i", g.reflected(F.col("i"), F.col("h")).alias("source"))
+    put = t.select("o_orderkey", "h", F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(F.lit(518), F.col("h")) - 1)).alias("i"))
+    source = g.reflected(F.col("i"), F.col("h")).cast("bigint")
+    put = put.select("o_orderkey", "i", source.alias("source"))
+    return put.groupBy("o_orderkey").agg(F.count("*").alias("places"), F.min("source").alias("low"), F.max("source").alias("high"), F.sum(F.col("source") * (F.col("i") % 101)).alias("mixed"))
 
 
 def sides() -> tuple:

@@ -252,3 +252,38 @@ def test_profile_is_kept_until_files_change(spark, tmp_path):
     assert ask(100)["sample_size"] == 31
     empty = pr.profile(spark, f"{tmp_path}/images", f"{tmp_path}/masks", f"{tmp_path}/none.txt", f"{tmp_path}/val.txt", f"{tmp_path}/kept2")
     assert all(empty[f] == 0 for f in pr.FIELDS if f != "num_val")
+
+
+# ---- scoring in one go
+
+
+def test_scored_images(spark):
+    from patchlake.operators.scorer import label_distances, scored_images
+
+    bank = bank_of(spark, 12, 6).withColumn("id", F.col("entry") * 100 + F.col("row"))
+    plain = [(r.tier, r.label, r.entry, r.row, np.array(r.vec), r.id) for r in bank.collect()]
+    rows, images, won = scored_images(bank, bank, 3, 20.0, 5.0, "entry", top=2)
+    got = {(r.entry, r.row): r for r in rows.collect()}
+    for _, _, e, i, v, _ in plain:
+        d = {t: sorted(float(np.linalg.norm(v - x)) for tier, _, o, _, x, _ in plain if tier == t and o != e) for t in ("normal", "critical", "negative")}
+        r = got[e, i]
+        assert (r.raw, r.critical, r.negative) == pytest.approx((np.mean(d["normal"][:3]), d["critical"][0], d["negative"][0]))
+        assert r.score == pytest.approx(np.mean(d["normal"][:3]) + 20 / (1 + d["critical"][0]) - 5 / (1 + d["negative"][0]))
+    for r in images.collect():
+        own = sorted((g.score for (e, _), g in got.items() if e == r.entry), reverse=True)
+        assert r.patches == 6 and r.score_max == pytest.approx(own[0]) and r.topk == pytest.approx(np.mean(own[:2]))
+    near = label_distances(bank, bank, "entry").collect()
+    for r in won.collect():
+        best = min((n.distance, n.row) for n in near if (n.entry, n.tier, n.label) == (r.entry, r.tier, r.label))
+        assert r.distance == best[0] and r.attribution == pytest.approx((20 if r.tier == "critical" else 5) / (1 + r.distance))
+    alone, images, won = scored_images(bank, bank.where("tier = 'normal'"), 3, 20.0, 5.0)
+    assert alone.where("score <> raw or critical is not null").count() == 0 and won.count() == 0 and images.count() == 12
+
+
+def test_drift_gate(spark):
+    t = bank_of(spark).withColumn("id", F.col("entry") * 100 + F.col("row"))
+    bank, own = t.where("tier = 'normal'"), t.where("tier <> 'normal'").select("id", "vec")
+    still = p.scored_parity(own, own, bank).first()
+    assert still.passed and still.drift_max == 0
+    far = p.scored_parity(own, own.withColumn("vec", F.transform("vec", lambda x: x * 1.002)), bank).first()
+    assert far.rel_max == pytest.approx(0.002) and far.drift_mean > 0.05 and not far.passed
