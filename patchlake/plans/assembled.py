@@ -11,25 +11,13 @@ from patchlake.operators import clusters as c
 from patchlake.operators import lists, memory
 from patchlake.operators import projection as p
 from patchlake.operators.knn import nearest_mean
-from patchlake.plans.binding import NOW, ROWS_SQL, bank_rows
+from patchlake.plans.binding import CEILING, NOW, ROWS_SQL, bank_rows, stored
 from patchlake.plans.registry import query
 from patchlake.sources.shared import materialise, scratch_path, table
 
-#: Rows that a tier may hold in the queries with a ceiling.
-CEILING = 60
 K = 5
 
 
-def stored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Images, assignments and features of the bank's entries."""
-    rows = bank_rows(spark, sf_dir)
-    per_image = rows.groupBy("entry").agg(F.count("*").alias("rows"), F.first("tier").alias("tier"), F.first("label").alias("label"))
-    images = per_image.select("entry", F.concat(F.lit("image"), "entry").alias("name"), "rows", F.lit(None).cast("array<int>").alias("kept"))
-    marks = F.array(F.lit(0), (F.col("entry") % 5).cast("int"), F.lit(99))
-    given = per_image.where("entry % 7 <> 0").select("entry", "tier", "label", (1 + F.col("entry") % 3).cast("int").alias("severity"), marks.alias("marks"))
-    return images, given, rows.select("entry", "row", "vec")
-
-
 @query(f"""with {ROWS_SQL} select tier, label, entry, 'image' || entry as name, row,
 case when tier <> 'normal' and row in (0, entry % 5) then 3 else 1 + entry % 3 end::int as severity, {NOW}::bigint as registered_at, {NOW}::bigint as last_hit, 0::bigint as hit_count, 0::int as memory
 from bank where entry % 7 <> 0""")

@@ -12,10 +12,8 @@ from patchlake.operators import evaluations as ev
 from patchlake.operators import memory as m
 from patchlake.operators import projection as p
 from patchlake.operators.scorer import scored_images
-from patchlake.plans.assembled import CEILING, stored
-from patchlake.plans.binding import NOW, ROWS_SQL, bank_rows, topk_sql
+from patchlake.plans.binding import CEILING, LABELS_SQL, NOW, ROWS_SQL, bank_rows, stored, topk_sql
 from patchlake.plans.registry import query
-from patchlake.plans.search import LABELS_SQL
 from patchlake.sources.bank_format import read_folder, write_folder, write_metadata
 from patchlake.sources.shared import materialise, scratch_path, table
 from patchlake.sources.split_bank import SplitBank

@@ -10,7 +10,7 @@ from patchlake.operators.clusters import assign
 from patchlake.operators.evaluation import attribution, image_topk_mean, label_winners
 from patchlake.operators.knn import label_nearest, nearest_mean
 from patchlake.operators.lists import listed, searched_mean
-from patchlake.plans.binding import NOW, ROWS_SQL, bank_rows, topk_sql
+from patchlake.plans.binding import LABELS_SQL, NOW, ROWS_SQL, bank_rows, topk_sql
 from patchlake.plans.registry import query
 
 CENTROIDS_SQL = "centroids as (select (vec_id // 25)::int as cluster, vec as center from bank where vec_id % 25 = 0)"
@@ -59,12 +59,6 @@ def o47_leave_own_group_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(nearest_mean(rows, rows.where("tier = 'normal'"), 5, "group", ["vec_id"]), "vec_id")
 
 
-LABELS_SQL = f"""near as (
-  select q.vec_id, q.entry, q.row, b.tier, b.label, list_distance(q.vec, b.vec) / (b.severity / 2.0 * exp(-greatest({NOW} - b.last_hit, 0) / [100.0, 1000.0, 10000.0][b.memory + 1]) + 1e-6) as d, b.vec_id as nearest
-  from bank q join bank b on q.entry <> b.entry where b.tier <> 'normal'),
-best as (select vec_id, entry, row, tier, label, min(d) as distance, arg_min(nearest, d) as nearest from near group by all)"""
-
-
 def weighted_nearest(rows: DataFrame) -> DataFrame:
     """vec_id, entry, row, tier, label, distance, nearest for both labelled tiers."""
     weight = multiplier(F.col("severity"), F.lit(NOW), F.col("last_hit"), F.col("memory"))
