@@ -112,9 +112,9 @@ def counted_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
     for lang, texts in by_language(batches):
         words, n = held.get(lang) or (Vocabulary(lang), np.zeros(0, np.int64))
-        now = np.bincount(words.ids(texts))
+        now = np.bincount(words.ids(texts), minlength=len(n))  # a batch may have early words only
         now[: len(n)] += n
-        held[lang] = words, now if len(now) >= len(n) else np.concatenate([now, n[len(now) :]])
+        held[lang] = words, now
         if len(words) > WORDS_HELD:
             yield out(lang)
     for lang in list(held):

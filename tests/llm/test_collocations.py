@@ -4,9 +4,10 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
-from patchlake.llm.collocations import collocations, flows, graph, passages, ranked, windows, word_counts
+from patchlake.llm.collocations import collocations, counted_words, flows, graph, passages, ranked, windows, word_counts
 
 SCHEMA = "doc_id bigint, text string, lang string"
 
@@ -86,3 +87,9 @@ def test_products_beyond_64_bits(spark):
     df = spark.createDataFrame([(3 * 10**12, 9 * 10**12, 10**12, 10**12)], "a bigint, total bigint, l bigint, r bigint")
     got = df.selectExpr("cast(1000 as decimal(20, 0)) * a * total div (cast(l as decimal(20, 0)) * r) as s").first().s
     assert got == 27_000
+
+
+def test_a_later_batch_with_early_words_only():
+    batches = [pa.RecordBatch.from_pydict({"text": [t], "lang": ["en"]}) for t in ("a b c d e", "b a b", "f", "")]
+    found = [r for b in counted_words(iter(batches)) for r in b.to_pylist()]
+    assert {r["word"]: r["n"] for r in found} == {"a": 2, "b": 3, "c": 1, "d": 1, "e": 1, "f": 1} and len(found) == 6
