@@ -15,11 +15,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from patchlake.operators.knn import TILE_BYTES, read_block, write_blocks
+from patchlake.operators.knn import TILE_BYTES, norms, read_block, squares, vectors, write_blocks
 
 LEAST_ROWS, GROWTH, ROUNDS, NPROBE = 20_000, 1.5, 25, 8
 MOST_CLUSTERS, LEAST_CLUSTERS, ROWS_PER_CLUSTER = 1024, 16, 64
 SEED = 42
+#: Rows that a task gives out together.
+SENT_ROWS = 8192
 
 
 def n_clusters(rows: int) -> int:
@@ -30,15 +32,48 @@ def needs_rebuild(rows: int, built_rows: int) -> bool:
     return rows > GROWTH * built_rows
 
 
+def first_columns(d: np.ndarray, n: int) -> np.ndarray:
+    """The columns of the n least values of each row, in order; of equal ones the first."""
+    if n == 1:
+        return d.argmin(axis=1)[:, None]
+    if n >= d.shape[1]:
+        return np.argsort(d, axis=1, kind="stable")
+    inside = d <= np.partition(d, n - 1, axis=1)[:, n - 1 : n]
+    even = inside.sum(axis=1) == n
+    out = np.empty((len(d), n), np.int64)
+    at = np.nonzero(inside[even])[1].reshape(-1, n)
+    out[even] = np.take_along_axis(at, np.argsort(np.take_along_axis(d[even], at, 1), axis=1, kind="stable"), 1)
+    out[~even] = np.argsort(d[~even], axis=1, kind="stable")[:, :n]  # equals at the border, or no numbers
+    return out
+
+
+def nearest_centers(q: np.ndarray, centers: np.ndarray, ids: np.ndarray, n: int, tile_bytes: int = TILE_BYTES) -> tuple[np.ndarray, np.ndarray]:
+    """Squared distances (to 12 digits) and ids of the n nearest centers of each row, ties to the smaller id. ids ascend."""
+    square, norm, step = norms(q), norms(centers), max(1, tile_bytes // (8 * max(1, len(centers))))
+    best, which = np.empty((len(q), min(n, len(ids)))), np.empty((len(q), min(n, len(ids))), ids.dtype)
+    for i in range(0, len(q), step):
+        d = squares(q[i : i + step], square[i : i + step], centers, norm)
+        np.round(d, 12, out=d)
+        at = first_columns(d, n)
+        best[i : i + step], which[i : i + step] = np.take_along_axis(d, at, 1), ids[at]
+    return best, which
+
+
+def repeated(b: pd.DataFrame, which: np.ndarray, keep: list[str]) -> Iterator[pd.DataFrame]:
+    """Each row with each of its clusters, SENT_ROWS at a time: with many probes a batch of rows is many."""
+    n = which.shape[1]
+    step = max(1, SENT_ROWS // max(1, n))
+    for i in range(0, len(b), step):
+        own, some = b.iloc[i : i + step], which[i : i + step]
+        out = own.loc[own.index.repeat(n), keep].reset_index(drop=True)
+        yield out.assign(cluster=some.ravel(), probe=np.tile(np.arange(n), len(some)))
+
+
 def ranked_centers(centers: np.ndarray, ids: np.ndarray, n: int, keep: list[str], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        if not len(b):
-            continue
-        q = np.array(b["vec"].tolist(), np.float64)
-        d = ((q**2).sum(axis=1)[:, None] + (centers**2).sum(axis=1)[None, :] - 2 * q @ centers.T).round(12)
-        order = np.lexsort((np.broadcast_to(ids, d.shape), d), axis=1)[:, :n]
-        out = b.loc[b.index.repeat(order.shape[1]), keep].reset_index(drop=True)
-        yield out.assign(cluster=ids[order].ravel(), probe=np.tile(np.arange(order.shape[1]), len(b)))
+        if len(b):
+            b = b.reset_index(drop=True)
+            yield from repeated(b, nearest_centers(vectors(b), centers, ids, n)[1], keep)
 
 
 def ranked_blocks(path: str, blocks: int, n: int, keep: list[str], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -46,20 +81,17 @@ def ranked_blocks(path: str, blocks: int, n: int, keep: list[str], batches: Iter
     for b in batches:
         if not len(b):
             continue
-        q = np.array(b["vec"].tolist(), np.float64)
-        square = (q**2).sum(axis=1)[:, None]
+        b = b.reset_index(drop=True)
+        q = vectors(b)
         best, which = np.empty((len(q), 0)), np.empty((len(q), 0), np.int32)
         for i in range(blocks):
             held = read_block(path, i)
-            step = max(1, TILE_BYTES // (8 * max(1, len(q))))
-            for at in range(0, len(held["vec"]), step):
-                d = (square + held["norm"][None, at : at + step] - 2 * q @ held["vec"][at : at + step].T).round(12)
-                ids = held["entry"].to_numpy()[at : at + step]
-                best, which = np.concatenate([best, d], axis=1), np.concatenate([which, np.broadcast_to(ids, d.shape)], axis=1)
-                order = np.lexsort((which, best), axis=1)[:, :n]
-                best, which = np.take_along_axis(best, order, 1), np.take_along_axis(which, order, 1)
-        out = b.loc[b.index.repeat(which.shape[1]), keep].reset_index(drop=True)
-        yield out.assign(cluster=which.ravel(), probe=np.tile(np.arange(which.shape[1]), len(b)))
+            order = np.argsort(ids := held["entry"].to_numpy(), kind="stable")
+            d, near = nearest_centers(q, held["vec"][order], ids[order], n)
+            best, which = np.concatenate([best, d], axis=1), np.concatenate([which, near], axis=1)
+            order = np.lexsort((which, best), axis=1)[:, :n]
+            best, which = np.take_along_axis(best, order, 1), np.take_along_axis(which, order, 1)
+        yield from repeated(b, which, keep)
 
 
 def probes(rows: DataFrame, centroids: DataFrame, n: int = 1, keep: list[str] | None = None, most: int = MOST_CLUSTERS) -> DataFrame:
@@ -91,6 +123,21 @@ def partial_sums(keep: None, batches: Iterator[pd.DataFrame]) -> Iterator[pd.Dat
         yield pd.DataFrame([(c, list(s), n) for c, (s, n) in sums.items()], columns=["cluster", "sums", "n"])
 
 
+def cluster_sums(centers: np.ndarray, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """cluster, sums, n of the rows nearest to each center."""
+    sums, n = np.zeros(centers.shape), np.zeros(len(centers), np.int64)
+    for b in batches:
+        if len(b):
+            x = vectors(b)
+            own = nearest_centers(x, centers, np.arange(len(centers)), 1)[1][:, 0]
+            order = np.argsort(own, kind="stable")
+            found, start = np.unique(own[order], return_index=True)
+            sums[found] += np.add.reduceat(x[order], start, axis=0)
+            n += np.bincount(own, minlength=len(n))
+    at = np.flatnonzero(n)
+    yield pd.DataFrame({"cluster": at.astype(np.int32), "sums": list(sums[at]), "n": n[at]})
+
+
 def build(rows: DataFrame, k: int | None = None, rounds: int = ROUNDS, seed: int = SEED) -> DataFrame:
     """cluster, center after Lloyd rounds from k rows in the order of a seeded hash; an empty cluster keeps its center. rows: entry, row, vec."""
     spark = rows.sparkSession
@@ -99,7 +146,8 @@ def build(rows: DataFrame, k: int | None = None, rounds: int = ROUNDS, seed: int
     centers = np.array([r["vec"] for r in first], np.float64)
     frame = lambda: spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centers)], "cluster int, center array<double>")
     for _ in range(rounds):
-        parts = assign(rows.select("vec"), frame()).mapInPandas(partial(partial_sums, None), "cluster int, sums array<double>, n bigint")
+        schema = "cluster int, sums array<double>, n bigint"
+        parts = rows.select("vec").mapInPandas(partial(cluster_sums, centers), schema) if len(centers) <= MOST_CLUSTERS else assign(rows.select("vec"), frame()).mapInPandas(partial(partial_sums, None), schema)
         summed = parts.select("cluster", "n", F.posexplode("sums").alias("i", "x")).groupBy("cluster", "i").agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
         moved = summed.groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("i", (F.col("x") / F.col("n")).alias("v")))).alias("c")).collect()  # at most k rows
         new = centers.copy()

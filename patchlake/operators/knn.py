@@ -1,10 +1,10 @@
 """Nearest rows of a bank: mean distance to the k nearest, and the nearest of each label.
 
 The bank is written once to the shared folder in blocks of bounded bytes, each
-with a bounded number of rows. Tasks take batches of queries and go over the
-blocks one after the other, keeping the k smallest distances so far; so a task
-holds one block and one batch, the bank is read once for each batch, and neither
-side is shuffled, broadcast or gathered.
+with a bounded number of rows. Queries are dealt out evenly once. Tasks take batches
+of them and go over the blocks one after the other, keeping the k smallest distances
+so far; so a task holds one block, one batch and two tiles of distances, the bank is
+read once for each batch, and neither side is broadcast or gathered.
 
 Distances are Euclidean, as |q|^2 + |b|^2 - 2qb in double precision. Rows of the
 query's own entry, or of its own non-empty group, can be left out. With fewer
@@ -18,6 +18,7 @@ from functools import partial
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pyarrow.dataset as ds
 import pyarrow.fs as fs
 from pyspark.sql import DataFrame
@@ -26,10 +27,12 @@ from pyspark.sql import types as T
 
 from patchlake.sources.shared import scratch_path
 
-BLOCK_BYTES = 64 << 20
-BATCH = 2048
+BLOCK_BYTES = 16 << 20
+BATCH = 8192
 #: A matrix of distances, of some queries to one block, has so many bytes at most.
-TILE_BYTES = 64 << 20
+TILE_BYTES = 16 << 20
+#: Rounding error of a squared distance, as a share of the squared length.
+NOISE = 64 * np.finfo(np.float64).eps
 
 
 def write_blocks(bank: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[str, int]:
@@ -42,30 +45,82 @@ def write_blocks(bank: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[str,
     return path, n if rows else 0
 
 
+def dealt(queries: DataFrame) -> DataFrame:
+    """Queries dealt out evenly: what a search costs is rows, however few bytes and files hold them."""
+    return queries.repartition(3 * queries.sparkSession.sparkContext.defaultParallelism)
+
+
+def vectors(batch: pd.DataFrame) -> np.ndarray:
+    return np.array(batch["vec"].tolist(), np.float64)
+
+
 def read_block(path: str, block: int) -> dict:
     where, root = fs.FileSystem.from_uri(path if "://" in path else "file://" + path)
     found = ds.dataset(f"{root}/block={block}", filesystem=where, format="parquet").to_table()
-    vec = found.column("vec").combine_chunks()
     out = {c: found.column(c).to_pandas() for c in found.column_names if c != "vec"}
-    out["vec"] = np.asarray(vec.values, np.float64).reshape(len(vec), -1) if len(vec) else np.empty((0, 1))
-    out["norm"] = (out["vec"] ** 2).sum(axis=1)
+    parts = [c for c in found.column("vec").chunks if len(c)]
+    width = len(parts[0][0]) if parts else 1
+    out["vec"] = np.empty((len(found), width))
+    at = 0
+    for c in parts:  # no second copy of the whole block
+        out["vec"][at : at + len(c)] = c.flatten().to_numpy(zero_copy_only=False).reshape(len(c), width)
+        at += len(c)
+    del found, parts
+    pa.default_memory_pool().release_unused()
+    out["norm"] = norms(out["vec"])
+    if "grp" in out:  # numbers of the sorted names
+        out["names"], out["grp"] = np.unique(out["grp"].fillna("").to_numpy(str), return_inverse=True)
     return out
 
 
+def norms(x: np.ndarray, step: int = 4096) -> np.ndarray:
+    """Squared lengths of rows, some at a time."""
+    return np.concatenate([np.zeros(0), *[(x[i : i + step] ** 2).sum(axis=1) for i in range(0, len(x), step)]])
+
+
 def left_out(batch: pd.DataFrame, block: dict, leave_out: str) -> np.ndarray | None:
     """Which pairs don't count: own entry, or own entry and own group."""
     if leave_out == "none":
         return None
     own = batch["entry"].to_numpy()[:, None] == block["entry"].to_numpy()[None, :]
     if leave_out == "group":
-        mine, theirs = batch["grp"].fillna("").to_numpy(str), block["grp"].fillna("").to_numpy(str)
-        own |= (mine[:, None] == theirs[None, :]) & (mine != "")[:, None]
+        mine, names = batch["grp"].fillna("").to_numpy(str), block["names"]
+        at = np.minimum(np.searchsorted(names, mine), len(names) - 1)
+        own |= np.where((names[at] == mine) & (mine != ""), at, -1)[:, None] == block["grp"][None, :]
     return own
 
 
+def squares(q: np.ndarray, square: np.ndarray, vec: np.ndarray, norm: np.ndarray) -> np.ndarray:
+    """Squared distances, in two matrices of that size at most; rounding may leave some just below 0."""
+    d = square[:, None] + norm[None, :]
+    d -= 2 * q @ vec.T
+    return d
+
+
+def settled(best: np.ndarray, square: np.ndarray) -> np.ndarray:
+    """Distances from squared ones. What rounding can't tell from 0 is 0, so that equal rows are 0 apart whatever batch and block they are in."""
+    return np.sqrt(np.where(best > NOISE * square[:, None], best, 0))
+
+
 def distances(q: np.ndarray, block: dict) -> np.ndarray:
-    square = (q**2).sum(axis=1)[:, None] + block["norm"][None, :] - 2 * q @ block["vec"].T
-    return np.sqrt(np.maximum(square, 0))
+    d = squares(q, (q**2).sum(axis=1), block["vec"], block["norm"])
+    np.maximum(d, 0, out=d)
+    return np.sqrt(d, out=d)
+
+
+def keep_least(best: np.ndarray, d: np.ndarray) -> None:
+    """Put the least of both into `best`, in each row; changes d."""
+    k = best.shape[1]
+    closer = d < best.max(axis=1)[:, None]
+    many = closer.sum(axis=1)
+    if many.max(initial=0) <= 8 * k:  # mostly so after the first block
+        rows = np.flatnonzero(many)
+        for i in rows:
+            best[i] = np.partition(np.concatenate([best[i], d[i, closer[i]]]), k - 1)[:k]
+        return
+    if d.shape[1] > k:
+        d.partition(k - 1, axis=1)
+    best[:] = np.partition(np.concatenate([best, d[:, :k]], axis=1), k - 1, axis=1)[:, :k]
 
 
 def mean_rows(path: str, blocks: int, k: int, leave_out: str, keep: list[str], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -73,22 +128,25 @@ def mean_rows(path: str, blocks: int, k: int, leave_out: str, keep: list[str], b
     for whole in batches:
         for at in range(0, len(whole), BATCH):
             batch = whole.iloc[at : at + BATCH]
-            q = np.array(batch["vec"].tolist(), np.float64)
+            q = vectors(batch)
+            square = norms(q)
             best = np.full((len(batch), k), np.inf)
             for b in range(blocks):
                 block = held or read_block(path, b)
                 step = max(1, TILE_BYTES // (8 * max(1, len(block["vec"]))))
                 for i in range(0, len(batch), step):
-                    d = distances(q[i : i + step], block)
+                    d = squares(q[i : i + step], square[i : i + step], block["vec"], block["norm"])
                     out = left_out(batch.iloc[i : i + step], block, leave_out)
                     if out is not None:
                         d[out] = np.inf
-                    both = np.concatenate([best[i : i + step], d], axis=1)
-                    best[i : i + step] = np.partition(both, k - 1, axis=1)[:, :k]
+                    keep_least(best[i : i + step], d)
+            best = settled(best, square)
             found = np.isfinite(best)
             n = found.sum(axis=1)
             mean = np.where(found, best, 0).sum(axis=1) / np.maximum(n, 1)
             yield batch[keep].assign(score=pd.Series(np.where(n > 0, mean, np.nan), index=batch.index).astype("Float64").mask(n == 0))
+    del held
+    pa.default_memory_pool().release_unused()
 
 
 def nearest_mean(queries: DataFrame, bank: DataFrame, k: int = 5, leave_out: str = "none", keep: list[str] | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -99,39 +157,48 @@ def nearest_mean(queries: DataFrame, bank: DataFrame, k: int = 5, leave_out: str
         return queries.select(*keep, F.lit(None).cast("double").alias("score"))
     used = list(dict.fromkeys([*keep, *({"entry": ["entry"], "group": ["entry", "grp"]}.get(leave_out, [])), "vec"]))
     schema = T.StructType([queries.schema[c] for c in keep] + [T.StructField("score", T.DoubleType())])
-    return queries.select(*used).mapInPandas(partial(mean_rows, path, blocks, k, leave_out, keep), schema)
+    return dealt(queries.select(*used)).mapInPandas(partial(mean_rows, path, blocks, k, leave_out, keep), schema)
+
+
+def by_label(block: dict) -> dict:
+    """The block in the order of labels and ids, and where each label's rows lie."""
+    order = np.lexsort((block["id"].to_numpy(), codes := pd.factorize(block["label"], use_na_sentinel=False)[0]))
+    out = {c: x[order] if isinstance(x, np.ndarray) else x.iloc[order].reset_index(drop=True) for c, x in block.items() if c != "names"} | {c: block[c] for c in ("names",) if c in block}
+    ends = np.flatnonzero(np.diff(codes[order], append=-1)) + 1
+    return out | {"own": list(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)) if len(order) else []}
 
 
 def label_rows(path: str, blocks: int, leave_out: str, keep: list[str], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    held = read_block(path, 0) if blocks == 1 else None
-    step = max(1, min(BATCH, TILE_BYTES // (16 * max(1, len((held or read_block(path, 0))["vec"])))))  # blocks have about equal rows
+    held = by_label(read_block(path, 0)) if blocks == 1 else None
     for whole in batches:
-        for at in range(0, len(whole), step):
-            batch = whole.iloc[at : at + step]
-            q = np.array(batch["vec"].tolist(), np.float64)
+        for at in range(0, len(whole), BATCH):
+            batch = whole.iloc[at : at + BATCH]
+            q = vectors(batch)
             best: dict[str, tuple[np.ndarray, np.ndarray]] = {}
             for b in range(blocks):
-                block = held or read_block(path, b)
-                d = distances(q, block)
-                if "weight" in block:
-                    d = d / (block["weight"].to_numpy() + 1e-6)[None, :]
-                out = left_out(batch, block, leave_out)
-                if out is not None:
-                    d[out] = np.inf
+                block = held or by_label(read_block(path, b))
                 labels, ids = block["label"].to_numpy(), block["id"].to_numpy()
-                for label in pd.unique(labels):
-                    own = np.flatnonzero(labels == label)
-                    own = own[np.argsort(ids[own], kind="stable")]
-                    at_best = d[:, own].argmin(axis=1)
-                    near, where = d[np.arange(len(q)), own[at_best]], ids[own[at_best]]
-                    if label in best:
-                        old, place = best[label]
+                step = max(1, TILE_BYTES // (8 * max(1, len(ids))))
+                for i in range(0, len(batch), step):
+                    d = distances(q[i : i + step], block)
+                    if "weight" in block:
+                        d /= (block["weight"].to_numpy() + 1e-6)[None, :]
+                    out = left_out(batch.iloc[i : i + step], block, leave_out)
+                    if out is not None:
+                        d[out] = np.inf
+                    for start, end in block["own"]:
+                        at_best = d[:, start:end].argmin(axis=1)  # the smallest id of equals
+                        near, where = d[np.arange(len(d)), start + at_best], ids[start + at_best]
+                        if labels[start] not in best:
+                            best[labels[start]] = np.full(len(q), np.inf), np.full(len(q), np.iinfo(np.int64).max)
+                        old, place = (x[i : i + step] for x in best[labels[start]])
                         closer = (near < old) | ((near == old) & (where < place))
-                        near, where = np.where(closer, near, old), np.where(closer, where, place)
-                    best[label] = near, where
+                        old[closer], place[closer] = near[closer], where[closer]
             for label, (near, where) in best.items():
                 found = np.isfinite(near)
                 yield batch.loc[found, keep].assign(label=label, distance=near[found], nearest=where[found])
+    del held
+    pa.default_memory_pool().release_unused()
 
 
 def label_nearest(queries: DataFrame, bank: DataFrame, leave_out: str = "none", weighted: bool = False, keep: list[str] | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -142,4 +209,4 @@ def label_nearest(queries: DataFrame, bank: DataFrame, leave_out: str = "none",
     if not blocks:
         return queries.sparkSession.createDataFrame([], schema)
     used = list(dict.fromkeys([*keep, *({"entry": ["entry"], "group": ["entry", "grp"]}.get(leave_out, [])), "vec"]))
-    return queries.select(*used).mapInPandas(partial(label_rows, path, blocks, leave_out, keep), schema)
+    return dealt(queries.select(*used)).mapInPandas(partial(label_rows, path, blocks, leave_out, keep), schema)

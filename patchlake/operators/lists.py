@@ -7,11 +7,13 @@ bank: with nothing changed the index stays, with new entries only their rows are
 to the nearest clusters and put beside the others, and with entries that are gone or
 changed, or too much growth, it is built anew.
 
-A search sends each query to its `nprobe` nearest clusters' lists: queries are dealt out
+A search with few probes sends each query to its `nprobe` nearest clusters' lists: queries are dealt out
 by cluster (and, where a cluster has many, by part of it), a task reads one list after
 the other in blocks of bounded bytes and gives back the k smallest distances of each
 query and list. These short lists are merged by query, so the bank isn't shuffled, pairs
-of vectors nowhere exist and no window sorts pairs. Queries for which no row is left
+of vectors nowhere exist and no window sorts pairs. With many probes (`SCAN_SHARE`) queries would be
+repeated too often: tasks then take batches of queries over all lists, each list with those that
+probe it, and with as many probes as clusters the search is the full scan. Queries for which no row is left
 are searched in the whole bank.
 
 Defined cases: an index without rows answers null; queries with one id are one query; ties don't
@@ -34,17 +36,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from patchlake.operators.clusters import NPROBE, ROUNDS, SEED, assign, build, needs_rebuild, probes
-from patchlake.operators.knn import TILE_BYTES, nearest_mean
+from patchlake.operators.clusters import MOST_CLUSTERS, NPROBE, ROUNDS, SEED, assign, build, nearest_centers, needs_rebuild, probes
+from patchlake.operators.knn import TILE_BYTES, dealt, keep_least, nearest_mean, norms, settled, squares
 from patchlake.sources.shared import materialise, scratch_path
 from patchlake.sources.versions import commit, version
 
+#: With more probes than one cluster in so many, tasks go over all lists.
+SCAN_SHARE = 8
 #: Rows of a file of a list.
 FILE_ROWS = 1 << 17
 #: Queries that one task searches in one list, about; sampled queries that tell how many a list gets.
 GROUP, SAMPLED = 1 << 16, 100_000
 #: Queries that go over a list together, and bytes of a list's block.
-TOGETHER, BLOCK_BYTES = 8192, 64 << 20
+TOGETHER, BLOCK_BYTES = 8192, 16 << 20
 
 
 @dataclass
@@ -88,7 +92,7 @@ def write_lists(assigned: DataFrame, path: str) -> None:
 def built(rows: DataFrame, root: str, k: int | None = None, rounds: int = ROUNDS, seed: int = SEED) -> dict:
     """A new index over the rows (entry, row, vec and, for groups, grp) as the newest version; what it says."""
     spark = rows.sparkSession
-    rows = materialise(rows, "rows")  # read by every round
+    rows = materialise(dealt(rows), "rows")  # read by every round
     name = uuid.uuid4().hex
     build(rows, k, rounds, seed).write.parquet(f"{root}/centroids-{name}")
     centers = spark.read.parquet(f"{root}/centroids-{name}")
@@ -104,7 +108,7 @@ def extended(spark: SparkSession, root: str, rows: DataFrame) -> dict:
 
     def more(now: dict) -> dict | None:
         held = spark.read.parquet(*[f"{root}/{b}" for b in now["basis"]]).select("entry")
-        fresh = materialise(rows.join(held, "entry", "left_anti").select(rows.columns), "fresh")
+        fresh = materialise(dealt(rows.join(held, "entry", "left_anti").select(rows.columns)), "fresh")
         n = fresh.count()
         if not n:
             return None
@@ -160,6 +164,63 @@ def numbered(*columns: pa.ChunkedArray | pa.Array) -> list[np.ndarray]:
     return np.split(codes, ends)
 
 
+def improved(best: np.ndarray, which: np.ndarray, q: np.ndarray, square: np.ndarray, asked: pa.Table, b: pa.Table, leave_out: str) -> None:
+    """Put the squared distances of queries `which` (their rows of q, square and asked) to a block's rows into `best`, where they are among the least."""
+    x = matrix(b.column("vec"))
+    norm, step = norms(x), max(1, TILE_BYTES // (8 * max(1, len(x))))
+    some = asked.take(pa.array(which)) if leave_out != "none" else None
+    entry = numbered(some.column("entry"), b.column("entry")) if leave_out != "none" else None
+    group = numbered(some.column("grp"), b.column("grp")) if leave_out == "group" else None
+    for i in range(0, len(which), step):
+        at = which[i : i + step]
+        d = squares(q[at], square[at], x, norm)
+        if entry is not None:
+            own = entry[0][i : i + step, None] == entry[1][None, :]
+            if group is not None:
+                mine = group[0][i : i + step, None]
+                own |= (mine == group[1][None, :]) & (mine >= 0)
+            d[own] = np.inf
+        near = best[at]
+        keep_least(near, d)
+        best[at] = near
+
+
+def answers(asked: pa.Table, best: np.ndarray) -> pa.RecordBatch:
+    """id and the distances found, of all of the best."""
+    found = np.isfinite(best)
+    ends = np.concatenate([[0], np.cumsum(found.sum(axis=1))])
+    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(best[found]))
+    return pa.RecordBatch.from_arrays([asked.column("id").combine_chunks(), lists], ["id", "d"])
+
+
+def scanned(where_path: str, folders: list[str], centers: np.ndarray, ids: np.ndarray, nprobe: int, k: int, leave_out: str, block_bytes: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """As `searched`, but a task goes over all lists with the queries that probe them, so that queries aren't repeated for each probe. batches: id, entry, grp, vec."""
+    where, _ = fs.FileSystem.from_uri(where_path)
+
+    def answer(asked: pa.Table) -> pa.RecordBatch:
+        q = matrix(asked.column("vec"))
+        square, best, probed = norms(q), np.full((len(q), k), np.inf), np.zeros((len(ids), len(q)), bool)
+        for i in range(0, len(q), 1024):
+            near = np.searchsorted(ids, nearest_centers(q[i : i + 1024], centers, ids, nprobe)[1])
+            probed[near, np.arange(i, i + len(near))[:, None]] = True
+        for cluster, mask in zip(ids.tolist(), probed, strict=True):
+            if mask.any():
+                for b in blocks(where, folders, cluster, block_bytes):
+                    improved(best, np.flatnonzero(mask), q, square, asked, b, leave_out)
+        return answers(asked, settled(best, square))
+
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        for i in range(0, b.num_rows, TOGETHER):
+            if held and sum(h.num_rows for h in held) + min(TOGETHER, b.num_rows - i) > TOGETHER:
+                yield answer(pa.Table.from_batches(held))
+                held = []
+            held.append(b.slice(i, TOGETHER))
+    if held and sum(h.num_rows for h in held):
+        yield answer(pa.Table.from_batches(held))
+    pa.default_memory_pool().release_unused()
+
+
 def searched(where_path: str, folders: list[str], k: int, leave_out: str, block_bytes: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """id and the k smallest distances of each query in its list. batches: cluster, id, entry, grp, vec, ordered by cluster."""
     where, _ = fs.FileSystem.from_uri(where_path)
@@ -179,27 +240,10 @@ def searched(where_path: str, folders: list[str], k: int, leave_out: str, block_
 
     def answer(cluster: int, asked: pa.Table) -> pa.RecordBatch:
         q = matrix(asked.column("vec"))
-        square = (q**2).sum(axis=1)
-        best = np.full((len(q), k), np.inf)
+        square, best = norms(q), np.full((len(q), k), np.inf)
         for b in of(cluster):
-            x = matrix(b.column("vec"))
-            norm, step = (x**2).sum(axis=1), max(1, TILE_BYTES // (8 * len(x)))
-            entry = numbered(asked.column("entry"), b.column("entry")) if leave_out != "none" else None
-            group = numbered(asked.column("grp"), b.column("grp")) if leave_out == "group" else None
-            for i in range(0, len(q), step):
-                d = square[i : i + step, None] + norm[None, :] - 2 * q[i : i + step] @ x.T
-                if entry is not None:
-                    own = entry[0][i : i + step, None] == entry[1][None, :]
-                    if group is not None:
-                        mine = group[0][i : i + step, None]
-                        own |= (mine == group[1][None, :]) & (mine >= 0)
-                    d[own] = np.inf
-                both = np.concatenate([best[i : i + step], d], axis=1)
-                best[i : i + step] = np.partition(both, k - 1, axis=1)[:, :k]
-        found = np.isfinite(best)
-        ends = np.concatenate([[0], np.cumsum(found.sum(axis=1))])
-        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.sqrt(np.maximum(best[found], 0))))
-        return pa.RecordBatch.from_arrays([asked.column("id").combine_chunks(), lists], ["id", "d"])
+            improved(best, np.arange(len(q)), q, square, asked, b, leave_out)
+        return answers(asked, settled(best, square))
 
     held: list[pa.RecordBatch] = []
     for b in batches:
@@ -214,25 +258,40 @@ def searched(where_path: str, folders: list[str], k: int, leave_out: str, block_
             held.append(b.slice(i, j - i))
     if held:
         yield answer(held[0].column("cluster")[0].as_py(), pa.Table.from_batches(held))
+    pa.default_memory_pool().release_unused()
 
 
-def searched_mean(queries: DataFrame, index: Lists, k: int = 5, nprobe: int = NPROBE, leave_out: str = "none", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """id and score: the mean distance to the k nearest rows of the nprobe nearest lists. queries: id (distinct), vec and, where left out, entry (and grp). leave_out: none, entry or group; groups that are '' or null leave nobody out."""
-    group = F.when(F.col("grp") != "", F.col("grp")) if leave_out == "group" else F.lit(None).cast("string")
-    asked = queries.select("id", (F.lit(None).cast("bigint") if leave_out == "none" else F.col("entry")).alias("entry"), group.alias("grp"), "vec")
-    probed = probes(asked, index.centroids, max(1, nprobe)).drop("probe")
-    n, part = queries.count(), F.lit(0)
+def routed(asked: DataFrame, index: Lists, k: int, nprobe: int, leave_out: str, block_bytes: int, n: int, where: str, folders: list[str], schema: T.StructType) -> DataFrame:
+    """id and the least distances in each probed list: queries (n of them) are dealt out by cluster."""
+    asked = dealt(asked)
+    probed, part = probes(asked, index.centroids, nprobe).drop("probe"), F.lit(0)
     if n > GROUP:  # how many parts each list's queries go to, from a sample; any number gives the same rows
         every = max(1, n // SAMPLED)
-        some = probes(asked.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0), index.centroids, max(1, nprobe), ["id"])
+        some = probes(asked.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0), index.centroids, nprobe, ["id"])
         parts = some.groupBy("cluster").agg(F.ceil(F.count("*") * every / GROUP).cast("int").alias("parts"))  # a row for each cluster
         probed = probed.join(F.broadcast(materialise(parts, "parts")), "cluster", "left")
         part = F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1)))
-    dealt = probed.withColumn("part", part).repartition("cluster", "part").sortWithinPartitions("cluster")
+    sorted_ = probed.withColumn("part", part).repartition("cluster", "part").sortWithinPartitions("cluster")
+    return sorted_.select("cluster", "id", "entry", "grp", "vec").mapInArrow(partial(searched, where, folders, k, leave_out, block_bytes), schema)
+
+
+def searched_mean(queries: DataFrame, index: Lists, k: int = 5, nprobe: int = NPROBE, leave_out: str = "none", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """id and score: the mean distance to the k nearest rows of the nprobe nearest lists. queries: id (distinct), vec and, where left out, entry (and grp). leave_out: none, entry or group; groups that are '' or null leave nobody out."""
+    group = F.when(F.col("grp") != "", F.col("grp")) if leave_out == "group" else F.lit(None).cast("string")
+    clusters, nprobe = index.centroids.count(), max(1, nprobe)
+    if clusters and nprobe >= clusters:  # every list: the full scan
+        return nearest_mean(queries.dropDuplicates(["id"]), index.rows(), k, leave_out, ["id"])
+    asked = queries.select("id", (F.lit(None).cast("bigint") if leave_out == "none" else F.col("entry")).alias("entry"), group.alias("grp"), "vec")
     where = index.root if "://" in index.root else "file://" + index.root.removeprefix("file:")
     base = fs.FileSystem.from_uri(where)[1]
+    folders = [f"{base}/{f}" for f in index.folders]
     schema = T.StructType([queries.schema["id"], T.StructField("d", T.ArrayType(T.DoubleType()))])
-    near = dealt.select("cluster", "id", "entry", "grp", "vec").mapInArrow(partial(searched, where, [f"{base}/{f}" for f in index.folders], k, leave_out, block_bytes), schema)
+    if SCAN_SHARE * nprobe >= clusters and clusters <= MOST_CLUSTERS:  # routing would spare little and repeat the queries
+        found = index.centroids.orderBy("cluster").collect()
+        centers, ids = np.array([r["center"] for r in found], np.float64), np.array([r["cluster"] for r in found], np.int32)
+        near = dealt(asked).mapInArrow(partial(scanned, where, folders, centers, ids, nprobe, k, leave_out, block_bytes), schema)
+    else:
+        near = routed(asked, index, k, nprobe, leave_out, block_bytes, queries.count(), where, folders, schema)
     merged = near.groupBy("id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("d"))), 1, k).alias("d"))  # nprobe lists of at most k numbers
     found = merged.where(F.size("d") > 0).select("id", (F.aggregate("d", F.lit(0.0), lambda a, x: a + x) / F.size("d")).alias("score"))
     found = materialise(found, "routed")

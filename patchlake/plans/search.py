@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from patchlake.functions.scoring import multiplier
 from patchlake.operators.clusters import assign
 from patchlake.operators.evaluation import attribution, image_topk_mean, label_winners
-from patchlake.operators.knn import label_nearest, nearest_mean
+from patchlake.operators.knn import dealt, label_nearest, nearest_mean
 from patchlake.operators.lists import listed, searched_mean
 from patchlake.plans.binding import LABELS_SQL, NOW, ROWS_SQL, bank_rows, topk_sql
 from patchlake.plans.registry import query
@@ -42,7 +42,7 @@ select s.vec_id, round(coalesce(n.score, s.score), 6) as score from scored s lef
 def o45_routed_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = bank_rows(spark, sf_dir)
     centers = centroids(rows)
-    index = listed(assign(rows.select("entry", "row", "vec"), centers), centers)
+    index = listed(assign(dealt(rows.select("entry", "row", "vec")), centers), centers)
     found = searched_mean(rows.select(F.col("vec_id").alias("id"), "entry", "vec"), index, 5, 3, "entry")
     return rounded(found.withColumnRenamed("id", "vec_id"), "vec_id")
 
@@ -75,7 +75,7 @@ def o49_label_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with {ROWS_SQL}, {CENTROIDS_SQL}, {ASSIGNED_SQL} select vec_id, cluster from ranked where probe = 1")
 def o58_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = bank_rows(spark, sf_dir)
-    return assign(rows.select("vec_id", "vec"), centroids(rows)).select("vec_id", "cluster")
+    return assign(dealt(rows.select("vec_id", "vec")), centroids(rows)).select("vec_id", "cluster")
 
 
 @query(f"with {ROWS_SQL}, {topk_sql('q.entry <> b.entry', k=10, rows='vec_id < 35')} select vec_id, round(score, 6) as score from scored")

@@ -1,6 +1,7 @@
 """Search by lists against the full scan, and an index that follows its bank."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,3 +76,27 @@ def test_more_centroids_than_are_sent(spark):
     centers = bank.where("row = 0").select(F.col("entry").cast("int").alias("cluster"), F.col("vec").alias("center"))
     sent = {(r.id, r.probe): r.cluster for r in c.probes(bank, centers, 3, ["id"]).collect()}
     assert {(r.id, r.probe): r.cluster for r in c.probes(bank, centers, 3, ["id"], most=10).collect()} == sent and len(sent) == 600
+
+
+@pytest.mark.parametrize("leave_out", ["none", "entry", "group"])
+def test_going_over_all_lists_finds_what_routing_finds(spark, tmp_path, leave_out, monkeypatch):
+    bank = bank_of(spark)
+    lists.built(bank.drop("id"), str(tmp_path), 12, 3)
+    index = lists.opened(spark, str(tmp_path))
+    monkeypatch.setattr(lists, "TOGETHER", 30)
+    found = []
+    for share in (0, 12):
+        monkeypatch.setattr(lists, "SCAN_SHARE", share)
+        found.append(scores(lists.searched_mean(bank, index, 5, 4, leave_out, block_bytes=600)))
+    assert found[0] == found[1] and len(found[0]) == 400
+
+
+def test_many_probes_are_given_out_in_bounded_batches():
+    rng = np.random.default_rng(1)
+    rows = pd.DataFrame({"id": range(200), "vec": list(rng.normal(size=(200, 4)))})
+    centers = rng.normal(size=(500, 4)).round(0)  # many equals
+    got = list(c.ranked_centers(centers, np.arange(500, dtype=np.int32), 300, ["id", "vec"], iter([rows])))
+    assert max(map(len, got)) <= 8192 and sum(map(len, got)) == 200 * 300
+    d = ((np.stack(rows["vec"])[:, None] - centers[None]) ** 2).sum(axis=2).round(9)
+    both = pd.concat(got)
+    assert (np.lexsort((np.broadcast_to(np.arange(500), d.shape), d), axis=1)[:, :300] == both["cluster"].to_numpy().reshape(200, 300)).all()
