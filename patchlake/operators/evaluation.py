@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +15,8 @@ from patchlake.operators.ordered import totals_before
 from patchlake.sources.shared import materialise
 
 TOP = 256
+#: Pixels that a task makes together.
+PIXELS = 1 << 18
 
 
 def image_eval(scores: DataFrame, by: tuple[str, ...] = ("entry",), row: str = "row", top: int = TOP) -> DataFrame:
@@ -140,16 +142,30 @@ def histogram(values: DataFrame, bins: int = 48) -> DataFrame:
     return values.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin")).join(counted, "bin", "left").na.fill(0)
 
 
+def by_image(cells: DataFrame) -> DataFrame:
+    """Cells dealt out by image once, for all groupings and joins by image that follow."""
+    return cells.repartition("image")
+
+
 def grid_merge(cells: DataFrame, height: Column, width: Column) -> DataFrame:
     """image, gy, gx, score: the largest score of overlapping windows in each cell; cells without one take the image's mean.
 
     cells: image, gy, gx, score and what `height` and `width` (cells of the grid) are made from.
     """
-    merged = cells.groupBy("image", "gy", "gx").agg(F.max("score").alias("score"))
-    mean = merged.groupBy("image").agg(F.avg("score").alias("mean"))
-    sizes = cells.groupBy("image").agg(F.max(height).alias("h"), F.max(width).alias("w"))
-    full = sizes.select("image", F.explode(F.sequence(F.lit(0), F.col("h") - 1)).alias("gy"), "w").select("image", "gy", F.explode(F.sequence(F.lit(0), F.col("w") - 1)).alias("gx"))
-    return full.join(merged, ["image", "gy", "gx"], "left").join(mean, "image").select("image", "gy", "gx", F.coalesce("score", "mean").alias("score"))
+    sized = cells.select("image", "gy", "gx", "score", height.cast("bigint").alias("h"), width.cast("bigint").alias("w"))
+    merged = by_image(sized).groupBy("image", "gy", "gx").agg(F.max("score").alias("score"), F.max("h").alias("h"), F.max("w").alias("w"))
+    image = merged.groupBy("image").agg(F.avg("score").alias("mean"), F.max("h").alias("h"), F.max("w").alias("w"), F.collect_list(F.struct("gy", "gx", "score")).alias("c"))
+    inside = F.filter("c", lambda x: (x["gy"] >= 0) & (x["gy"] < F.col("h")) & (x["gx"] >= 0) & (x["gx"] < F.col("w")))
+    put = image.withColumn("c", F.array_sort(F.transform(inside, lambda x: F.struct((F.col("w") * x["gy"] + x["gx"]).alias("place"), x["score"].alias("score")))))
+    # each cell with a score, and the ones without up to the next; first those before all
+    end = (F.col("h") * F.col("w")).alias("place")
+    starts = F.concat(F.array(F.struct(F.lit(-1).cast("bigint").alias("place"), F.lit(None).cast(merged.schema["score"].dataType).alias("score"))), "c")
+    ends = F.concat(F.transform("c", lambda x: x["place"]), F.array(end))
+    runs = put.select("image", "mean", "w", F.explode(F.arrays_zip(starts.alias("a"), ends.alias("b"))).alias("r"))
+    each = runs.select("image", "mean", "w", F.col("r.a.place").alias("own"), "r.a.score", F.greatest(F.col("r.a.place"), F.lit(0)).alias("from"), (F.col("r.b") - 1).alias("to")).where("to >= from")
+    out = each.select("image", "mean", "w", "own", "score", F.explode(F.sequence("from", "to")).alias("place"))
+    score = F.coalesce(F.when(F.col("place") == F.col("own"), F.col("score")), "mean")
+    return out.select("image", F.floor(F.col("place") / F.col("w")).alias("gy"), (F.col("place") % F.col("w")).alias("gx"), score.alias("score"))
 
 
 def label_winners(nearest: DataFrame, by: tuple[str, ...] = ("entry",)) -> DataFrame:
@@ -164,34 +180,43 @@ def attribution(winners: DataFrame, alpha: float, beta: float) -> DataFrame:
     return winners.withColumn("attribution", strength / (1 + F.col("distance")))
 
 
-def pixels_of(cell: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows of pixels of each image: bilinear between cell centres, the edge repeated beyond them, cropped to the image."""
+def pixels_of(cell: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of pixels of each image: bilinear between cell centres, the edge repeated beyond them, cropped to the image. Images of one shape are made together."""
 
     def axis(size: int, cells: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         at = np.clip((np.arange(size) + 0.5) / cell - 0.5, 0, cells - 1)
         low = np.minimum(at.astype(int), max(cells - 2, 0))
         return low, np.minimum(low + 1, cells - 1), at - low
 
-    images, ys, scores, held = [], [], [], 0
     for b in batches:
-        for image, h, w, gy, gx, score in b[["image", "height", "width", "gy", "gx", "score"]].itertuples(index=False):
-            grid = np.zeros((max(gy) + 1, max(gx) + 1))
-            grid[gy, gx] = score
-            (y0, y1, fy), (x0, x1, fx) = axis(h, grid.shape[0]), axis(w, grid.shape[1])
-            wide = grid[:, x0] * (1 - fx) + grid[:, x1] * fx
-            full = wide[y0] * (1 - fy)[:, None] + wide[y1] * fy[:, None]
-            images += [image] * h
-            ys += range(h)
-            scores += list(full)
-            held += full.size
-            if held >= 1 << 20:
-                yield pd.DataFrame({"image": images, "y": ys, "scores": scores})
-                images, ys, scores, held = [], [], [], 0
-    yield pd.DataFrame({"image": images, "y": ys, "scores": scores})
+        image, height, width = (b.column(n).to_numpy(zero_copy_only=False) for n in ("image", "height", "width"))
+        gy, gx, score = (b.column(n).flatten().to_numpy(zero_copy_only=False) for n in ("gy", "gx", "score"))
+        cells = b.column("gy").value_lengths().to_numpy(zero_copy_only=False)
+        if not len(image):
+            continue
+        owner, starts = np.repeat(np.arange(len(image)), cells), np.cumsum(cells) - cells
+        shape = np.stack([height, width, np.maximum.reduceat(gy, starts) + 1, np.maximum.reduceat(gx, starts) + 1], axis=1)
+        shapes, kind = np.unique(shape, axis=0, return_inverse=True)
+        order = np.argsort(kind, kind="stable")
+        cell_order = np.argsort(kind[owner], kind="stable")
+        ends, cell_ends = np.cumsum(np.bincount(kind)), np.cumsum(np.bincount(kind[owner]))
+        for (h, w, grid_h, grid_w), last, n, cell_last, m in zip(shapes.tolist(), ends, np.bincount(kind), cell_ends, np.bincount(kind[owner]), strict=True):
+            mine, own = order[last - n : last], cell_order[cell_last - m : cell_last]
+            grid = np.zeros((n, grid_h, grid_w))
+            grid[np.searchsorted(mine, owner[own]), gy[own], gx[own]] = score[own]
+            (y0, y1, fy), (x0, x1, fx) = axis(h, grid_h), axis(w, grid_w)
+            step = max(1, PIXELS // max(1, h * w))
+            for i in range(0, n, step):
+                some = grid[i : i + step]
+                wide = some[:, :, x0] * (1 - fx) + some[:, :, x1] * fx
+                full = wide[:, y0] * (1 - fy)[:, None] + wide[:, y1] * fy[:, None]
+                rows = len(some) * h
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * np.int32(w)), pa.array(full.ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(image[mine[i : i + step]], h)), pa.array(np.tile(np.arange(h, dtype=np.int32), len(some))), lists], ["image", "y", "scores"])
 
 
 def grid_to_pixels(grid: DataFrame, cell: int = 14) -> DataFrame:
     """image, y, scores: a heat map's pixel rows. grid: image, gy, gx, score, height, width; an image's cells are one row, and bounded."""
     cells = F.array_sort(F.collect_list(F.struct("gy", "gx", "score")))
-    put = grid.groupBy("image").agg(F.max("height").cast("int").alias("height"), F.max("width").cast("int").alias("width"), cells.alias("c"))
-    return put.select("image", "height", "width", "c.gy", "c.gx", "c.score").mapInPandas(partial(pixels_of, cell), "image bigint, y int, scores array<double>")
+    put = grid.groupBy(F.col("image").cast("bigint").alias("image")).agg(F.max("height").cast("int").alias("height"), F.max("width").cast("int").alias("width"), cells.alias("c"))
+    return put.select("image", "height", "width", F.col("c.gy").cast("array<bigint>").alias("gy"), F.col("c.gx").cast("array<bigint>").alias("gx"), F.col("c.score").cast("array<double>").alias("score")).mapInArrow(partial(pixels_of, cell), "image bigint, y int, scores array<double>")

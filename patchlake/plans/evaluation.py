@@ -184,7 +184,7 @@ select p.image, p.y::int as y, round(sum(score * greatest(0, 1 - abs(v - gy)) *
 def o64_grid_to_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Heat maps of four pixels to a cell; each row's total."""
     t = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("image"), F.col("l_linenumber").alias("gy"), (F.col("l_suppkey") % 9).alias("gx"), F.col("l_extendedprice").alias("score"))
-    cells = t.groupBy("image", "gy", "gx").agg(F.max("score").alias("score"))
+    cells = e.by_image(t).groupBy("image", "gy", "gx").agg(F.max("score").alias("score"))
     sizes = cells.groupBy("image").agg(((F.max("gy") + 1) * 4 - 3).alias("height"), ((F.max("gx") + 1) * 4 + 5).alias("width"))
     pixels = e.grid_to_pixels(cells.join(sizes, "image"), 4)
     return pixels.select("image", "y", F.round(F.aggregate("scores", F.lit(0.0), lambda a, x: a + x), 8).alias("total"))
