@@ -29,7 +29,9 @@ from patchlake.sources.shared import materialise
 
 IGNORED = 255
 #: Side of a tile in pixels; rows that are labelled at once, about.
-TILE, TOGETHER = 512, 1 << 19
+TILE, TOGETHER = 512, 1 << 17
+#: Pixels of masks that are morphed together.
+CELLS = 1 << 20
 #: Parts with another area than in their tile are sent to tasks up to this number, and joined by a shuffle beyond it.
 SENT_PARTS = 500_000
 
@@ -190,35 +192,54 @@ def size_filter(pixels: DataFrame, least: int, most: int = 0, side: int = TILE)
     return out.unionByName(pixels.where(~known(pixels)))
 
 
-def spread(mask: np.ndarray, side: int, largest: bool) -> np.ndarray:
-    """Largest or smallest value in a square around each pixel; outside counts as no pixel."""
+def spread(masks: np.ndarray, side: int, largest: bool) -> np.ndarray:
+    """Largest or smallest value in a square around each pixel of each mask; outside counts as no pixel."""
     r, fold = side // 2, np.maximum if largest else np.minimum
-    for axis in (0, 1):
-        pad = [(r, r) if a == axis else (0, 0) for a in (0, 1)]
-        wide = np.pad(mask, pad, constant_values=not largest)
-        mask = fold.reduce([np.take(wide, np.arange(i, i + mask.shape[axis]), axis=axis) for i in range(side)])
-    return mask
+    for axis in (1, 2):
+        wide = np.pad(masks, [(r, r) if a == axis else (0, 0) for a in range(3)], constant_values=not largest)
+        parts = (np.take(wide, np.arange(i, i + masks.shape[axis]), axis=axis) for i in range(side))
+        out = next(parts)
+        for p in parts:
+            fold(out, p, out=out)
+        masks = out
+    return masks
+
+
+def morphed(masks: np.ndarray, kind: str, square: int) -> np.ndarray:
+    """The masks (number, line, column) of one shape with their new classes."""
+    new = np.zeros_like(masks)
+    for c in np.unique(masks[masks > 0]):  # a higher class wins
+        has = np.flatnonzero((masks == c).any(axis=(1, 2)))
+        here = masks[has] == c
+        for step in kind.split("_"):
+            here = spread(spread(here, square, step == "close"), square, step != "close")
+        new[has] = np.where(here, c, new[has])
+    return new
 
 
 def morphed_rows(kind: str, square: int, side: int, reach: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The tiles' own pixels with their new class; pixels of tiles around them only lend their class."""
+    """The tiles' own pixels with their new class; pixels of tiles around them only lend their class. Tiles of one shape are morphed together."""
     for t, tile in whole_tiles(batches, TOGETHER):
         y, x, cls, own, *box = (t.column(n).to_numpy(zero_copy_only=False) for n in ("y", "x", "class", "own", "ty", "tx", "y0", "x0", "y1", "x1"))
         out = np.empty(len(y), np.int64)
-        starts = np.append(np.flatnonzero(np.diff(tile, prepend=-1)), len(tile))
-        for i, j in zip(starts, starts[1:], strict=False):
-            ty, tx, y0, x0, y1, x1 = (int(v[i]) for v in box)
-            top, left = max(y0, ty * side - reach), max(x0, tx * side - reach)
-            mask = np.zeros((min(y1, (ty + 1) * side - 1 + reach) - top + 1, min(x1, (tx + 1) * side - 1 + reach) - left + 1), np.int64)
-            at = y[i:j] - top, x[i:j] - left
-            np.maximum.at(mask, at, cls[i:j])
-            new = np.zeros_like(mask)
-            for c in np.unique(mask[mask > 0]):  # a higher class wins
-                here = mask == c
-                for step in kind.split("_"):
-                    here = spread(spread(here, square, step == "close"), square, step != "close")
-                new[here] = c
-            out[i:j] = new[at]
+        first = np.flatnonzero(np.diff(tile, prepend=-1))
+        ty, tx, y0, x0, y1, x1 = (v[first].astype(np.int64) for v in box)
+        top, left = np.maximum(y0, ty * side - reach), np.maximum(x0, tx * side - reach)
+        shape = np.stack([np.minimum(y1, (ty + 1) * side - 1 + reach) - top + 1, np.minimum(x1, (tx + 1) * side - 1 + reach) - left + 1], axis=1)
+        shapes, which = np.unique(shape, axis=0, return_inverse=True)
+        rows = np.argsort(which[tile], kind="stable")  # by shape, then tile
+        row_ends, tiles, tile_ends = np.cumsum(np.bincount(which[tile])), np.argsort(which, kind="stable"), np.cumsum(np.bincount(which))
+        for (h, w), row_end, m, tile_end, n in zip(shapes.tolist(), row_ends, np.bincount(which[tile]), tile_ends, np.bincount(which), strict=True):
+            mine, at = tiles[tile_end - n : tile_end], rows[row_end - m : row_end]
+            place = np.searchsorted(mine, tile[at])
+            step = max(1, CELLS // (h * w))
+            for i in range(0, n, step):
+                lo, hi = np.searchsorted(place, [i, i + step])
+                some, of = at[lo:hi], place[lo:hi] - i
+                spot = of, y[some] - top[tile[some]], x[some] - left[tile[some]]
+                masks = np.zeros((min(step, n - i), h, w), np.int64)
+                np.maximum.at(masks, spot, cls[some])
+                out[some] = morphed(masks, kind, square)[spot]
         yield pa.RecordBatch.from_arrays([t.column("kept").combine_chunks().filter(pa.array(own)), pa.array(out[own])], ["kept", "morphed"])
 
 
