@@ -3,8 +3,8 @@
 The bank is written once to the shared folder in blocks of bounded bytes, each
 with a bounded number of rows. Queries are dealt out evenly once. Tasks take batches
 of them and go over the blocks one after the other, keeping the k smallest distances
-so far; so a task holds one block, one batch and two tiles of distances, the bank is
-read once for each batch, and neither side is broadcast or gathered.
+so far; so a task holds one block, one batch and a small tile of distances, however many
+rows there are; the bank is read once for each batch, and neither side is broadcast or gathered.
 
 Distances are Euclidean, as |q|^2 + |b|^2 - 2qb in double precision. Rows of the
 query's own entry, or of its own non-empty group, can be left out. With fewer
@@ -29,8 +29,10 @@ from patchlake.sources.shared import scratch_path
 
 BLOCK_BYTES = 16 << 20
 BATCH = 8192
-#: A matrix of distances, of some queries to one block, has so many bytes at most.
-TILE_BYTES = 16 << 20
+#: Rows of a block that are decoded together.
+READ_ROWS = 4096
+#: A matrix of distances, of some queries to some rows of a block, has so many bytes at most and, in a scan, so many columns.
+TILE_BYTES, WIDE = 2 << 20, 1024
 #: Rounding error of a squared distance, as a share of the squared length.
 NOISE = 64 * np.finfo(np.float64).eps
 
@@ -56,16 +58,19 @@ def vectors(batch: pd.DataFrame) -> np.ndarray:
 
 def read_block(path: str, block: int) -> dict:
     where, root = fs.FileSystem.from_uri(path if "://" in path else "file://" + path)
-    found = ds.dataset(f"{root}/block={block}", filesystem=where, format="parquet").to_table()
-    out = {c: found.column(c).to_pandas() for c in found.column_names if c != "vec"}
-    parts = [c for c in found.column("vec").chunks if len(c)]
-    width = len(parts[0][0]) if parts else 1
-    out["vec"] = np.empty((len(found), width))
-    at = 0
-    for c in parts:  # no second copy of the whole block
-        out["vec"][at : at + len(c)] = c.flatten().to_numpy(zero_copy_only=False).reshape(len(c), width)
-        at += len(c)
-    del found, parts
+    found = ds.dataset(f"{root}/block={block}", filesystem=where, format="parquet")
+    names = [c for c in found.schema.names if c != "vec"]
+    vec, at, others = np.empty((found.count_rows(), 0)), 0, []
+    for b in found.to_batches(batch_size=READ_ROWS, batch_readahead=1, fragment_readahead=1, use_threads=False):  # no second copy of the whole block
+        if b.num_rows:
+            part = b.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            vec = vec if at else np.empty((len(vec), part.shape[1]))
+            vec[at : at + len(part)] = part
+            at += len(part)
+            others.append(b.select(names))
+    held = pa.Table.from_batches(others, pa.schema([found.schema.field(c) for c in names]))
+    out = {c: held.column(c).to_pandas() for c in names} | {"vec": vec}
+    del found, held, others
     pa.default_memory_pool().release_unused()
     out["norm"] = norms(out["vec"])
     if "grp" in out:  # numbers of the sorted names
@@ -78,22 +83,41 @@ def norms(x: np.ndarray, step: int = 4096) -> np.ndarray:
     return np.concatenate([np.zeros(0), *[(x[i : i + step] ** 2).sum(axis=1) for i in range(0, len(x), step)]])
 
 
-def left_out(batch: pd.DataFrame, block: dict, leave_out: str) -> np.ndarray | None:
-    """Which pairs don't count: own entry, or own entry and own group."""
+def tiles(rows: int, columns: int) -> Iterator[tuple[slice, slice]]:
+    """The matrix of so many rows and columns in parts of at most TILE_BYTES."""
+    high = max(1, TILE_BYTES // (8 * max(1, min(WIDE, columns))))
+    for i in range(0, rows, high):
+        for j in range(0, columns, WIDE):
+            yield slice(i, min(i + high, rows)), slice(j, min(j + WIDE, columns))
+
+
+def left_out(leave_out: str, batch: pd.DataFrame, block: dict) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Numbers of own entry and own group, as asked: each query's (-1: not in the block, or none) and each row's. Pairs with one number don't count."""
     if leave_out == "none":
-        return None
-    own = batch["entry"].to_numpy()[:, None] == block["entry"].to_numpy()[None, :]
+        return []
+    codes, entries = pd.factorize(block["entry"], sort=True)
+    keys = [(pd.Index(entries).get_indexer(batch["entry"]), codes)]
     if leave_out == "group":
         mine, names = batch["grp"].fillna("").to_numpy(str), block["names"]
         at = np.minimum(np.searchsorted(names, mine), len(names) - 1)
-        own |= np.where((names[at] == mine) & (mine != ""), at, -1)[:, None] == block["grp"][None, :]
-    return own
+        keys.append((np.where((names[at] == mine) & (mine != ""), at, -1), block["grp"]))
+    return keys
+
+
+def leave(d: np.ndarray, keys: list[tuple[np.ndarray, np.ndarray]], rows: slice, columns: slice) -> None:
+    """Put infinity where a query and a row have one number; only queries within the tile's range of numbers are compared."""
+    for mine, theirs in keys:
+        own, other = mine[rows], theirs[columns]
+        some = np.flatnonzero((own >= max(0, other.min())) & (own <= other.max()))
+        at, column = np.nonzero(own[some, None] == other[None, :])
+        d[some[at], column] = np.inf
 
 
 def squares(q: np.ndarray, square: np.ndarray, vec: np.ndarray, norm: np.ndarray) -> np.ndarray:
-    """Squared distances, in two matrices of that size at most; rounding may leave some just below 0."""
-    d = square[:, None] + norm[None, :]
-    d -= 2 * q @ vec.T
+    """Squared distances, in one matrix of that size; rounding may leave some just below 0."""
+    d = (-2 * q) @ vec.T
+    d += norm[None, :]
+    d += square[:, None]
     return d
 
 
@@ -102,8 +126,8 @@ def settled(best: np.ndarray, square: np.ndarray) -> np.ndarray:
     return np.sqrt(np.where(best > NOISE * square[:, None], best, 0))
 
 
-def distances(q: np.ndarray, block: dict) -> np.ndarray:
-    d = squares(q, (q**2).sum(axis=1), block["vec"], block["norm"])
+def distances(q: np.ndarray, square: np.ndarray, vec: np.ndarray, norm: np.ndarray) -> np.ndarray:
+    d = squares(q, square, vec, norm)
     np.maximum(d, 0, out=d)
     return np.sqrt(d, out=d)
 
@@ -112,8 +136,8 @@ def keep_least(best: np.ndarray, d: np.ndarray) -> None:
     """Put the least of both into `best`, in each row; changes d."""
     k = best.shape[1]
     closer = d < best.max(axis=1)[:, None]
-    many = closer.sum(axis=1)
-    if many.max(initial=0) <= 8 * k:  # mostly so after the first block
+    many = np.count_nonzero(closer, axis=1)
+    if many.max(initial=0) <= 8 * k:  # mostly so after the first tiles
         rows = np.flatnonzero(many)
         for i in rows:
             best[i] = np.partition(np.concatenate([best[i], d[i, closer[i]]]), k - 1)[:k]
@@ -124,7 +148,7 @@ def keep_least(best: np.ndarray, d: np.ndarray) -> None:
 
 
 def mean_rows(path: str, blocks: int, k: int, leave_out: str, keep: list[str], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    held = read_block(path, 0) if blocks == 1 else None
+    held = by_entry(read_block(path, 0)) if blocks == 1 else None
     for whole in batches:
         for at in range(0, len(whole), BATCH):
             batch = whole.iloc[at : at + BATCH]
@@ -132,14 +156,12 @@ def mean_rows(path: str, blocks: int, k: int, leave_out: str, keep: list[str], b
             square = norms(q)
             best = np.full((len(batch), k), np.inf)
             for b in range(blocks):
-                block = held or read_block(path, b)
-                step = max(1, TILE_BYTES // (8 * max(1, len(block["vec"]))))
-                for i in range(0, len(batch), step):
-                    d = squares(q[i : i + step], square[i : i + step], block["vec"], block["norm"])
-                    out = left_out(batch.iloc[i : i + step], block, leave_out)
-                    if out is not None:
-                        d[out] = np.inf
-                    keep_least(best[i : i + step], d)
+                block = held or by_entry(read_block(path, b))
+                keys = left_out(leave_out, batch, block)
+                for rows, columns in tiles(len(q), len(block["vec"])):
+                    d = squares(q[rows], square[rows], block["vec"][columns], block["norm"][columns])
+                    leave(d, keys, rows, columns)
+                    keep_least(best[rows], d)
             best = settled(best, square)
             found = np.isfinite(best)
             n = found.sum(axis=1)
@@ -160,10 +182,19 @@ def nearest_mean(queries: DataFrame, bank: DataFrame, k: int = 5, leave_out: str
     return dealt(queries.select(*used)).mapInPandas(partial(mean_rows, path, blocks, k, leave_out, keep), schema)
 
 
+def ordered(block: dict, order: np.ndarray) -> dict:
+    return {c: x if c == "names" else x[order] if isinstance(x, np.ndarray) else x.iloc[order].reset_index(drop=True) for c, x in block.items()}
+
+
+def by_entry(block: dict) -> dict:
+    """The block in the order of entries, so that few tiles hold an entry's rows."""
+    return ordered(block, np.argsort(pd.factorize(block["entry"], sort=True)[0], kind="stable"))
+
+
 def by_label(block: dict) -> dict:
     """The block in the order of labels and ids, and where each label's rows lie."""
     order = np.lexsort((block["id"].to_numpy(), codes := pd.factorize(block["label"], use_na_sentinel=False)[0]))
-    out = {c: x[order] if isinstance(x, np.ndarray) else x.iloc[order].reset_index(drop=True) for c, x in block.items() if c != "names"} | {c: block[c] for c in ("names",) if c in block}
+    out = ordered(block, order)
     ends = np.flatnonzero(np.diff(codes[order], append=-1)) + 1
     return out | {"own": list(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)) if len(order) else []}
 
@@ -174,24 +205,28 @@ def label_rows(path: str, blocks: int, leave_out: str, keep: list[str], batches:
         for at in range(0, len(whole), BATCH):
             batch = whole.iloc[at : at + BATCH]
             q = vectors(batch)
+            square = norms(q)
             best: dict[str, tuple[np.ndarray, np.ndarray]] = {}
             for b in range(blocks):
                 block = held or by_label(read_block(path, b))
                 labels, ids = block["label"].to_numpy(), block["id"].to_numpy()
-                step = max(1, TILE_BYTES // (8 * max(1, len(ids))))
-                for i in range(0, len(batch), step):
-                    d = distances(q[i : i + step], block)
-                    if "weight" in block:
-                        d /= (block["weight"].to_numpy() + 1e-6)[None, :]
-                    out = left_out(batch.iloc[i : i + step], block, leave_out)
-                    if out is not None:
-                        d[out] = np.inf
-                    for start, end in block["own"]:
-                        at_best = d[:, start:end].argmin(axis=1)  # the smallest id of equals
-                        near, where = d[np.arange(len(d)), start + at_best], ids[start + at_best]
+                weight = block["weight"].to_numpy() + 1e-6 if "weight" in block else None
+                keys, last = left_out(leave_out, batch, block), np.array([end for _, end in block["own"]])
+                for rows, columns in tiles(len(q), len(ids)):
+                    d = distances(q[rows], square[rows], block["vec"][columns], block["norm"][columns])
+                    if weight is not None:
+                        d /= weight[None, columns]
+                    leave(d, keys, rows, columns)
+                    first = int(np.searchsorted(last, columns.start, "right"))
+                    for start, end in block["own"][first:]:
+                        if start >= columns.stop:
+                            break
+                        start, end = max(start, columns.start), min(end, columns.stop)  # noqa: PLW2901
+                        at_best = d[:, start - columns.start : end - columns.start].argmin(axis=1)  # the smallest id of equals
+                        near, where = d[np.arange(len(d)), start - columns.start + at_best], ids[start + at_best]
                         if labels[start] not in best:
                             best[labels[start]] = np.full(len(q), np.inf), np.full(len(q), np.iinfo(np.int64).max)
-                        old, place = (x[i : i + step] for x in best[labels[start]])
+                        old, place = (x[rows] for x in best[labels[start]])
                         closer = (near < old) | ((near == old) & (where < place))
                         old[closer], place[closer] = near[closer], where[closer]
             for label, (near, where) in best.items():

@@ -34,3 +34,43 @@ def test_queries_of_one_partition_are_dealt_out(bank):
     df = bank[0].limit(200).coalesce(1)
     assert knn.nearest_mean(df, df, keep=["id"]).rdd.getNumPartitions() > 4
     assert knn.label_nearest(df, df, keep=["row"]).rdd.getNumPartitions() > 4
+
+
+def peak_of(run) -> float:
+    tracemalloc.start()
+    list(run())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return peak
+
+
+@pytest.mark.parametrize("by_label", [False, True])
+def test_a_tile_is_small_whatever_the_block(bank, by_label):
+    df, rows = bank
+    path, blocks = knn.write_blocks(df)
+    some = rows.iloc[:1500]
+    scan = lambda: knn.label_rows(path, blocks, "group", ["id"], iter([some])) if by_label else knn.mean_rows(path, blocks, 5, "group", ["id"], iter([some]))
+    assert blocks == 1 and peak_of(scan) < 30e6
+
+
+@pytest.mark.parametrize("leave_out", ["none", "entry", "group"])
+def test_tiles_and_blocks_leave_the_same_rows_out(spark, monkeypatch, leave_out):
+    monkeypatch.setattr(knn, "WIDE", 7)
+    monkeypatch.setattr(knn, "TILE_BYTES", 8 * 7 * 3)
+    x = np.random.default_rng(8).normal(size=(300, 4))
+    x[200:] = x[:100]  # equal rows of other entries
+    rows = pd.DataFrame({"id": range(300), "entry": np.arange(300) * 7 % 40, "row": range(300), "grp": [["", "a", "b", "c"][i % 4] for i in range(300)], "label": [f"l{i % 5}" for i in range(300)], "vec": x.tolist()})
+    path, blocks = knn.write_blocks(spark.createDataFrame(rows, SCHEMA.replace("row int", "row bigint")), 10_000)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    entry, grp = rows["entry"].to_numpy(), rows["grp"].to_numpy()
+    out = np.zeros((300, 300), bool) if leave_out == "none" else entry[:, None] == entry[None]
+    if leave_out == "group":
+        out |= (grp[:, None] == grp[None]) & (grp != "")[:, None]
+    d[out] = np.inf
+    got = pd.concat(knn.mean_rows(path, blocks, 5, leave_out, ["id"], iter([rows])))
+    assert blocks > 1 and np.allclose(got["score"].to_numpy(float), np.sort(d, axis=1)[:, :5].mean(axis=1), atol=1e-9)
+    near = pd.concat(knn.label_rows(path, blocks, leave_out, ["id"], iter([rows]))).sort_values(["label", "id"])
+    for label, own in near.groupby("label"):
+        at = np.flatnonzero(rows["label"] == label)
+        least = d[:, at].min(axis=1)
+        assert np.array_equal(own["id"], np.flatnonzero(np.isfinite(least))) and np.allclose(own["distance"], least[own["id"]], atol=1e-6)
