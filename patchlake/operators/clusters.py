@@ -15,13 +15,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from patchlake.operators.knn import TILE_BYTES, norms, read_block, squares, vectors, write_blocks
+from patchlake.operators.knn import norms, read_block, squares, vectors, write_blocks
 
 LEAST_ROWS, GROWTH, ROUNDS, NPROBE = 20_000, 1.5, 25, 8
 MOST_CLUSTERS, LEAST_CLUSTERS, ROWS_PER_CLUSTER = 1024, 16, 64
 SEED = 42
 #: Rows that a task gives out together.
 SENT_ROWS = 8192
+#: A matrix of distances to all rows of a block has so many bytes at most.
+TILE_BYTES = 8 << 20
 
 
 def n_clusters(rows: int) -> int:

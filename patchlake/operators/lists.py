@@ -36,8 +36,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from patchlake.operators.clusters import MOST_CLUSTERS, NPROBE, ROUNDS, SEED, assign, build, nearest_centers, needs_rebuild, probes
-from patchlake.operators.knn import TILE_BYTES, dealt, keep_least, nearest_mean, norms, settled, squares
+from patchlake.operators.clusters import MOST_CLUSTERS, NPROBE, ROUNDS, SEED, TILE_BYTES, assign, build, nearest_centers, needs_rebuild, probes
+from patchlake.operators.knn import dealt, keep_least, nearest_mean, norms, settled, squares
 from patchlake.sources.shared import materialise, scratch_path
 from patchlake.sources.versions import commit, version
 

@@ -53,6 +53,13 @@ def test_a_tile_is_small_whatever_the_block(bank, by_label):
     assert blocks == 1 and peak_of(scan) < 30e6
 
 
+def test_centers_are_compared_in_small_tiles():
+    from patchlake.operators.clusters import nearest_centers
+
+    x = np.random.default_rng(3).normal(size=(24_000, 8))
+    assert peak_of(lambda: nearest_centers(x[:2000], x, np.arange(len(x)), 1)) < 20e6
+
+
 @pytest.mark.parametrize("leave_out", ["none", "entry", "group"])
 def test_tiles_and_blocks_leave_the_same_rows_out(spark, monkeypatch, leave_out):
     monkeypatch.setattr(knn, "WIDE", 7)
