@@ -141,7 +141,8 @@ def blocks(where: fs.FileSystem, folders: list[str], cluster: int, block_bytes:
         if where.get_file_info(path).type != fs.FileType.Directory:
             continue
         held, size = [], 0
-        for b in ds.dataset(path, filesystem=where, format="parquet").to_batches(batch_size=4096):
+        streamed = ds.ParquetFragmentScanOptions(use_buffered_stream=True, pre_buffer=False)  # else whole row groups of several files are read ahead
+        for b in ds.dataset(path, filesystem=where, format="parquet").to_batches(batch_size=4096, batch_readahead=1, fragment_readahead=1, fragment_scan_options=streamed, use_threads=False):
             held.append(b)
             size += b.nbytes
             if size >= block_bytes:
