@@ -6,7 +6,9 @@ of them and go over the blocks one after the other, keeping the k smallest dista
 so far; so a task holds one block, one batch and a small tile of distances, however many
 rows there are; the bank is read once for each batch, and neither side is broadcast or gathered.
 
-Distances are Euclidean, as |q|^2 + |b|^2 - 2qb in double precision. Rows of the
+Distances are Euclidean, as |q|^2 + |b|^2 - 2qb in double precision. For the k nearest, a
+tile in single precision tells first which pairs can't be among them, by a bound on its
+rounding error; all others are computed in double precision. Rows of the
 query's own entry, or of its own non-empty group, can be left out. With fewer
 than k rows left the mean is over those; with none it is null.
 """
@@ -35,6 +37,8 @@ READ_ROWS = 4096
 TILE_BYTES, WIDE = 2 << 20, 1024
 #: Rounding error of a squared distance, as a share of the squared length.
 NOISE = 64 * np.finfo(np.float64).eps
+#: Squared lengths that single precision may be asked about, and what products too small for it add up to at most.
+LARGE, TINY = 1e30, 1e-30
 
 
 def write_blocks(bank: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[str, int]:
@@ -147,21 +151,73 @@ def keep_least(best: np.ndarray, d: np.ndarray) -> None:
     best[:] = np.partition(np.concatenate([best, d[:, :k]], axis=1), k - 1, axis=1)[:, :k]
 
 
+def single(vec: np.ndarray, last: np.ndarray | float) -> np.ndarray:
+    """Vectors in single precision, with one more component."""
+    out = np.empty((len(vec), vec.shape[1] + 1), np.float32)
+    with np.errstate(over="ignore"):  # such rows are compared in double precision
+        out[:, :-1], out[:, -1] = vec, last
+    return out
+
+
+def limits(best: np.ndarray, square: np.ndarray, norm: np.ndarray, width: int) -> np.ndarray:
+    """What -2qb + |b|^2 in single precision is at most, for each query, if a row is closer than the k nearest so far.
+
+    Its error is below 2 (width + 4) 2^-24 (|q|^2 + 2 |b|^2), for any order of sums.
+    """
+    size = square + 2 * norm.max(initial=0)
+    with np.errstate(over="ignore", invalid="ignore"):
+        limit = (best.max(axis=1) - square + 2 * (width + 4) * 2.0**-24 * size + TINY).astype(np.float32)
+        return np.where(size < LARGE, np.nextafter(limit, np.float32(np.inf)), np.float32(np.inf))
+
+
+def put_least(best: np.ndarray, at: np.ndarray, d: np.ndarray) -> None:
+    """Put the least of both into `best`: d are distances of the rows `at`, which are sorted."""
+    rows, own, count = np.unique(at, return_inverse=True, return_counts=True)
+    k = best.shape[1]
+    wide = np.full((len(rows), k + count.max(initial=0)), np.inf)
+    wide[:, :k] = best[rows]
+    wide[own, k + np.arange(len(at)) - (np.cumsum(count) - count)[own]] = d
+    best[rows] = np.partition(wide, k - 1, axis=1)[:, :k]
+
+
+def nearer(best: np.ndarray, q: np.ndarray, square: np.ndarray, q1: np.ndarray, block: dict, keys: list[tuple[np.ndarray, np.ndarray]], rows: slice, columns: slice) -> None:
+    """Put the least distances of a tile into `best`: those of few pairs one by one, else all."""
+    vec, norm, near = block["vec"][columns], block["norm"][columns], best[rows]
+    limit = limits(near, square[rows], norm, q.shape[1])
+    may = q1[rows] @ block["single"][columns].T <= limit[:, None] if np.isfinite(limit).all() else None
+    if may is None or np.count_nonzero(may) > 2 * near.size:  # mostly so in the first tile
+        d = squares(q[rows], square[rows], vec, norm)
+        leave(d, keys, rows, columns)
+        keep_least(near, d)
+        return
+    some = np.flatnonzero(may.any(axis=1))
+    at, column = np.nonzero(may[some])
+    at = some[at]
+    for mine, theirs in keys:
+        other = (mine[rows][at] < 0) | (mine[rows][at] != theirs[columns][column])
+        at, column = at[other], column[other]
+    put_least(near, at, ((q[rows][at] - vec[column]) ** 2).sum(axis=1))
+
+
+def mean_block(path: str, b: int) -> dict:
+    block = by_entry(read_block(path, b))
+    return block | {"single": single(block["vec"], block["norm"])}
+
+
 def mean_rows(path: str, blocks: int, k: int, leave_out: str, keep: list[str], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    held = by_entry(read_block(path, 0)) if blocks == 1 else None
+    held = mean_block(path, 0) if blocks == 1 else None
     for whole in batches:
         for at in range(0, len(whole), BATCH):
             batch = whole.iloc[at : at + BATCH]
             q = vectors(batch)
             square = norms(q)
+            q1 = single(-2 * q, 1)
             best = np.full((len(batch), k), np.inf)
             for b in range(blocks):
-                block = held or by_entry(read_block(path, b))
+                block = held or mean_block(path, b)
                 keys = left_out(leave_out, batch, block)
                 for rows, columns in tiles(len(q), len(block["vec"])):
-                    d = squares(q[rows], square[rows], block["vec"][columns], block["norm"][columns])
-                    leave(d, keys, rows, columns)
-                    keep_least(best[rows], d)
+                    nearer(best, q, square, q1, block, keys, rows, columns)
             best = settled(best, square)
             found = np.isfinite(best)
             n = found.sum(axis=1)
