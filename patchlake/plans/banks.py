@@ -113,7 +113,7 @@ exemplars as (select * from bank where tier = 'critical' and entry % 2 = 0 and s
 def exemplar_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Critical rows, their scores, and the exemplars: heavy rows of annotated (even) entries, hottest rows of the others."""
     rows = bank_rows(spark, sf_dir).where("tier = 'critical'").withColumn("annotated", F.col("entry") % 2 == 0)
-    scores = materialise(scored_rows(spark, sf_dir).where("tier = 'critical'").select("entry", "row", "score"), "scores")
+    scores = materialise(scored_rows(spark, sf_dir, "tier = 'critical'").select("entry", "row", "score"), "scores")
     return rows, scores, exemplar_rows(rows, scores, 4)
 
 

@@ -14,15 +14,15 @@ from patchlake.plans.registry import query
 from patchlake.sources.shared import materialise, table
 
 
-def scored_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every row's leave-own-image-out score against the normal rows."""
+def scored_rows(spark: SparkSession, sf_dir: str, which: str = "true") -> DataFrame:
+    """Every row's leave-own-image-out score against the normal rows, or that of the rows asked for: a condition on the scores would come after the search of all."""
     rows = bank_rows(spark, sf_dir)
-    return nearest_mean(rows, rows.where("tier = 'normal'"), 5, "entry", ["entry", "row", "tier"])
+    return nearest_mean(rows.where(which), rows.where("tier = 'normal'"), 5, "entry", ["entry", "row", "tier"])
 
 
-def evals(spark: SparkSession, sf_dir: str) -> DataFrame:
+def evals(spark: SparkSession, sf_dir: str, which: str = "true") -> DataFrame:
     """entry, tier, patches, score_max, score_mean, score_p99, top (scores only)."""
-    found = e.image_eval(materialise(scored_rows(spark, sf_dir), "scored"), ("entry", "tier"))
+    found = e.image_eval(materialise(scored_rows(spark, sf_dir, which), "scored"), ("entry", "tier"))
     return materialise(found.withColumn("top", F.transform("top", lambda x: x["score"])), "evals")
 
 
