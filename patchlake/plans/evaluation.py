@@ -121,7 +121,7 @@ def o74_stat_with_alpha(spark: SparkSession, sf_dir: str) -> DataFrame:
 f as (select list_min(list_transform(range(1, len(top) + 1), lambda i: top[i] + 20 / (1 + cmin[i]))) as v from c)
 select round(list_sort(list(v))[count(*) // 2 + 1], 6) as ok_floor from f""")
 def o75_patch_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = with_cmin(evals(spark, sf_dir)).where("tier = 'normal'")
+    t = with_cmin(evals(spark, sf_dir, "tier = 'normal'"))
     floors = t.select(patch_floor(F.col("top"), F.col("cmin"), F.col("score_mean"), 20.0).alias("ok_floor"))
     return e.upper_median(floors, "ok_floor").select(F.round("ok_floor", 6).alias("ok_floor"))
 

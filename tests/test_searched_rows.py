@@ -7,7 +7,7 @@ import pytest
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name, share", [("o54_o56_exemplars", 0.2)])
+@pytest.mark.parametrize("name, share", [("o54_o56_exemplars", 0.2), ("o75_patch_floor", 0.6)])
 def test_only_rows_that_are_asked_for_are_searched(spark, monkeypatch, name, share):
     import __spark_entry__
 
