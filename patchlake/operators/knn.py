@@ -6,8 +6,8 @@ of them and go over the blocks one after the other, keeping the k smallest dista
 so far; so a task holds one block, one batch and a small tile of distances, however many
 rows there are; the bank is read once for each batch, and neither side is broadcast or gathered.
 
-Distances are Euclidean, as |q|^2 + |b|^2 - 2qb in double precision. For the k nearest, a
-tile in single precision tells first which pairs can't be among them, by a bound on its
+Distances are Euclidean, as |q|^2 + |b|^2 - 2qb in double precision. A tile in single
+precision tells first which pairs can't be among the nearest, by a bound on its
 rounding error; all others are computed in double precision. Rows of the
 query's own entry, or of its own non-empty group, can be left out. With fewer
 than k rows left the mean is over those; with none it is null.
@@ -39,6 +39,8 @@ TILE_BYTES, WIDE = 2 << 20, 1024
 NOISE = 64 * np.finfo(np.float64).eps
 #: Squared lengths that single precision may be asked about, and what products too small for it add up to at most.
 LARGE, TINY = 1e30, 1e-30
+#: Squared weights that single precision may be asked about: up to so much, and down to one over it.
+SCALES = 1e15
 
 
 def write_blocks(bank: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[str, int]:
@@ -108,12 +110,17 @@ def left_out(leave_out: str, batch: pd.DataFrame, block: dict) -> list[tuple[np.
     return keys
 
 
+def places(true: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of what is true in a matrix, in order; faster than of two dimensions at once."""
+    return np.divmod(np.flatnonzero(true), max(1, true.shape[1]))
+
+
 def leave(d: np.ndarray, keys: list[tuple[np.ndarray, np.ndarray]], rows: slice, columns: slice) -> None:
     """Put infinity where a query and a row have one number; only queries within the tile's range of numbers are compared."""
     for mine, theirs in keys:
         own, other = mine[rows], theirs[columns]
         some = np.flatnonzero((own >= max(0, other.min())) & (own <= other.max()))
-        at, column = np.nonzero(own[some, None] == other[None, :])
+        at, column = places(own[some, None] == other[None, :])
         d[some[at], column] = np.inf
 
 
@@ -151,11 +158,14 @@ def keep_least(best: np.ndarray, d: np.ndarray) -> None:
     best[:] = np.partition(np.concatenate([best, d[:, :k]], axis=1), k - 1, axis=1)[:, :k]
 
 
-def single(vec: np.ndarray, last: np.ndarray | float) -> np.ndarray:
-    """Vectors in single precision, with one more component."""
-    out = np.empty((len(vec), vec.shape[1] + 1), np.float32)
-    with np.errstate(over="ignore"):  # such rows are compared in double precision
-        out[:, :-1], out[:, -1] = vec, last
+def single(vec: np.ndarray, *last: np.ndarray | float) -> np.ndarray:
+    """Vectors in single precision, with more components."""
+    width = vec.shape[1]
+    out = np.empty((len(vec), width + len(last)), np.float32)
+    with np.errstate(over="ignore", invalid="ignore"):  # such rows are compared in double precision
+        out[:, :width] = vec
+        for i, x in enumerate(last):
+            out[:, width + i] = x
     return out
 
 
@@ -191,7 +201,7 @@ def nearer(best: np.ndarray, q: np.ndarray, square: np.ndarray, q1: np.ndarray,
         keep_least(near, d)
         return
     some = np.flatnonzero(may.any(axis=1))
-    at, column = np.nonzero(may[some])
+    at, column = places(may[some])
     at = some[at]
     for mine, theirs in keys:
         other = (mine[rows][at] < 0) | (mine[rows][at] != theirs[columns][column])
@@ -214,6 +224,7 @@ def mean_rows(path: str, blocks: int, k: int, leave_out: str, keep: list[str], b
             q1 = single(-2 * q, 1)
             best = np.full((len(batch), k), np.inf)
             for b in range(blocks):
+                block = None  # the last one goes before the next is read
                 block = held or mean_block(path, b)
                 keys = left_out(leave_out, batch, block)
                 for rows, columns in tiles(len(q), len(block["vec"])):
@@ -248,43 +259,103 @@ def by_entry(block: dict) -> dict:
 
 
 def by_label(block: dict) -> dict:
-    """The block in the order of labels and ids, and where each label's rows lie."""
+    """The block in the order of labels and ids, and where each label's rows lie; without rows that have no distance (NaN, too large, no weight)."""
     order = np.lexsort((block["id"].to_numpy(), codes := pd.factorize(block["label"], use_na_sentinel=False)[0]))
+    fine = np.isfinite(block["norm"]) & (block["weight"].notna().to_numpy() if "weight" in block else True)
+    order = order[fine[order]]
     out = ordered(block, order)
     ends = np.flatnonzero(np.diff(codes[order], append=-1)) + 1
     return out | {"own": list(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)) if len(order) else []}
 
 
+def slack(width: int) -> float:
+    """Rounding error of `lower`, as a share of (|q|^2 + 2 |b|^2) / weight^2: twice what inputs, products and sums in any order can make."""
+    return 4 * (width + 8) * 2.0**-24
+
+
+def label_block(path: str, b: int) -> dict:
+    """The block by label, with weights; where single precision may be asked about its rows, so that products with `label_queries` are `lower`: at most (distance / weight)^2."""
+    block = by_label(read_block(path, b))
+    vec, norm = block["vec"], block["norm"]
+    weight = block["weight"].to_numpy(np.float64) + 1e-6 if "weight" in block else np.ones(len(vec))
+    with np.errstate(divide="ignore", over="ignore", invalid="ignore"):
+        inverse = weight**-2.0
+        may = (weight > 0) & (inverse > 1 / SCALES) & (inverse < SCALES) & (norm < LARGE) & (norm * inverse < LARGE)
+    out = block | {"weight": weight, "inverse": inverse, "single": None}
+    if may.all():
+        out["single"] = single(vec, norm * inverse * (1 - 2 * slack(vec.shape[1])), inverse)
+        out["single"][:, : vec.shape[1]] *= inverse[:, None]
+    return out
+
+
+def label_queries(q: np.ndarray, square: np.ndarray) -> np.ndarray:
+    return single(-2 * q, 1, square * (1 - slack(q.shape[1])))
+
+
+def least_of(low: np.ndarray, near: np.ndarray, q: np.ndarray, square: np.ndarray, block: dict, start: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Queries that may have a row as near as `near` among those from start to end, their least distance there and its row, the first of equals. low: `lower`, infinite where left out."""
+    vec, norm, weight, inverse = (block[c][start:end] for c in ("vec", "norm", "weight", "inverse"))
+    first = low.argmin(axis=1)
+    own = low[np.arange(len(low)), first]
+    with np.errstate(over="ignore"):
+        most = own + 2 * slack(q.shape[1]) * (square + 2 * norm[first]) * inverse[first]  # that row is no farther
+        limit = np.nextafter((np.minimum(most, near**2 * (1 + 1e-9)) + 10 * TINY).astype(np.float32), np.float32(np.inf))
+    some = np.flatnonzero((own <= limit) & (own < np.inf))
+    may = low[some] <= limit[some, None]
+    if np.count_nonzero(may) > 4 * len(some):  # many equal rows
+        d = distances(q[some], square[some], vec, norm) / weight
+        d[~may] = np.inf
+        at, column = np.arange(len(some)), d.argmin(axis=1)
+    else:
+        at, column = places(may)
+    d = np.sqrt(((q[some[at]] - vec[column]) ** 2).sum(axis=1)) / weight[column]
+    order = np.lexsort((d, at))  # stable: rows of equals stay in order
+    order = order[np.flatnonzero(np.diff(at[order], prepend=-1))]
+    return some[at[order]], d[order], start + column[order]
+
+
+def label_tile(best: dict[str, tuple[np.ndarray, np.ndarray]], q: np.ndarray, square: np.ndarray, q1: np.ndarray, block: dict, keys: list[tuple[np.ndarray, np.ndarray]], rows: slice, columns: slice) -> None:
+    """Put each label's least distance in a tile, and its id, into `best`; single precision tells first which pairs can't be."""
+    labels, ids, weight = block["label"].to_numpy(), block["id"].to_numpy(), block["weight"]
+    low = None
+    if block["single"] is not None and square[rows].max() * max(1, block["inverse"][columns].max()) < LARGE:
+        low = q1[rows] @ block["single"][columns].T
+    d = low if low is not None else distances(q[rows], square[rows], block["vec"][columns], block["norm"][columns]) / weight[None, columns]
+    leave(d, keys, rows, columns)
+    first = int(np.searchsorted(np.array([end for _, end in block["own"]]), columns.start, "right"))
+    for start, end in block["own"][first:]:
+        if start >= columns.stop:
+            break
+        start, end = max(start, columns.start), min(end, columns.stop)  # noqa: PLW2901
+        if labels[start] not in best:
+            best[labels[start]] = np.full(len(q), np.inf), np.full(len(q), np.iinfo(np.int64).max)
+        old, place = (x[rows] for x in best[labels[start]])
+        part = d[:, start - columns.start : end - columns.start]
+        if low is not None:
+            at, near, where = least_of(part, old, q[rows], square[rows], block, start, end)
+        else:
+            at, where = np.arange(len(d)), start + part.argmin(axis=1)
+            near = part[at, where - start]
+        where = ids[where]  # the smallest id of equals
+        closer = (near < old[at]) | ((near == old[at]) & (where < place[at]))
+        old[at[closer]], place[at[closer]] = near[closer], where[closer]
+
+
 def label_rows(path: str, blocks: int, leave_out: str, keep: list[str], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    held = by_label(read_block(path, 0)) if blocks == 1 else None
+    held = label_block(path, 0) if blocks == 1 else None
     for whole in batches:
         for at in range(0, len(whole), BATCH):
             batch = whole.iloc[at : at + BATCH]
             q = vectors(batch)
             square = norms(q)
+            q1 = label_queries(q, square)
             best: dict[str, tuple[np.ndarray, np.ndarray]] = {}
             for b in range(blocks):
-                block = held or by_label(read_block(path, b))
-                labels, ids = block["label"].to_numpy(), block["id"].to_numpy()
-                weight = block["weight"].to_numpy() + 1e-6 if "weight" in block else None
-                keys, last = left_out(leave_out, batch, block), np.array([end for _, end in block["own"]])
-                for rows, columns in tiles(len(q), len(ids)):
-                    d = distances(q[rows], square[rows], block["vec"][columns], block["norm"][columns])
-                    if weight is not None:
-                        d /= weight[None, columns]
-                    leave(d, keys, rows, columns)
-                    first = int(np.searchsorted(last, columns.start, "right"))
-                    for start, end in block["own"][first:]:
-                        if start >= columns.stop:
-                            break
-                        start, end = max(start, columns.start), min(end, columns.stop)  # noqa: PLW2901
-                        at_best = d[:, start - columns.start : end - columns.start].argmin(axis=1)  # the smallest id of equals
-                        near, where = d[np.arange(len(d)), start - columns.start + at_best], ids[start + at_best]
-                        if labels[start] not in best:
-                            best[labels[start]] = np.full(len(q), np.inf), np.full(len(q), np.iinfo(np.int64).max)
-                        old, place = (x[rows] for x in best[labels[start]])
-                        closer = (near < old) | ((near == old) & (where < place))
-                        old[closer], place[closer] = near[closer], where[closer]
+                block = None  # the last one goes before the next is read
+                block = held or label_block(path, b)
+                keys = left_out(leave_out, batch, block) if block["own"] else []
+                for rows, columns in tiles(len(q), len(block["vec"])):
+                    label_tile(best, q, square, q1, block, keys, rows, columns)
             for label, (near, where) in best.items():
                 found = np.isfinite(near)
                 yield batch.loc[found, keep].assign(label=label, distance=near[found], nearest=where[found])
