@@ -78,10 +78,15 @@ def read_block(path: str, block: int) -> dict:
     out = {c: held.column(c).to_pandas() for c in names} | {"vec": vec}
     del found, held, others
     pa.default_memory_pool().release_unused()
-    out["norm"] = norms(out["vec"])
-    if "grp" in out:  # numbers of the sorted names
-        out["names"], out["grp"] = np.unique(out["grp"].fillna("").to_numpy(str), return_inverse=True)
-    return out
+    return measured(out)
+
+
+def measured(block: dict) -> dict:
+    """The block with squared lengths and, for names of groups, their numbers among the sorted names."""
+    block["norm"] = norms(block["vec"])
+    if "grp" in block:
+        block["names"], block["grp"] = np.unique(block["grp"].fillna("").to_numpy(str), return_inverse=True)
+    return block
 
 
 def norms(x: np.ndarray, step: int = 4096) -> np.ndarray:
@@ -209,11 +214,24 @@ def nearer(best: np.ndarray, q: np.ndarray, square: np.ndarray, q1: np.ndarray,
     put_least(near, at, ((q[rows][at] - vec[column]) ** 2).sum(axis=1))
 
 
-def mean_block(path: str, b: int) -> dict:
-    block = by_entry(read_block(path, b))
+def prepared(block: dict) -> dict:
+    """A block as `nearer` takes it."""
+    block = by_entry(block)
     return block | {"single": single(block["vec"], block["norm"])}
 
 
+def mean_block(path: str, b: int) -> dict:
+    return prepared(read_block(path, b))
+
+
+def means(best: np.ndarray, square: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mean distance and number of the rows found, from squared distances."""
+    best = settled(best, square)
+    found = np.isfinite(best)
+    n = found.sum(axis=1)
+    return np.where(found, best, 0).sum(axis=1) / np.maximum(n, 1), n
+
+
 def mean_rows(path: str, blocks: int, k: int, leave_out: str, keep: list[str], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     held = mean_block(path, 0) if blocks == 1 else None
     for whole in batches:
@@ -229,10 +247,7 @@ def mean_rows(path: str, blocks: int, k: int, leave_out: str, keep: list[str], b
                 keys = left_out(leave_out, batch, block)
                 for rows, columns in tiles(len(q), len(block["vec"])):
                     nearer(best, q, square, q1, block, keys, rows, columns)
-            best = settled(best, square)
-            found = np.isfinite(best)
-            n = found.sum(axis=1)
-            mean = np.where(found, best, 0).sum(axis=1) / np.maximum(n, 1)
+            mean, n = means(best, square)
             yield batch[keep].assign(score=pd.Series(np.where(n > 0, mean, np.nan), index=batch.index).astype("Float64").mask(n == 0))
     del held
     pa.default_memory_pool().release_unused()

@@ -16,6 +16,10 @@ repeated too often: tasks then take batches of queries over all lists, each list
 probe it, and with as many probes as clusters the search is the full scan. Queries for which no row is left
 are searched in the whole bank.
 
+`exact_mean` is the full scan's answer for rows that cluster: the bank is dealt to regions about centers drawn
+far from each other, and a query leaves out a region if the triangle inequality says that each of its rows is farther than the k
+nearest so far. Centers decide the time only, never the rows; without clusters nearly all regions are read, which is slower than `nearest_mean`.
+
 Defined cases: an index without rows answers null; queries with one id are one query; ties don't
 matter, as only distances are given; fewer than k rows give the mean over these; clusters
 without rows have no list.
@@ -29,6 +33,7 @@ from dataclasses import dataclass
 from functools import partial, reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.dataset as ds
 import pyarrow.fs as fs
@@ -36,8 +41,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from patchlake.operators.clusters import MOST_CLUSTERS, NPROBE, ROUNDS, SEED, TILE_BYTES, assign, build, nearest_centers, needs_rebuild, probes
-from patchlake.operators.knn import dealt, keep_least, nearest_mean, norms, settled, squares
+from patchlake.operators.clusters import MOST_CLUSTERS, NPROBE, ROUNDS, SEED, TILE_BYTES, assign, build, n_clusters, nearest_centers, needs_rebuild, probes
+from patchlake.operators.knn import dealt, keep_least, left_out, means, measured, nearer, nearest_mean, norms, prepared, settled, single, squares, tiles, vectors
 from patchlake.sources.shared import materialise, scratch_path
 from patchlake.sources.versions import commit, version
 
@@ -49,6 +54,8 @@ FILE_ROWS = 1 << 17
 GROUP, SAMPLED = 1 << 16, 100_000
 #: Queries that go over a list together, and bytes of a list's block.
 TOGETHER, BLOCK_BYTES = 8192, 16 << 20
+#: Bytes of sampled rows among which centers of regions are drawn.
+DRAWN_BYTES = 8 << 20
 
 
 @dataclass
@@ -222,6 +229,23 @@ def scanned(where_path: str, folders: list[str], centers: np.ndarray, ids: np.nd
     pa.default_memory_pool().release_unused()
 
 
+def by_cluster(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
+    """Some rows of one cluster at a time, of batches ordered by cluster."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        clusters = b.column("cluster").to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(clusters)) + 1).tolist(), len(clusters)]
+        for i, j in zip(cuts, cuts[1:], strict=False):
+            if i == j:
+                continue
+            if held and (held[0].column("cluster")[0].as_py() != clusters[i] or sum(h.num_rows for h in held) >= TOGETHER):
+                yield held[0].column("cluster")[0].as_py(), pa.Table.from_batches(held)
+                held = []
+            held.append(b.slice(i, j - i))
+    if held:
+        yield held[0].column("cluster")[0].as_py(), pa.Table.from_batches(held)
+
+
 def searched(where_path: str, folders: list[str], k: int, leave_out: str, block_bytes: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """id and the k smallest distances of each query in its list. batches: cluster, id, entry, grp, vec, ordered by cluster."""
     where, _ = fs.FileSystem.from_uri(where_path)
@@ -246,33 +270,25 @@ def searched(where_path: str, folders: list[str], k: int, leave_out: str, block_
             improved(best, np.arange(len(q)), q, square, asked, b, leave_out)
         return answers(asked, settled(best, square))
 
-    held: list[pa.RecordBatch] = []
-    for b in batches:
-        clusters = b.column("cluster").to_numpy()
-        cuts = [0, *(np.flatnonzero(np.diff(clusters)) + 1).tolist(), len(clusters)]
-        for i, j in zip(cuts, cuts[1:], strict=False):
-            if i == j:
-                continue
-            if held and (held[0].column("cluster")[0].as_py() != clusters[i] or sum(h.num_rows for h in held) >= TOGETHER):
-                yield answer(held[0].column("cluster")[0].as_py(), pa.Table.from_batches(held))
-                held = []
-            held.append(b.slice(i, j - i))
-    if held:
-        yield answer(held[0].column("cluster")[0].as_py(), pa.Table.from_batches(held))
+    for cluster, asked in by_cluster(batches):
+        yield answer(cluster, asked)
     pa.default_memory_pool().release_unused()
 
 
+def parted(probed: DataFrame, asked: DataFrame, centroids: DataFrame, nprobe: int, n: int, group: int) -> DataFrame:
+    """Queries (n of them) with their clusters and `part`: how many parts of about `group` queries each cluster has is told by a sample; any number gives the same rows."""
+    every = max(1, n // SAMPLED)
+    some = probes(asked.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0), centroids, nprobe, ["id"])
+    parts = some.groupBy("cluster").agg(F.ceil(F.count("*") * every / group).cast("int").alias("parts"))  # a row for each cluster
+    return probed.join(F.broadcast(materialise(parts, "parts")), "cluster", "left").withColumn("part", F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1)))).drop("parts")
+
+
 def routed(asked: DataFrame, index: Lists, k: int, nprobe: int, leave_out: str, block_bytes: int, n: int, where: str, folders: list[str], schema: T.StructType) -> DataFrame:
     """id and the least distances in each probed list: queries (n of them) are dealt out by cluster."""
     asked = dealt(asked)
-    probed, part = probes(asked, index.centroids, nprobe).drop("probe"), F.lit(0)
-    if n > GROUP:  # how many parts each list's queries go to, from a sample; any number gives the same rows
-        every = max(1, n // SAMPLED)
-        some = probes(asked.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0), index.centroids, nprobe, ["id"])
-        parts = some.groupBy("cluster").agg(F.ceil(F.count("*") * every / GROUP).cast("int").alias("parts"))  # a row for each cluster
-        probed = probed.join(F.broadcast(materialise(parts, "parts")), "cluster", "left")
-        part = F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1)))
-    sorted_ = probed.withColumn("part", part).repartition("cluster", "part").sortWithinPartitions("cluster")
+    probed = probes(asked, index.centroids, nprobe).drop("probe")
+    probed = parted(probed, asked, index.centroids, nprobe, n, GROUP) if n > GROUP else probed.withColumn("part", F.lit(0))
+    sorted_ = probed.repartition("cluster", "part").sortWithinPartitions("cluster")
     return sorted_.select("cluster", "id", "entry", "grp", "vec").mapInArrow(partial(searched, where, folders, k, leave_out, block_bytes), schema)
 
 
@@ -302,6 +318,112 @@ def searched_mean(queries: DataFrame, index: Lists, k: int = 5, nprobe: int = NP
     return found.unionByName(nearest_mean(unanswered, index.rows(), k, leave_out, ["id"]))
 
 
+def far_apart(x: np.ndarray, n: int) -> np.ndarray:
+    """n rows (or all that differ): the first, then again and again the one farthest from those before."""
+    square, near, out = norms(x), np.full(len(x), np.inf), [0] if len(x) else []
+    while 0 < len(out) < min(n, len(x)):
+        near = np.minimum(near, squares(x[out[-1:]], square[out[-1:]], x, square)[0])
+        near[out] = 0
+        if not near.max() > 0:
+            break
+        out.append(int(near.argmax()))
+    return x[out]
+
+
+def placed(centers: np.ndarray, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows with their nearest center and their distance to it; those without a length (NaN, too large) are no one's neighbours."""
+    for b in batches:
+        if len(b):
+            x = vectors(b)
+            with np.errstate(over="ignore", invalid="ignore"):
+                fine = np.isfinite(norms(x))
+            b, x = b[fine], x[fine]  # noqa: PLW2901
+            own = nearest_centers(x, centers, np.arange(len(centers), dtype=np.int32), 1)[1][:, 0]
+            yield b.assign(cluster=own, far=np.sqrt(((x - centers[own]) ** 2).sum(axis=1)))
+
+
+def lower_bounds(q: np.ndarray, square: np.ndarray, centers: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """For each region and query what no row is nearer than, with all rounding taken off. low and high: distances to its center that the region's rows have."""
+    norm, out = norms(centers), np.empty((len(centers), len(q)), np.float32)
+    for i in range(0, len(q), 1024):
+        some = slice(i, i + 1024)
+        d = squares(q[some], square[some], centers, norm)
+        off = 4 * (q.shape[1] + 8) * np.finfo(np.float64).eps * (square[some, None] + norm[None, :])
+        near, far = np.sqrt(np.maximum(d - off, 0)), np.sqrt(np.maximum(d + off, 0))
+        bound = np.maximum(near - high, low - far) - 1e-9 * (far + high)
+        out[:, some] = np.nextafter(bound.T.astype(np.float32), np.float32(-np.inf))
+    return out
+
+
+def region_block(b: pa.Table) -> dict:
+    return prepared(measured({c: b.column(c).to_pandas() for c in ("entry", "grp") if c in b.column_names} | {"vec": matrix(b.column("vec"))}))
+
+
+def exact_rows(where_path: str, folders: list[str], centers: np.ndarray, low: np.ndarray, high: np.ndarray, k: int, leave_out: str, block_bytes: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id and score. Queries of one region go over the regions, their own first, then by the least bound; each with those queries whose bound is not above their k nearest so far. batches: cluster, id, entry, grp, vec, ordered by cluster."""
+    where, _ = fs.FileSystem.from_uri(where_path)
+
+    def answer(cluster: int, asked: pa.Table) -> pa.RecordBatch:
+        q, names = matrix(asked.column("vec")), asked.select(["entry", "grp"]).to_pandas()
+        with np.errstate(over="ignore", invalid="ignore"):
+            square = norms(q)
+        fine, best = np.isfinite(square), np.full((len(q), k), np.inf)
+        bounds = lower_bounds(q[fine], square[fine], centers, low, high)
+        q1, at = single(-2 * q, 1), np.flatnonzero(fine)
+        least = bounds.min(axis=1, initial=np.inf).astype(np.float64)
+        least[cluster] = -np.inf
+        most = np.full(len(at), np.inf)
+        for region in np.argsort(least, kind="stable").tolist() if len(at) else []:
+            if max(least[region], 0) ** 2 > most.max():
+                break
+            which = at[~(np.maximum(bounds[region], 0).astype(np.float64) ** 2 > most)]
+            if not len(which):
+                continue
+            some, near, near_q, near_square, near_q1 = names.iloc[which], best[which], q[which], square[which], q1[which]
+            for b in blocks(where, folders, region, block_bytes):
+                block = region_block(b)
+                keys = left_out(leave_out, some, block)
+                for rows, columns in tiles(len(which), len(block["vec"])):
+                    nearer(near, near_q, near_square, near_q1, block, keys, rows, columns)
+            best[which] = near
+            most = best[at].max(axis=1)
+            most += 4 * (q.shape[1] + 8) * np.finfo(np.float64).eps * (3 * square[at] + 2 * most)  # rounding of what was found
+        mean, n = means(best, square)
+        return pa.RecordBatch.from_arrays([asked.column("id").combine_chunks(), pa.array(mean, mask=n == 0)], ["id", "score"])
+
+    for cluster, asked in by_cluster(batches):
+        for i in range(0, asked.num_rows, TOGETHER):
+            yield answer(cluster, asked.slice(i, TOGETHER))
+    pa.default_memory_pool().release_unused()
+
+
+def exact_mean(queries: DataFrame, bank: DataFrame, k: int = 5, leave_out: str = "none", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """id and score: the mean distance to the k nearest of all rows, as `nearest_mean`. queries: id, vec and, where left out, entry (and grp); bank: entry, row, vec (and grp)."""
+    spark, group = queries.sparkSession, F.when(F.col("grp") != "", F.col("grp")) if leave_out == "group" else F.lit(None).cast("string")
+    n, width = bank.agg(F.count("*"), F.max(F.size("vec"))).first()
+    every = max(1, n // max(1, DRAWN_BYTES // (8 * max(1, width or 1))))
+    drawn = bank.where(F.pmod(F.xxhash64("entry", "row", F.lit(SEED)), F.lit(every)) == 0).select("vec").toPandas()  # DRAWN_BYTES, about
+    x = vectors(drawn)
+    with np.errstate(over="ignore", invalid="ignore"):
+        centers = far_apart(x[np.isfinite(norms(x))], n_clusters(n)) if len(x) else x
+    if not len(centers):
+        return nearest_mean(queries, bank, k, leave_out, ["id"])
+    centroids = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centers)], "cluster int, center array<double>")
+    put = bank.select("entry", "row", "vec", *(["grp"] if leave_out == "group" else []))
+    schema = T.StructType([*put.schema.fields, T.StructField("cluster", T.IntegerType()), T.StructField("far", T.DoubleType())])
+    regions = listed(dealt(put).mapInPandas(partial(placed, centers), schema), centroids)
+    low, high = np.full(len(centers), np.inf), np.full(len(centers), -np.inf)  # regions without rows are above any bound
+    for r in regions.rows().groupBy("cluster").agg(F.min("far").alias("low"), F.max("far").alias("high")).collect():  # a row for each region
+        low[r["cluster"]], high[r["cluster"]] = r["low"], r["high"]
+    where = regions.root if "://" in regions.root else "file://" + regions.root.removeprefix("file:")
+    folders = [f"{fs.FileSystem.from_uri(where)[1]}/{f}" for f in regions.folders]
+    asked = dealt(queries.select("id", (F.lit(None).cast("bigint") if leave_out == "none" else F.col("entry")).alias("entry"), group.alias("grp"), "vec"))
+    put = parted(assign(asked, centroids), asked, centroids, 1, queries.count(), TOGETHER)
+    sorted_ = put.repartition(3 * spark.sparkContext.defaultParallelism, "cluster", "part").sortWithinPartitions("cluster", "part")
+    out = T.StructType([queries.schema["id"], T.StructField("score", T.DoubleType())])
+    return sorted_.select("cluster", "id", "entry", "grp", "vec").mapInArrow(partial(exact_rows, where, folders, centers, low, high, k, leave_out, block_bytes), out)
+
+
 def probes_for(queries: DataFrame, index: Lists, k: int = 5, target: float = 0.9, leave_out: str = "none", most: int = 1000, seed: int = SEED) -> int:
     """The smallest of NPROBE, 2 NPROBE, 4 NPROBE, ... with which a share `target` of sampled queries gets the score of the full scan.
 

@@ -92,12 +92,12 @@ def mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
     modes = rows.orderBy("vec_id").limit(256).select(F.monotonically_increasing_id().alias("i"), "v")
     modes = materialise(modes.withColumn("mode", F.row_number().over(Window.orderBy("i")) - 1).select("mode", F.col("v").alias("center")), "modes")  # 256 rows
-    many = rows.select("vec_id", "v", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("row"))
-    placed = many.withColumn("mode", F.pmod(F.xxhash64("vec_id", "row"), F.lit(modes.count())).cast("int")).join(F.broadcast(modes), "mode")
     size = F.size("v")
     unit = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x) / size)
+    many = rows.withColumn("unit", unit).select("vec_id", "v", "unit", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("row"))  # once a vector, not once a part
+    placed = many.withColumn("mode", F.pmod(F.xxhash64("vec_id", "row"), F.lit(modes.count())).cast("int")).join(F.broadcast(modes), "mode")
     turned = F.concat(F.slice("v", F.col("row") * 6 % size + 1, size), F.slice("v", F.lit(1), F.col("row") * 6 % size))
-    vec = F.zip_with("center", turned, lambda c, x: c * 4 * F.sqrt(size.cast("double")) + x / F.greatest(unit, F.lit(1e-9)))
+    vec = F.zip_with("center", turned, lambda c, x: c * 4 * F.sqrt(size.cast("double")) + x / F.greatest("unit", F.lit(1e-9)))
     return placed.select(F.col("vec_id").alias("entry"), "row", vec.alias("vec"))
 
 
@@ -111,7 +111,7 @@ def o116_mixture_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     again = lists.refreshed(rows, root)
     index = lists.opened(spark, root)
     asked = rows.select((F.col("entry") * 10 + F.col("row")).alias("id"), "entry", "vec")
-    exact = nearest_mean(asked, rows, K, "entry", ["id"]).withColumnRenamed("score", "exact")
+    exact = lists.exact_mean(asked, rows, K, "entry").withColumnRenamed("score", "exact")
     clusters = index.centroids.count()
     found = lists.recall(lists.searched_mean(asked, index, K, c.NPROBE, "entry"), exact)
     return found.select("queries", (F.col("recall") >= 0.9).alias("found"), F.lit(4 * c.NPROBE < clusters).alias("few"), F.lit(again).alias("again"), F.lit(later).alias("later"))
